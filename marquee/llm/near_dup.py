@@ -199,7 +199,7 @@ def _block_pairs(open_rows: DataFrame, most: float, best_only: bool) -> DataFram
         rows = rows.sort_by("key")
         keys, block = rows.column("key").to_numpy(), rows.column("block").to_numpy()
         cls, label = np.array(rows.column("cls").to_pylist(), object), np.array(rows.column("label").to_pylist(), object)
-        odd = rows.column("odd").combine_chunks().flatten().to_numpy().reshape(len(cls), -1)
+        odd = rows.column("odd").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(cls), -1)
         codes = np.unique(label, return_inverse=True)[1]
         pairs = set()
         edges = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
