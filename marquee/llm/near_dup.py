@@ -1,7 +1,8 @@
 """Near-duplicate components by banded MinHash with odd sketches.
 
 1. One pass over the texts: hashed word shingles, their exact set digest, MinHash samples folded
-   into bands, and the samples' odd sketch (a parity bitmap).
+   into bands, and the odd sketch (a parity bitmap) of the scaled MinHash sample: the shingles whose hash lies under a
+   bound that halves as sets grow.
 2. Equal sets form one class at once, so copies are never paired.
 3. In each band bucket every class is paired with the bucket's hub (its least class id), not with every
    other class. Odd sketches drop pairs whose XOR population count shows too low a similarity; the
@@ -9,13 +10,14 @@
 4. Buckets that still hold several components are compared in blocks on their odd sketches: first
    the best partner of each class in every other component, then, where components still differ, every pair that passes. Nothing is capped.
 
-With 22 bands of 4 samples a pair at similarity 0.8 shares no band with probability 1e-5; the sketch
-filter at 0.6 lies over four standard deviations below 0.8.
+With 22 bands of 4 samples a pair at similarity 0.8 shares no band with probability 1e-5; a sketch drops a pair only if it
+differs in more bits than four standard deviations over what the least similarity gives.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -25,9 +27,11 @@ from ._common import WordHash, map_text, materialise, mix64, word_hashes
 
 BANDS, ROWS = 22, 4
 SAMPLES = BANDS * ROWS
-SKETCH_BITS = 512
-#: Estimated similarity below which a candidate pair is dropped before the exact check.
-SKETCH_LEAST = 0.6
+SKETCH_BITS = 1024
+#: Shingles in a scaled MinHash sample, about; larger sets are sampled at a power of two.
+SAMPLE = 1024
+#: Standard deviations that an estimate may lie off before its pair is dropped.
+SLACK = 4.0
 BLOCK = 512
 #: Members whose sets meet a hub's set in one group.
 GROUP = 128
@@ -66,51 +70,88 @@ def set_digest(shingles: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(shingles.tobytes())
 
 
-def sketches(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(band keys n x BANDS, odd sketches n x SKETCH_BITS / 64) of non-empty sets."""
+def bands_of(sets: list[np.ndarray]) -> np.ndarray:
+    """Band keys (n x BANDS) of non-empty sets."""
     joined, starts = np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
     mins = np.empty((len(sets), SAMPLES), np.uint64)
-    for lo in range(0, SAMPLES, 1):
-        mins[:, lo] = np.minimum.reduceat((joined ^ _XOR[lo]) * _MUL[lo], starts)
+    for k in range(SAMPLES):
+        mins[:, k] = np.minimum.reduceat((joined ^ _XOR[k]) * _MUL[k], starts)
     keys = np.empty((len(sets), BANDS), np.uint64)
     for b in range(BANDS):
         h = np.full(len(sets), np.uint64(b + 1))
         for r in range(ROWS):
             h = mix64(h * np.uint64(0x9E3779B97F4A7C15) ^ mins[:, b * ROWS + r])
         keys[:, b] = h
-    bit = (mix64(mins ^ _MUL[None]) % np.uint64(SKETCH_BITS)).astype(np.int64)
-    parity = np.bincount((np.arange(len(sets))[:, None] * SKETCH_BITS + bit).ravel(), minlength=len(sets) * SKETCH_BITS) & 1
-    return keys, np.packbits(parity.reshape(-1, SKETCH_BITS).astype(np.uint8), axis=1).view(np.uint64)
+    return keys
 
 
-def most_differing_bits(least: float) -> float:
-    """XOR population count expected at similarity `least`: n/2 (1 - (1 - 2/n) ** (2 k (1 - J)))."""
-    return SKETCH_BITS / 2 * (1 - (1 - 2 / SKETCH_BITS) ** (2 * SAMPLES * (1 - least)))
+def level_of(n: int) -> int:
+    """A set of n shingles is sampled at 2 ** -level."""
+    return max(0, (max(1, -(-n // SAMPLE)) - 1).bit_length())
+
+
+def odd_sketch(shingles: np.ndarray, level: int) -> np.ndarray:
+    """Parity bitmap of the sample (sets are sorted by hash, so the sample is a head of them)."""
+    taken = shingles[: np.searchsorted(shingles, np.uint64(1 << (64 - level)))] if level else shingles
+    bit = (mix64(taken) >> np.uint64(54)).astype(np.int64)
+    parity = np.bincount(bit, minlength=SKETCH_BITS) & 1
+    return np.packbits(parity.astype(np.uint8)).view(np.uint64)
+
+
+def most_differing(total, level, percent: int):
+    """Bits in which sketches of two sets with `total` shingles together may differ at percent / 100 similarity.
+
+    The sets then differ in at most D = total (1 - J) / (1 + J) shingles, and no more bits than that can differ. Of larger sets
+    D 2^-level are sampled, and d sampled ones set n/2 (1 - exp(-2 d / n)) of n bits.
+    """
+    whole = total * (100 - percent) / (100 + percent)
+    rate = 0.5**level
+    d = whole * rate
+    d = d + SLACK * np.sqrt(d * (1 - rate) + 2 * d * d / SKETCH_BITS) + 3
+    return np.where(level == 0, whole + 1e-9, SKETCH_BITS / 2 * (1 - np.exp(-2 * d / SKETCH_BITS)))
 
 
 def sketch_table(df: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, n_shingles, cls, bands, odd) of every row; cls is null for rows without words."""
+    """(id, n_shingles, cls, bands, level, odd, more) of every row; cls is null for rows without words."""
     kind = df.schema[id_col].dataType.simpleString()
 
     def fn(batch: pa.RecordBatch, known):
         sets = shingle_sets(batch.column(1).to_pylist(), width, known)
         n = len(sets)
         full = [i for i in range(n) if len(sets[i])]
-        bands, odd = [None] * n, [None] * n
+        bands = [None] * n
         if full:
-            keys, bits = sketches([sets[i] for i in full])
-            for i, k, o in zip(full, keys.view(np.int64), bits.view(np.int64), strict=True):
-                bands[i], odd[i] = k, o
+            for i, k in zip(full, bands_of([sets[i] for i in full]).view(np.int64), strict=True):
+                bands[i] = k
+        level = [level_of(len(s)) for s in sets]
+        odd = [odd_sketch(s, k).view(np.int64) if len(s) else None for s, k in zip(sets, level, strict=True)]
+        # A partner up to a quarter larger may be sampled one level on.
+        more = [odd_sketch(s, k + 1).view(np.int64) if 2 * len(s) > SAMPLE else None for s, k in zip(sets, level, strict=True)]
         digests = [set_digest(s) if len(s) else None for s in sets]
-        return [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))]
+        return [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(level, pa.int32()), pa.array(odd, pa.list_(pa.int64())), pa.array(more, pa.list_(pa.int64()))]
 
-    return map_text(df, [F.col(id_col), F.col(text_col)], fn, f"{id_col} {kind}, n_shingles long, cls binary, bands array<long>, odd array<long>", WordHash)
+    return map_text(df, [F.col(id_col), F.col(text_col)], fn, f"{id_col} {kind}, n_shingles long, cls binary, bands array<long>, level int, odd array<long>, more array<long>", WordHash)
 
 
 def _differing(a: str, b: str):
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
 
+def close_pairs(pairs: DataFrame, sketch: DataFrame, percent: int) -> DataFrame:
+    """The (a, b) pairs whose sizes and odd sketches allow percent / 100 similarity."""
+    for x in "ab":
+        pairs = pairs.join(sketch.select(*[F.col(c).alias(x if c == "cls" else f"{c}_{x}") for c in ("cls", "n_shingles", "level", "odd", "more")]), x)
+    sized = pairs.where((100 * F.least("n_shingles_a", "n_shingles_b") >= percent * F.greatest("n_shingles_a", "n_shingles_b")) & (F.abs(F.col("level_a") - F.col("level_b")) <= 1))
+    bits = F.when(F.col("level_a") == F.col("level_b"), _differing("odd_a", "odd_b")).when(F.col("level_a") < F.col("level_b"), _differing("more_a", "odd_b")).otherwise(_differing("odd_a", "more_b"))
+
+    @F.pandas_udf("double")
+    def most(total: pd.Series, level: pd.Series) -> pd.Series:
+        return pd.Series(most_differing(total.to_numpy(), level.to_numpy(), percent))
+
+    allowed = most(F.col("n_shingles_a") + F.col("n_shingles_b"), F.greatest("level_a", "level_b"))
+    return sized.where(bits <= allowed).select("a", "b")
+
+
 def confirm(pairs: DataFrame, texts: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
     """The (a, b) pairs of classes whose full sets reach percent / 100.
 
@@ -181,8 +222,8 @@ def _with_labels(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     return rows.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
 
 
-def _block_pairs(open_rows: DataFrame, most: float, best_only: bool) -> DataFrame:
-    """Pairs of classes of one bucket and different labels whose sketches differ in at most `most` bits.
+def _block_pairs(open_rows: DataFrame, percent: int, best_only: bool) -> DataFrame:
+    """Pairs of classes of one bucket and different labels whose sizes and odd sketches allow percent / 100 similarity.
 
     Buckets are dealt in blocks of BLOCK classes; every two blocks meet in one group, small buckets many to a group. best_only
     keeps each class's nearest partner in each other label.
@@ -192,14 +233,16 @@ def _block_pairs(open_rows: DataFrame, most: float, best_only: bool) -> DataFram
     dealt = open_rows.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     group = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("key"), F.lit(chunks))).otherwise(F.col("key"))
-    met = met.select(group.alias("g"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "key", "block", "cls", "label", "odd")
+    met = met.select(group.alias("g"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "key", "block", "cls", "label", "n_shingles", "level", "odd", "more")
 
     def compare(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         i, j = key[1].as_py(), key[2].as_py()
         rows = rows.sort_by("key")
         keys, block = rows.column("key").to_numpy(), rows.column("block").to_numpy()
         cls, label = np.array(rows.column("cls").to_pylist(), object), np.array(rows.column("label").to_pylist(), object)
-        odd = rows.column("odd").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(cls), -1)
+        odd = np.array(rows.column("odd").to_pylist(), np.int64).view(np.uint64)
+        more = np.array([x if x is not None else [0] * odd.shape[1] for x in rows.column("more").to_pylist()], np.int64).view(np.uint64)
+        size, level = rows.column("n_shingles").to_numpy(), rows.column("level").to_numpy()
         codes = np.unique(label, return_inverse=True)[1]
         pairs = set()
         edges = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
@@ -209,10 +252,15 @@ def _block_pairs(open_rows: DataFrame, most: float, best_only: bool) -> DataFram
             for x in left:
                 others = right[right > x] if i == j else right
                 others = others[codes[others] != codes[x]]
+                fits = (100 * np.minimum(size[others], size[x]) >= percent * np.maximum(size[others], size[x])) & (np.abs(level[others] - level[x]) <= 1)
+                others = others[fits]
                 if not len(others):
                     continue
-                far = np.bitwise_count(odd[others] ^ odd[x]).sum(1)
-                others, far = others[far <= most], far[far <= most]
+                theirs = np.where((level[others] < level[x])[:, None], more[others], odd[others])
+                mine = np.where((level[others] > level[x])[:, None], more[x], odd[x])
+                far = np.bitwise_count(theirs ^ mine).sum(1)
+                near = far <= most_differing(size[others] + size[x], np.maximum(level[others], level[x]), percent)
+                others, far = others[near], far[near]
                 if best_only and len(others):
                     order = np.lexsort((far, codes[others]))
                     others = others[order[np.concatenate([[True], np.diff(codes[others][order]) != 0])]]
@@ -234,24 +282,22 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
     table = materialise(sketch_table(df, width, id_col, text_col), "sketches")
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     members = materialise(table.where("cls IS NOT NULL").groupBy("cls").agg(F.min(id_col).alias("member")), "members")
-    sketch = materialise(table.where("cls IS NOT NULL").select("cls", "bands", "odd").dropDuplicates(["cls"]), "classes")
+    sketch = materialise(table.where("cls IS NOT NULL").select("cls", "bands", "n_shingles", "level", "odd", "more").dropDuplicates(["cls"]), "classes")
     rows = sketch.select("cls", F.explode("bands").alias("key"))
     buckets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("cls").alias("hub")).where("n > 1")
     shared_rows = materialise(rows.join(buckets, "key"), "buckets")
 
-    most = most_differing_bits(SKETCH_LEAST)
-    odd = sketch.select("cls", "odd")
+    bits = sketch.drop("bands")
     pairs = shared_rows.where("cls <> hub").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct()
-    close = pairs.join(odd.select(F.col("cls").alias("a"), F.col("odd").alias("oa")), "a").join(odd.select(F.col("cls").alias("b"), F.col("odd").alias("ob")), "b")
-    close = close.where(_differing("oa", "ob") <= most).select("a", "b")
+    close = close_pairs(pairs, bits, percent)
     links = materialise(confirm(close, texts, members, width, percent), "links")
     labels = components(links)
 
     for best_only in (True, False):
         labelled = _with_labels(shared_rows.where("n > 2"), labels)
         still = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-        open_rows = labelled.join(still, "key", "left_semi").join(odd, "cls").select("key", "n", "cls", "label", "odd")
-        more = materialise(confirm(_block_pairs(open_rows, most, best_only), texts, members, width, percent), "links")
+        open_rows = labelled.join(still, "key", "left_semi").join(bits, "cls").select("key", "n", "cls", "label", "n_shingles", "level", "odd", "more")
+        more = materialise(confirm(_block_pairs(open_rows, percent, best_only), texts, members, width, percent), "links")
         if not more.isEmpty():
             links = links.unionByName(more)
             labels = components(links)
