@@ -14,7 +14,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Units of up to so many characters are remembered, so many of them.
-UNIT_CHARS, UNITS = 64, 400_000
+UNIT_CHARS, UNITS = 64, 1_000_000
 #: Longer units are cut again where a letter meets a digit or the reverse.
 LONG = 4096
 _GAP = re.compile(r"\s ")
@@ -54,7 +54,7 @@ class Encoder:
         known, cut = self.known, [safe_pieces(t) for t in texts]
         if len(known) > UNITS:
             known.clear()
-        new = list({u for units in cut for u in units if u not in known})
+        new = list(set().union(*cut).difference(known))
         fresh = {u: np.asarray(ids, "<u4").tobytes() for u, ids in zip(new, self.encode_many(new), strict=True)} if new else {}
         long = {u: fresh.pop(u) for u in new if len(u) > UNIT_CHARS}
         known.update(fresh)
