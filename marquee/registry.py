@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from .operators import retrieval, scoring, vector
+from .plans import flows
+from .streaming import trending
+
+MODULES = (retrieval, scoring, vector, flows, trending)
+
 
 def queries() -> dict:
-    return {}
+    return {name: query for module in MODULES for name, (query, _) in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for module in MODULES for name, (_, sql) in module.QUERIES.items() if sql}
