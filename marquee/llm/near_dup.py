@@ -32,7 +32,8 @@ SKETCH_BITS = 1024
 SAMPLE = 1024
 #: Standard deviations that an estimate may lie off before its pair is dropped.
 SLACK = 4.0
-BLOCK = 512
+#: Classes of one bucket compared at a time; a row has some 300 bytes, so two blocks take a few MB.
+BLOCK = 4096
 #: Members whose sets meet a hub's set in one group.
 GROUP = 128
 #: Most rows (of ids and class ids) that are sent to every executor instead of shuffling the texts.
