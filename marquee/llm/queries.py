@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, byte_cnn, html_paths, langid, near_dup, ogg, packing, sharding, toxicity, weak_rules
-from ._common import materialise, table
+from ._common import hash_share, materialise, table
 
 SHARDS = 8
 
@@ -53,15 +53,20 @@ def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
 
 
-def labelled(spark: SparkSession, sf_dir: str, docs: DataFrame, label: str) -> DataFrame:
-    marks = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("_marked"), label)
-    return docs.select("doc_id", "text").join(marks, F.col("doc_id") == F.col("_marked")).select("doc_id", "text", label)
+def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
+    """(doc_id, text, label) of about `most` labelled documents at most, drawn by a hash of the id.
+
+    The labels are drawn before the join, so what is broadcast is bounded by `most` and no text is shuffled.
+    """
+    marks = labels.where(F.col(label).isNotNull()).select(F.col("doc_id").alias("_marked"), label)
+    drawn = marks.where(hash_share(F.col("_marked")) < min(1.0, most / max(1, marks.count())))
+    return docs.select("doc_id", "text").join(F.broadcast(drawn), F.col("doc_id") == F.col("_marked")).select("doc_id", "text", label)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = toxicity.held_out()
-    model = toxicity.fit(labelled(spark, sf_dir, docs.where(~held), "toxic"))
+    model = toxicity.fit(labelled(docs, table(spark, sf_dir, "labels").where(~held), "toxic", toxicity.MAX_TRAIN_DOCS))
     return toxicity.score(docs, model).withColumn("held_out", held)
 
 
@@ -74,7 +79,7 @@ def op9_weak_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = byte_cnn.held_out()
-    model = byte_cnn.fit(labelled(spark, sf_dir, docs.where(~held), "quality"))
+    model = byte_cnn.fit(labelled(docs, table(spark, sf_dir, "labels").where(~held), "quality", byte_cnn.MAX_TRAIN_DOCS))
     return byte_cnn.score(docs, model, extra=[held.alias("held_out")])
 
 
