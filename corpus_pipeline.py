@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marquee.llm import byte_cnn, langid, near_dup, packing
 from marquee.llm._common import materialise, table
+from marquee.llm.queries import labelled
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document goes if its likeliest language has less than this share of its words.
@@ -24,8 +25,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the byte network, fitted on the labelled ones among them, does not reject."""
-    marks = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("_marked"), "quality")
-    model = byte_cnn.fit(docs.join(marks, F.col("doc_id") == F.col("_marked")).select("doc_id", "text", "quality"))
+    model = byte_cnn.fit(labelled(docs, table(spark, sf_dir, "labels"), "quality", byte_cnn.MAX_TRAIN_DOCS))
     scored = byte_cnn.score(docs, model, extra=[F.col(c) for c in COLUMNS if c not in ("doc_id", "text")] + [F.col("text").alias("_kept_text")])
     return scored.where(F.col("score") >= LEAST_QUALITY).withColumnRenamed("_kept_text", "text").select(*COLUMNS)
 
