@@ -30,8 +30,8 @@ def scan_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scan_events_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events with their JSON properties decoded by path."""
-    return C.table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count("props").alias("with_props"), F.countDistinct("user_id").alias("users"))
+    """Per event type: rows, rows with properties, users, and the sum of property k, read from the JSON by path; other values of k count as null."""
+    return C.table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count("props").alias("with_props"), F.countDistinct("user_id").alias("users"), F.sum(F.get_json_object("props", "$.k").try_cast("long")).alias("total_k"))
 
 
 def filter_hard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,7 +145,7 @@ _ = "WITH" + C.CARDS
 _T = """, traits AS (SELECT 'keyword' AS kind, CAST(unnest(keyword_ids) AS BIGINT) AS trait_id FROM cards UNION ALL SELECT 'genre', CAST(unnest(genre_ids) AS BIGINT) FROM cards)"""
 QUERIES = {
     "scan_cards": (scan_cards, _ + " SELECT movie_id, title, company, format, runtime, maturity_rank, votes, reception, released, len(keyword_ids) AS n_keywords, len(genre_ids) AS n_genres FROM cards"),
-    "scan_events_json": (scan_events_json, "SELECT event_type, count(*) AS n, count(props) AS with_props, count(DISTINCT user_id) AS users FROM events GROUP BY 1"),
+    "scan_events_json": (scan_events_json, "SELECT event_type, count(*) AS n, count(props) AS with_props, count(DISTINCT user_id) AS users, CAST(sum(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS total_k FROM events GROUP BY 1"),
     "filter_hard": (filter_hard, _ + f" SELECT movie_id, runtime, maturity_rank, released FROM cards WHERE released BETWEEN {RELEASED[0]} AND {RELEASED[1]} AND runtime BETWEEN 5 AND 40 AND maturity_rank BETWEEN 1 AND 3"),
     "filter_any_overlap": (filter_any_overlap, _ + " SELECT movie_id FROM cards WHERE list_has_any(keyword_ids, [1, 2, 3])"),
     "filter_all_contained": (filter_all_contained, _ + " SELECT movie_id FROM cards WHERE list_has_all(genre_ids, [1, 2, 3])"),
