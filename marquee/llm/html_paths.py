@@ -1,9 +1,9 @@
 """Main text of HTML pages by tag-path ratios.
 
 Pages are cut into text blocks, each under a root-to-leaf tag path. Per path, text length and punctuation are summed over
-its blocks and divided by their number; the ratios are smoothed over neighbouring blocks, fused and thresholded. Paths that pass
-vote for the content container they lie in; the container's blocks are the article, short ones included. Parts that by their
-tag, role or class are page furniture (menus, adverts, forms, comments, ...) take no part.
+its blocks and divided by their number; the ratios are fused, smoothed over neighbouring blocks and thresholded. The article is the
+blocks that pass, with the short headings and paragraphs next to them; containers only say which neighbours belong together. Parts
+that by their tag, role or class are page furniture (menus, adverts, forms, comments, ...) take no part.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ pagination pager tags taglist search form hidden skip""".split())
 KEEP_WORDS = frozenset("article content main body post entry story text".split())
 WEAK_WORDS = frozenset("header form search follow alert popular tags legal foot response respond hidden skip".split())
 SECTIONS = frozenset("article main section div td body html center".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+PROSE = frozenset("p blockquote pre dd dt figcaption address".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
@@ -163,47 +165,70 @@ def blocks_of(page: str) -> list[Block]:
     return out
 
 
-def path_scores(blocks: list[Block], width: float = 1.0) -> tuple[np.ndarray, float]:
-    """Fused score of each block's path, smoothed over the page, and its threshold."""
+def path_scores(blocks: list[Block], width: float = 1.0) -> tuple[np.ndarray, np.ndarray, float]:
+    """Fused score of each block's path (0 if most of the path's text is links), the same smoothed over the page, and the threshold."""
     paths = [b.path for b in blocks]
     names = {p: i for i, p in enumerate(dict.fromkeys(paths))}
     code = np.array([names[p] for p in paths])
-    own = np.array([max(0, len(b.text) - b.links) for b in blocks], float)
+    size = np.array([len(b.text) for b in blocks], float)
+    linked = np.minimum([b.links for b in blocks], size)
+    own = size - linked
     marks = np.array([len(_PUNCTUATION.findall(b.text)) for b in blocks], float)
     count = np.bincount(code)
     length, stops = np.bincount(code, own) / count, np.bincount(code, marks) / count
     spread = np.sqrt(np.maximum(np.bincount(code, own**2) / count - length**2, 0))
-    fused = (np.log1p(length) * np.log1p(stops + 0.1) * (1 + np.log1p(spread)))[code]
+    prose = 2 * np.bincount(code, linked) <= np.bincount(code, size)
+    fused = (prose * np.log1p(length) * np.log1p(stops + 0.1) * (1 + np.log1p(spread)))[code]
     reach = max(1, round(2 * width))
     kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / width) ** 2)
     padded = np.pad(fused, reach, mode="edge")
     smooth = np.convolve(padded, kernel / kernel.sum(), "valid")
-    return smooth, 0.5 * float(smooth.std()) + 0.1 * float(smooth.mean())
+    return fused, smooth, 0.5 * float(smooth.std()) + 0.1 * float(smooth.mean())
+
+
+def _nested(a: Block, b: Block) -> bool:
+    """Whether one block lies in the innermost container of the other."""
+    n = min(len(a.containers), len(b.containers))
+    return a.containers[:n] == b.containers[:n]
+
+
+def _joins(block: Block, near: Block, before: bool) -> bool:
+    """Whether a block that did not pass belongs to its neighbour, which did; before: it stands before the neighbour."""
+    tag = block.path.rsplit("/", 1)[-1]
+    if any(named and (named, n) in near.containers for named, n in block.containers):
+        return True
+    if tag in HEADINGS:
+        return before
+    return tag in PROSE and _nested(block, near)
+
+
+def select(blocks: list[Block]) -> np.ndarray:
+    """Which blocks are the article's.
+
+    A block passes if its path's score and the smoothed one reach the threshold. Of the others, none of which is mostly links, those
+    join that stand between passing ones of the same place, and headings, short paragraphs and parts of the same article element
+    next to chosen ones.
+    """
+    fused, smooth, least = path_scores(blocks)
+    chosen = (fused > 0) & (fused >= least) & (smooth >= least)
+    free = np.array([2 * b.links <= len(b.text) for b in blocks])
+    sure = np.flatnonzero(chosen)
+    for lo, hi in zip(sure[:-1], sure[1:], strict=True):
+        if hi > lo + 1 and free[lo + 1 : hi].all() and _nested(blocks[lo], blocks[hi]):
+            chosen[lo + 1 : hi] = True
+    for i in range(1, len(blocks)):
+        chosen[i] |= chosen[i - 1] and free[i] and _joins(blocks[i], blocks[i - 1], False)
+    for i in range(len(blocks) - 2, -1, -1):
+        chosen[i] |= chosen[i + 1] and free[i] and _joins(blocks[i], blocks[i + 1], True)
+    return chosen
 
 
 def main_text(page: str | None) -> str:
-    """The article's blocks joined by newlines; empty for null, empty and furniture-only pages."""
+    """The article's blocks joined by newlines; empty for null, empty and furniture-only pages and for those of links alone."""
     blocks = blocks_of(page) if page else []
     if not blocks:
         return ""
-    smooth, least = path_scores(blocks)
-    passed = smooth >= least
-    weight = np.array([len(b.text) - b.links for b in blocks], float) * passed
-    total = weight.sum()
-    if total <= 0:
-        passed, weight = np.ones(len(blocks), bool), np.array([len(b.text) for b in blocks], float)
-        total = weight.sum()
-    # The deepest article or main element, else the deepest other container, that holds nearly all of the passing text is the article's.
-    votes: dict[tuple[bool, int], float] = {}
-    for b, w in zip(blocks, weight, strict=True):
-        for c in b.containers:
-            votes[c] = votes.get(c, 0.0) + w
-    holders = [c for c, v in votes.items() if v >= 0.8 * total]
-    if not holders:
-        return _LINE.join(b.text for b, p in zip(blocks, passed, strict=True) if p)
-    inner = max(holders)
-    chosen = [b for b in blocks if inner in b.containers]
-    return _LINE.join(b.text for b in chosen)
+    return _LINE.join(b.text for b, c in zip(blocks, select(blocks), strict=True) if c)
 
 
 def extract(df: DataFrame, id_col: str = "page_id", html_col: str = "html", extra: tuple[str, ...] = ("url",)) -> DataFrame:

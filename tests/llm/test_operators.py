@@ -138,6 +138,24 @@ def test_main_text():
     assert html_paths.main_text("<article><p>a<p>b <b>c\n d</article>") == "a\nb c d"
 
 
+def test_main_text_is_chosen_by_path_not_by_container():
+    prose = ["One long sentence, with words in it, and then some more of them. " * n for n in (3, 5, 4)]
+    text = [x.strip() for x in prose]
+    body = "".join(f"<p>{x}</p>" for x in text)
+    for item in ("<a href=x>Home</a>", "Home"):  # menus without a known tag or class
+        menu = "<ul>" + f"<li>{item}</li>" * 6 + "</ul>"
+        assert html_paths.main_text(f"<html><body>{menu}{body}{menu}</body></html>") == "\n".join(text)
+    whole = "\n".join(["Title", "Lead", " ".join(text)])
+    for inner in ("div", "article"):  # title and lead outside the container of the rest
+        for outer in ("div", "main"):
+            page = f"<body><{outer}><h1>Title</h1><p>Lead</p><{inner}>{' '.join(text)}</{inner}></{outer}></body>"
+            assert html_paths.main_text(page) == whole
+    halves = f"<body><div>{text[0]}</div><ul><li><a href=x>Home</a></li></ul><div>{text[1]}</div></body>"
+    assert html_paths.main_text(halves) == f"{text[0]}\n{text[1]}"
+    assert html_paths.main_text(f"<div>{body}<ul><li>Milk</li><li>Eggs</li></ul>{body}</div>") == "\n".join([*text, "Milk", "Eggs", *text])
+    assert html_paths.main_text("<body><ul><li><a href=x>Home</a></li></ul></body>") == ""
+
+
 def test_pages_are_their_articles(spark):
     for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
         article = re.search(r"<article>(.*)</article>", r.html, re.S)[1]
