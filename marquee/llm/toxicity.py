@@ -23,8 +23,6 @@ BITS = 20
 DISCOUNT, BIGRAM_DISCOUNT = 0.75, 4.0
 #: Backoff counts of every word type, shared by the classes in proportion to their sizes; rare words then look alike in both.
 SHARED = 12.0
-#: Words found less often than this in all labelled texts have the shared backoff only.
-RARE = 4
 WINDOW = 4
 #: Bound of the labelled documents that the counts are taken from (expected number); all of them below it.
 MAX_TRAIN_DOCS = 500_000
@@ -90,7 +88,7 @@ def fit_counts(bigrams: DataFrame) -> dict:
     """The two models' tables: 2 ** BITS buckets for bigrams and for words; what the driver collects is bounded by them."""
     seen = materialise(bigrams, "bigrams")
     totals = seen.agg(F.count(F.lit(1)).alias("types"), F.sum("toxic").alias("nt"), F.sum("ordinary").alias("no")).first()
-    per_word = seen.groupBy("w").agg(F.count(F.lit(1)).alias("cont"), F.sum("toxic").alias("ct"), F.sum("ordinary").alias("co")).where(F.col("ct") + F.col("co") >= RARE)
+    per_word = seen.groupBy("w").agg(F.count(F.lit(1)).alias("cont"), F.sum("toxic").alias("ct"), F.sum("ordinary").alias("co"))
     per_context = seen.groupBy("h").agg(*[F.sum(c).alias(f"x{c[0]}") for c in ("toxic", "ordinary")], *[F.sum(F.least(F.col(c), F.lit(BIGRAM_DISCOUNT))).alias(f"d{c[0]}") for c in ("toxic", "ordinary")], F.max(F.greatest("toxic", "ordinary")).alias("top"))
     # A context none of whose counts exceeds the discount gives its words their backoff, as an unseen one does.
     per_context, kept_pairs = per_context.where(F.col("top") > BIGRAM_DISCOUNT), seen.where(F.greatest("toxic", "ordinary") > BIGRAM_DISCOUNT)
@@ -108,10 +106,10 @@ def fit_counts(bigrams: DataFrame) -> dict:
         return pd.Series(_pair(h.to_numpy(np.int64).view(np.uint64), w.to_numpy(np.int64).view(np.uint64)).astype(np.int32))
 
     def dense(df: DataFrame, key, names: list[str]) -> list[np.ndarray]:
-        got = df.groupBy(key.alias("b")).agg(*[F.sum(x).cast("float").alias(x) for x in names]).toPandas()
+        got = df.groupBy(key.alias("b")).agg(*[F.sum(x).cast("float").alias(x) for x in names]).toArrow()
         out = [np.zeros(1 << BITS, np.float32) for _ in names]
         for x, name in zip(out, names, strict=True):
-            x[got["b"].to_numpy(int)] = got[name].to_numpy(np.float32)
+            x[got["b"].to_numpy()] = got[name].to_numpy()
         return out
 
     cont, ct, co = dense(per_word, one(F.col("w")), ["cont", "ct", "co"])

@@ -214,6 +214,14 @@ def test_toxic_words_are_found(spark):
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
+def test_words_seen_up_to_three_times_count(spark):
+    rng = random.Random(3)
+    rows = [(" ".join(f"w{rng.randint(0, 300)}" for _ in range(40)) + (f" scarce{3 - i % 3}" if i < 6 else ""), int(i < 60)) for i in range(300)]
+    model = toxicity.fit_counts(toxicity.bigram_counts(spark.createDataFrame(rows, "text string, toxic int")))
+    *seen, unseen = toxicity.features(["scarce1", "scarce2", "scarce3", "neverseen"], model, toxicity.WordHash())[:, 0]
+    assert min(seen) > unseen + 0.1
+
+
 def test_base_measures_equal_brute_force(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     rows += list(enumerate([None, "", "a b c d e f g h " * 3, "x\nx\n\n \ny\nx", "# $ é|<>"], 10**6))
