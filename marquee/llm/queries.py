@@ -11,6 +11,8 @@ from . import bpe, byte_cnn, html_paths, langid, near_dup, ogg, packing, shardin
 from ._common import hash_share, materialise, table
 
 SHARDS = 8
+#: Most labels that are sent to every executor to find their texts.
+MOST_LABELS_SENT = 500_000
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,10 +65,17 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataF
     return docs.select("doc_id", "text").join(F.broadcast(drawn), F.col("doc_id") == F.col("_marked")).select("doc_id", "text", label)
 
 
+def all_labelled(docs: DataFrame, labels: DataFrame, label: str, most_sent: int = MOST_LABELS_SENT) -> DataFrame:
+    """(doc_id, text, label) of every labelled document. Up to most_sent labels are broadcast, so no text is shuffled; more are joined by a shuffle."""
+    marks = labels.where(F.col(label).isNotNull()).select(F.col("doc_id").alias("_marked"), label)
+    marks = F.broadcast(marks) if marks.count() <= most_sent else marks
+    return docs.select("doc_id", "text").join(marks, F.col("doc_id") == F.col("_marked")).select("doc_id", "text", label)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = toxicity.held_out()
-    model = toxicity.fit(labelled(docs, table(spark, sf_dir, "labels").where(~held), "toxic", toxicity.MAX_TRAIN_DOCS))
+    model = toxicity.fit(all_labelled(docs, table(spark, sf_dir, "labels").where(~held), "toxic"))
     return toxicity.score(docs, model).withColumn("held_out", held)
 
 

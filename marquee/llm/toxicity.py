@@ -1,6 +1,6 @@
 """Toxicity by class-conditional Kneser-Ney word bigram models.
 
-Counts come from all labelled training documents, up to a bound. Per class, P(w | h) discounts the bigram count and backs off
+Counts come from all labelled training documents, in tables that grow with their words. Per class, P(w | h) discounts the bigram count and backs off
 to the class's discounted unigrams, which back off to continuation counts shared by both classes, so
 rare expressions have the same smoothing mass in either. A text's score compares the length-normalised toxic
 and ordinary log-likelihoods, over the whole text and over its most toxic window of words.
@@ -12,24 +12,26 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import WordHash, fit_logistic, fold_of, hash_share, map_text, materialise, mix64, sigmoid, word_hashes
 
-#: Buckets of the served tables; the model's size is bounded by them, whatever the corpus.
-BITS = 20
 #: Absolute discounts of word and of bigram counts. Toxic text is a tenth of the labelled words, so a bigram seen a few times in it says little: such counts go to the backoff whole.
 DISCOUNT, BIGRAM_DISCOUNT = 0.75, 4.0
 #: Backoff counts of every word type, shared by the classes in proportion to their sizes; rare words then look alike in both.
 SHARED = 12.0
 WINDOW = 4
-#: Bound of the labelled documents that the counts are taken from (expected number); all of them below it.
-MAX_TRAIN_DOCS = 500_000
+#: Most rows of the models' tables that are sent to every executor (16 bytes each) instead of joined; the scores are the same.
+LOCAL_ROWS = 2_000_000
+#: Texts whose keys are asked for together where the tables are joined.
+CHUNK = 256
 #: Bound of the labelled sample that the calibration weights are fitted on (expected number of documents).
 MAX_CALIBRATION_DOCS = 4000
 _NOT_WORD = re.compile(r"[\W_]+")
 _START = np.uint64(0x5157A127)
+_known = WordHash()
 
 
 def _tokens(texts: list[str | None], known: WordHash) -> tuple[np.ndarray, np.ndarray]:
@@ -44,12 +46,8 @@ def _contexts(words: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def _bucket(words: np.ndarray) -> np.ndarray:
-    return (mix64(words) >> np.uint64(64 - BITS)).astype(np.int64)
-
-
 def _pair(context: np.ndarray, words: np.ndarray) -> np.ndarray:
-    return _bucket(context * np.uint64(0x9E3779B97F4A7C15) ^ words)
+    return mix64(context * np.uint64(0x9E3779B97F4A7C15) ^ words)
 
 
 def bigram_counts(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic") -> DataFrame:
@@ -84,47 +82,61 @@ def bigram_counts(labelled: DataFrame, text_col: str = "text", label_col: str =
     return parts.groupBy("h", "w").agg(F.sum("t").cast("int").alias("toxic"), F.sum("o").cast("int").alias("ordinary"))
 
 
-def fit_counts(bigrams: DataFrame) -> dict:
-    """The two models' tables: 2 ** BITS buckets for bigrams and for words; what the driver collects is bounded by them."""
+def fit_counts(bigrams: DataFrame, local_rows: int = LOCAL_ROWS) -> dict:
+    """The two models as written tables keyed by full hash, with `local` sorted arrays of them if they have at most local_rows rows together.
+
+    A word's ratio of log-likelihoods is `head` of the context plus `ratio` of the word, and `extra` of the pair where the pair's count
+    exceeds the discount. Words that no labelled text has have `unseen`.
+    """
     seen = materialise(bigrams, "bigrams")
     totals = seen.agg(F.count(F.lit(1)).alias("types"), F.sum("toxic").alias("nt"), F.sum("ordinary").alias("no")).first()
-    per_word = seen.groupBy("w").agg(F.count(F.lit(1)).alias("cont"), F.sum("toxic").alias("ct"), F.sum("ordinary").alias("co"))
+    per_word = materialise(seen.groupBy("w").agg(F.count(F.lit(1)).alias("cont"), F.sum("toxic").alias("ct"), F.sum("ordinary").alias("co")), "word_counts")
+    kept = per_word.agg(F.count(F.lit(1)).alias("kinds"), *[F.sum(F.greatest(F.col(c) - DISCOUNT, F.lit(0.0))).alias(c) for c in ("ct", "co")]).first()
+    kinds, types = kept["kinds"] + 1, totals["types"] or 0
+    sizes = [float(totals[x] or 0) for x in ("nt", "no")]
+
+    def low(count, cont, side: int):
+        n, part = sizes[side], SHARED * max(sizes[side], 1) / max(sum(sizes), 1)
+        own = F.greatest(count - DISCOUNT, F.lit(0.0))
+        return (own + (n - float(kept[("ct", "co")[side]] or 0)) * (cont + 0.5) / (types + 0.5 * kinds) + part) / (n + part * kinds)
+
+    words = per_word.select("w", low(F.col("ct"), F.col("cont"), 0).alias("lt"), low(F.col("co"), F.col("cont"), 1).alias("lo"))
     per_context = seen.groupBy("h").agg(*[F.sum(c).alias(f"x{c[0]}") for c in ("toxic", "ordinary")], *[F.sum(F.least(F.col(c), F.lit(BIGRAM_DISCOUNT))).alias(f"d{c[0]}") for c in ("toxic", "ordinary")], F.max(F.greatest("toxic", "ordinary")).alias("top"))
     # A context none of whose counts exceeds the discount gives its words their backoff, as an unseen one does.
-    per_context, kept_pairs = per_context.where(F.col("top") > BIGRAM_DISCOUNT), seen.where(F.greatest("toxic", "ordinary") > BIGRAM_DISCOUNT)
+    contexts = materialise(per_context.where(F.col("top") > BIGRAM_DISCOUNT).drop("top"), "contexts")
+    share = {c: F.when(F.col(f"x{c}") > 0, F.col(f"d{c}") / F.col(f"x{c}")).otherwise(1.0) for c in "to"}
+    heads = contexts.select(F.col("h").alias("key"), (F.log(share["t"]) - F.log(share["o"])).alias("head"))
+    ratios = words.select(F.col("w").alias("key"), (F.log("lt") - F.log("lo")).alias("ratio"))
 
-    @F.pandas_udf("int")
-    def one(x):
+    @F.pandas_udf("long")
+    def pair(h, w):
         import pandas as pd
 
-        return pd.Series(_bucket(x.to_numpy(np.int64).view(np.uint64)).astype(np.int32))
+        return pd.Series(_pair(h.to_numpy(np.int64).view(np.uint64), w.to_numpy(np.int64).view(np.uint64)).view(np.int64))
 
-    @F.pandas_udf("int")
-    def two(h, w):
-        import pandas as pd
+    full = seen.where(F.greatest("toxic", "ordinary") > BIGRAM_DISCOUNT).join(contexts, "h").join(words, "w")
+    over = {c: F.when(F.col(f"x{c}") > 0, (F.greatest(F.col(n) - BIGRAM_DISCOUNT, F.lit(0.0)) / F.col(f"x{c}") + share[c] * F.col(f"l{c}")) / (share[c] * F.col(f"l{c}"))).otherwise(1.0) for c, n in (("t", "toxic"), ("o", "ordinary"))}
+    extras = full.select(pair(F.col("h"), F.col("w")).alias("key"), (F.log(over["t"]) - F.log(over["o"])).alias("extra"))
+    tables = {name: materialise(df.select("key", F.col(name).cast("float").alias("value")), name) for name, df in (("head", heads), ("ratio", ratios), ("extra", extras))}
+    rates = [((n - float(kept[c] or 0)) * 0.5 / (types + 0.5 * kinds) + part) / (n + part * kinds) for n, c in zip(sizes, ("ct", "co"), strict=True) for part in [SHARED * max(n, 1) / max(sum(sizes), 1)]]
+    model = {"tables": tables, "unseen": float(np.log(rates[0]) - np.log(rates[1])), "local": None}
+    if sum(df.count() for df in tables.values()) <= local_rows:
+        model["local"] = {name: _sorted(df.toArrow()) for name, df in tables.items()}
+    return model
 
-        return pd.Series(_pair(h.to_numpy(np.int64).view(np.uint64), w.to_numpy(np.int64).view(np.uint64)).astype(np.int32))
 
-    def dense(df: DataFrame, key, names: list[str]) -> list[np.ndarray]:
-        got = df.groupBy(key.alias("b")).agg(*[F.sum(x).cast("float").alias(x) for x in names]).toArrow()
-        out = [np.zeros(1 << BITS, np.float32) for _ in names]
-        for x, name in zip(out, names, strict=True):
-            x[got["b"].to_numpy()] = got[name].to_numpy()
-        return out
+def _sorted(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    key, value = table.column("key").to_numpy(), table.column("value").to_numpy()
+    order = np.argsort(key)
+    return key[order], value[order].astype(np.float32)
 
-    cont, ct, co = dense(per_word, one(F.col("w")), ["cont", "ct", "co"])
-    xt, xo, dt, do = dense(per_context, one(F.col("h")), ["xt", "xo", "dt", "do"])
-    bt, bo = dense(kept_pairs, two(F.col("h"), F.col("w")), ["toxic", "ordinary"])
-    types = float(totals["types"] or 0)
-    shared = (cont + 0.5) / (types + 0.5 * (1 << BITS))
-    model = {"bigram": (bt, bo), "total": (xt, xo), "freed": (dt, do), "unigram": []}
-    sizes = [float(totals[x] or 0) for x in ("nt", "no")]
-    kinds = float(((ct + co) > 0).sum()) + 1
-    for c, n in zip((ct, co), sizes, strict=True):
-        kept = np.maximum(c - DISCOUNT, 0)
-        part = SHARED * max(n, 1) / max(sum(sizes), 1)
-        model["unigram"].append(((kept + (n - float(kept.sum(dtype=np.float64))) * shared + part) / (n + part * kinds)).astype(np.float32))
-    return model
+
+def _look_up(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray, missing: float) -> np.ndarray:
+    known, value = table
+    if not len(known):
+        return np.full(len(keys), missing)
+    at = np.minimum(np.searchsorted(known, keys.view(np.int64)), len(known) - 1)
+    return np.where(known[at] == keys.view(np.int64), value[at], missing).astype(float)
 
 
 def features(texts: list[str | None], model: dict, known: WordHash) -> np.ndarray:
@@ -134,13 +146,9 @@ def features(texts: list[str | None], model: dict, known: WordHash) -> np.ndarra
     if not len(words):
         return out
     context = _contexts(words, offsets)
-    w, h, b = _bucket(words), _bucket(context), _pair(context, words)
-    ratio = np.zeros(len(words))
-    for sign, c in ((1, 0), (-1, 1)):
-        total = model["total"][c][h]
-        low = model["unigram"][c][w]
-        p = (np.maximum(model["bigram"][c][b] - BIGRAM_DISCOUNT, 0) + model["freed"][c][h] * low) / np.maximum(total, 1)
-        ratio += sign * np.log(np.where(total > 0, np.maximum(p, 1e-12), low))
+    local = model["local"]
+    (kinds, at_word), (heads, at_head) = (np.unique(x, return_inverse=True) for x in (words, context))
+    ratio = _look_up(local["ratio"], kinds, model["unseen"])[at_word] + _look_up(local["head"], heads, 0.0)[at_head] + _look_up(local["extra"], _pair(context, words), 0.0)
     n = np.diff(offsets)
     full = np.flatnonzero(n)
     starts = offsets[full]
@@ -155,24 +163,59 @@ def features(texts: list[str | None], model: dict, known: WordHash) -> np.ndarra
     return out
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_calibration: int = MAX_CALIBRATION_DOCS) -> dict:
+def measured(df: DataFrame, columns: list, model: dict, fn, schema: str) -> DataFrame:
+    """fn(features of a batch, its columns) over the selected columns, the last of which is the text.
+
+    With local tables they are broadcast. Otherwise the distinct keys of every CHUNK rows are joined with the written tables,
+    and what is found meets the chunk's texts again.
+    """
+    own = {k: v for k, v in model.items() if k != "tables"}
+    if model["local"] is not None:
+        shared = df.sparkSession.sparkContext.broadcast(own)
+        return map_text(df, columns, lambda batch, known: fn(features(batch.column(batch.num_columns - 1).to_pylist(), shared.value, known), batch.columns), schema, WordHash)
+    names = [f"_c{i}" for i in range(len(columns))]
+    numbered = df.select(*[c.alias(n) for c, n in zip(columns, names, strict=True)]).withColumn("_chunk", F.floor(F.monotonically_increasing_id() / CHUNK))
+    rows = materialise(numbered, "toxicity_rows")
+
+    def ask(batch: pa.RecordBatch, known):
+        words, offsets = _tokens(batch.column(1).to_pylist(), known)
+        context = _contexts(words, offsets)
+        chunk = np.repeat(batch.column(0).to_numpy(), np.diff(offsets))
+        out = [[], [], []]
+        for c in np.unique(chunk):
+            mine = chunk == c
+            for table, keys in (("ratio", words[mine]), ("head", context[mine]), ("extra", _pair(context[mine], words[mine]))):
+                keys = np.unique(keys).view(np.int64)
+                for x, y in zip(out, ([c] * len(keys), [table] * len(keys), keys.tolist()), strict=True):
+                    x.extend(y)
+        return [pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.int64())]
+
+    asked = materialise(map_text(rows, [F.col("_chunk"), F.col(names[-1])], ask, "chunk long, kind string, key long", WordHash).distinct(), "asked")
+    found = [asked.where(F.col("kind") == name).join(table, "key").select("chunk", "kind", "key", "value") for name, table in model["tables"].items()]
+    answers = found[0].unionByName(found[1]).unionByName(found[2])
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        local = {name: _sorted(right.filter(pa.compute.equal(right.column("kind"), name))) for name in ("ratio", "head", "extra")}
+        got = left.select(names).combine_chunks()
+        cols = [got.column(n).combine_chunks() for n in names]
+        cols = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in cols]
+        return pa.table(fn(features(cols[-1].to_pylist(), own | {"local": local}, _known), cols), names=[x.split()[0] for x in schema.split(", ")])
+
+    return rows.groupBy("_chunk").cogroup(answers.groupBy("chunk")).applyInArrow(meet, schema)
+
+
+def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_calibration: int = MAX_CALIBRATION_DOCS, local_rows: int = LOCAL_ROWS) -> dict:
     """Counts from three quarters of the labelled rows; two weights and an intercept from a bounded sample of the rest.
 
     labelled: id, text and a 0/1 label per row; rows with a null among them are left out. With one class or no row, the score is constant.
     """
     rows = labelled.where(F.col(text_col).isNotNull() & F.col(label_col).isNotNull())
     part = F.pmod(F.xxhash64(F.lit("calibrate"), F.col(id_col)), F.lit(4))
-    model = fit_counts(bigram_counts(rows.where(part != 0), text_col, label_col))
+    model = fit_counts(bigram_counts(rows.where(part != 0), text_col, label_col), local_rows)
     rest = rows.where(part == 0)
     size = rest.count()
-    shared = rows.sparkSession.sparkContext.broadcast(model)
-
-    def fn(batch: pa.RecordBatch, known):
-        x = features(batch.column(1).to_pylist(), shared.value, known)
-        return [batch.column(0), *(pa.array(c) for c in x.T)]
-
     drawn = rest.where(hash_share(F.col(id_col)) < min(1.0, max_calibration / max(size, 1)))
-    got = map_text(drawn, [F.col(label_col).cast("int").alias("label"), F.col(text_col).alias("text")], fn, "label int, a double, b double, c double, d double", WordHash).toPandas()
+    got = measured(drawn, [F.col(label_col).cast("int").alias("label"), F.col(text_col).alias("text")], model, lambda x, columns: [columns[0], *(pa.array(c) for c in x.T)], "label int, a double, b double, c double, d double").toPandas()
     y, x = got["label"].to_numpy(float), got[["a", "b", "c", "d"]].to_numpy(float)
     mean, dev = (x.mean(0), x.std(0) + 1e-6) if len(x) else (np.zeros(4), np.ones(4))
     if 0 < y.sum() < len(y):
@@ -185,15 +228,13 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
 def score(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """(id, score, predicted) per row from the whole text; null and wordless texts score by the intercept and zero features."""
     kind = df.schema[id_col].dataType.simpleString()
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    mean, dev, weights = model["mean"], model["dev"], model["weights"]
 
-    def fn(batch: pa.RecordBatch, known):
-        m = shared.value
-        x = (features(batch.column(1).to_pylist(), m, known) - m["mean"]) / m["dev"]
-        p = sigmoid(x @ m["weights"][:-1] + m["weights"][-1])
-        return [batch.column(0), pa.array(p), pa.array((p >= threshold).astype(np.int32))]
+    def fn(x, columns):
+        p = sigmoid((x - mean) / dev @ weights[:-1] + weights[-1])
+        return [columns[0], pa.array(p), pa.array((p >= threshold).astype(np.int32))]
 
-    return map_text(df, [F.col(id_col), F.col(text_col)], fn, f"{id_col} {kind}, score double, predicted int", WordHash)
+    return measured(df, [F.col(id_col), F.col(text_col)], model, fn, f"{id_col} {kind}, score double, predicted int")
 
 
 def held_out(id_col: str = "doc_id"):

@@ -222,6 +222,26 @@ def test_words_seen_up_to_three_times_count(spark):
     assert min(seen) > unseen + 0.1
 
 
+def test_toxicity_tables_grow_and_join(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    rows = queries.all_labelled(docs, labels, "toxic")
+    assert rows.count() == queries.all_labelled(docs, labels, "toxic", most_sent=0).count() == labels.where("toxic is not null").join(docs, "doc_id").count()
+    sent, joined = toxicity.fit(rows), toxicity.fit(rows, local_rows=0)
+    assert joined["local"] is None and sent["tables"]["ratio"].count() == toxicity.bigram_counts(rows.where("text is not null and pmod(xxhash64('calibrate', doc_id), 4) <> 0")).select("w").distinct().count()
+    more = docs.unionByName(spark.createDataFrame([(10**6, None), (10**6 + 1, ""), (None, "no id")], "doc_id long, text string"), allowMissingColumns=True)
+    want = {r.doc_id: r.score for r in toxicity.score(more, sent).collect()}
+    got = {r.doc_id: r.score for r in toxicity.score(more, joined).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-6 for i in want)
+
+
+def test_toxicity_counts_keep_every_word_apart(spark):
+    words = [f"v{i}" for i in range(1 << 20)]
+    rows = [(" ".join(words[i : i + 1024]), int(i % 4096 == 0)) for i in range(0, len(words), 1024)]
+    model = toxicity.fit_counts(toxicity.bigram_counts(spark.createDataFrame(rows, "text string, toxic int")), local_rows=0)
+    assert model["tables"]["ratio"].count() == len(words)
+
+
 def test_base_measures_equal_brute_force(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     rows += list(enumerate([None, "", "a b c d e f g h " * 3, "x\nx\n\n \ny\nx", "# $ é|<>"], 10**6))
