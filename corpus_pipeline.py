@@ -31,10 +31,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one with the least id."""
-    groups = near_dup.near_duplicates(docs)
-    kept = groups.where("kept").select(F.col("doc_id").alias("_kept"))
-    return docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").select(*COLUMNS)
+    """One row of each near-duplicate group: the one with the least id, of several such any one; a null id comes last.
+
+    Rows are told apart by a written key, so ids may be null, repeated or shared by different texts. Rows without words are each a group.
+    """
+    rows = materialise(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "rows")
+    groups = near_dup.near_duplicates(rows, id_col="_row").join(rows.select("_row", "doc_id"), "_row")
+    kept = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"].alias("_row"))
+    return rows.join(kept.select("_row"), "_row", "left_semi").select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
