@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import scores as S
 from ..sources import catalogue as C
 
+#: Title phrases that join_title_phrase looks for.
+PHRASES = ("large ring", "bolt hot", "blue", "ring no_such_token")
 RELEASED = (694224000, 820454400)  # 1992-01-01, 1996-01-01 UTC
 
 
@@ -65,9 +67,21 @@ def join_compound_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("query_idx", "movie_id", C.r6(F.col("n") / 3.0).alias("score"))
 
 
+def title_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(movie_id, token): the distinct tokens of each title."""
+    return C.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("movie_id"), F.explode(F.array_distinct(F.split(F.lower("p_name"), " "))).alias("token")).where("token <> ''")
+
+
+def join_title_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(phrase, item): titles that hold all distinct tokens of a phrase (relational division over token postings), whatever their frequency."""
+    phrases = spark.createDataFrame([(p, t, len(set(p.split()))) for p in PHRASES for t in set(p.split())], "phrase string, token string, wanted long")
+    hits = title_tokens(spark, sf_dir).join(F.broadcast(phrases), "token").groupBy("phrase", "movie_id", "wanted").agg(F.countDistinct("token").alias("held"))
+    return hits.where("held = wanted").select("phrase", "movie_id")
+
+
 def join_title_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items whose title holds all tokens of a phrase (relational division over token postings)."""
-    tokens = C.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("movie_id"), F.explode(F.array_distinct(F.split(F.lower("p_name"), " "))).alias("token")).where("token <> ''")
+    """Per title: its tokens of a document frequency up to the studio ceiling, 323, and the least frequency; phrases are met by join_title_phrase."""
+    tokens = title_tokens(spark, sf_dir)
     frequent = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     return tokens.join(frequent.where("df <= 323"), "token").groupBy("movie_id").agg(F.count(F.lit(1)).alias("tokens"), F.min("df").alias("rarest"))
 
@@ -142,6 +156,7 @@ def set_missing_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ = "WITH" + C.CARDS
+_PHRASES = ", ".join(f"('{p}')" for p in PHRASES)
 _T = """, traits AS (SELECT 'keyword' AS kind, CAST(unnest(keyword_ids) AS BIGINT) AS trait_id FROM cards UNION ALL SELECT 'genre', CAST(unnest(genre_ids) AS BIGINT) FROM cards)"""
 QUERIES = {
     "scan_cards": (scan_cards, _ + " SELECT movie_id, title, company, format, runtime, maturity_rank, votes, reception, released, len(keyword_ids) AS n_keywords, len(genre_ids) AS n_genres FROM cards"),
@@ -153,6 +168,7 @@ QUERIES = {
     "join_person_buckets": (join_person_buckets, "WITH" + C.POSTINGS + " SELECT movie_id, count(DISTINCT term) AS matched, 5 - (3 - count(DISTINCT term)) AS weight FROM postings WHERE term IN (1, 2, 3) GROUP BY 1"),
     "join_compound_lexical": (join_compound_lexical, "WITH" + C.POSTINGS + " SELECT (term - 1) // 3 AS query_idx, movie_id, round(count(DISTINCT term) / 3.0::DOUBLE, 6) AS score FROM postings WHERE term BETWEEN 1 AND 15 GROUP BY 1, 2"),
     "join_title_tokens": (join_title_tokens, "WITH t AS (SELECT DISTINCT p_partkey AS movie_id, unnest(string_split(lower(p_name), ' ')) AS token FROM part), d AS (SELECT token, count(*) AS df FROM t WHERE token <> '' GROUP BY 1) SELECT movie_id, count(*) AS tokens, min(df) AS rarest FROM t JOIN d USING (token) WHERE df <= 323 GROUP BY 1"),
+    "join_title_phrase": (join_title_phrase, f"SELECT phrase, p_partkey AS movie_id FROM part, (VALUES {_PHRASES}) AS v(phrase) WHERE list_has_all(string_split(lower(p_name), ' '), string_split(phrase, ' '))"),
     "agg_doc_frequency": (agg_doc_frequency, _ + " SELECT unnest(keyword_ids) AS keyword_id, count(*) AS df FROM cards GROUP BY 1"),
     "agg_trait_idf": (agg_trait_idf, _ + _T + " SELECT kind, trait_id, count(*) AS df, round(ln((SELECT count(*) FROM cards)::DOUBLE / count(*)) / ln((SELECT count(*) FROM cards)), 6) AS idf FROM traits GROUP BY 1, 2"),
     "win_popularity_percentile": (win_popularity_percentile, _ + "," + C.POPULAR + " SELECT movie_id, votes, round(popularity, 6) AS popularity FROM popular"),
