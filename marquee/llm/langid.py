@@ -122,10 +122,10 @@ def _em(like: np.ndarray, base: np.ndarray, offsets: np.ndarray, doc: np.ndarray
     return pi, _by_doc(total[:, None], offsets)[:, 0]
 
 
-def infer(texts: list[str | None], model: dict, penalty: float = 3.0, steps: int = 12, most: int = 4) -> tuple[list[str], np.ndarray, list[list[str]]]:
+def infer(texts: list[str | None], model: dict, penalty: float = 3.0, steps: int = 12) -> tuple[list[str], np.ndarray, list[list[str]]]:
     """(language, its proportion, the selected set) of each text.
 
-    The set grows from the likeliest single language by the largest mixture proportions, up to `most`, while each
+    The set grows from the likeliest single language by the largest mixture proportions, up to all learned ones, while each
     language added raises the log-likelihood by more than penalty * log(words + 1).
     """
     languages, log_p = model["languages"], model["log_p"]
@@ -161,7 +161,7 @@ def infer(texts: list[str | None], model: dict, penalty: float = 3.0, steps: int
         full, full_ll = _em(sub_like, sub_base, sub_off, sub_doc, np.ones((len(live), k)), steps)
         go = full_ll - score_ll[live] > cost[live]
         ranked = np.argsort(-full, axis=1, kind="stable")
-        for size in range(2, min(most, k) + 1):
+        for size in range(2, k + 1):
             if not go.any():
                 break
             on = np.flatnonzero(go)
