@@ -46,10 +46,10 @@ def vec_blend_decay(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vec_pool_rescale(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Min-max within each space; from .85 up 1, a spread under .01 gives all 1."""
     rows = similarities(C.vectors(spark, sf_dir), [3])
-    w = Window.partitionBy("space")
-    low, spread = F.min("score").over(w), F.max("score").over(w) - F.min("score").over(w)
-    scaled = (F.col("score") - low) / spread
-    return rows.select("space", "movie_id", C.r6(F.when(spread < 0.01, 1.0).when(scaled >= 0.85, 1.0).otherwise(scaled)).alias("score"))
+    ends = rows.groupBy("space").agg(F.min("score").alias("low"), (F.max("score") - F.min("score")).alias("spread"))
+    spread = F.col("spread")
+    scaled = (F.col("score") - F.col("low")) / spread
+    return rows.join(F.broadcast(ends), "space").select("space", "movie_id", C.r6(F.when(spread < 0.01, 1.0).when(scaled >= 0.85, 1.0).otherwise(scaled)).alias("score"))
 
 
 def vec_shape_cohesion(spark: SparkSession, sf_dir: str) -> DataFrame:
