@@ -134,3 +134,20 @@ def pack_documents(df: DataFrame, tokenizer: str, end_id: int = 0, capacity: int
     """token_pieces, then pack: one row per piece with its sequence and offset."""
     pieces = materialise(token_pieces(df, tokenizer, end_id, capacity, id_col, text_col, with_ids), "pieces")
     return pack(pieces, [id_col, "start", "ids_crc32"], capacity=capacity)
+
+
+def digest_ids(packed: DataFrame) -> DataFrame:
+    """Packed pieces with ids_crc32 taken anew from their ids (little-endian 32-bit numbers), which are left out."""
+    rest = packed.drop("ids")
+    names = rest.columns
+    at = names.index("ids_crc32")
+
+    def run(batches):
+        for batch in batches:
+            ids = batch.column(batch.num_columns - 1)
+            values, cuts = ids.values.to_numpy().astype("<u4", copy=False), ids.offsets.to_numpy()
+            columns = list(batch.columns[:-1])
+            columns[at] = pa.array([zlib.crc32(values[lo:hi]) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)], pa.int64())
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return packed.select(*names, "ids").mapInArrow(run, rest.schema)
