@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from ._common import map_text, materialise
+from ._common import SLICE_BYTES, map_text, materialise
 
 CAPACITY = 1024
 #: Sub-groups within which pieces of one length are ranked, so that one length may hold any share of the rows.
@@ -46,12 +46,15 @@ def token_pieces(df: DataFrame, tokenizer: str, end_id: int = 0, capacity: int =
                 crc.append(zlib.crc32(piece))
                 total.append(len(raw) // 4)
                 if with_ids:
-                    ids.append(np.frombuffer(piece, "<u4").astype(np.int32))
+                    ids.append(piece)
         out = [batch.column(0).take(pa.array(row)), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(total, pa.int64())]
-        return [*out, pa.array(ids, pa.list_(pa.int32()))] if with_ids else out
+        if not with_ids:
+            return out
+        cuts = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
+        return [*out, pa.ListArray.from_arrays(cuts, np.frombuffer(b"".join(ids), "<i4"))]
 
     schema = f"{id_col} {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
-    return map_text(df, [F.col(id_col), F.col(text_col)], fn, schema)
+    return map_text(df, [F.col(id_col), F.col(text_col)], fn, schema, slice_bytes=1 << 20 if with_ids else SLICE_BYTES)
 
 
 def pack_histogram(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
