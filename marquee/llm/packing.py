@@ -8,7 +8,6 @@ pieces by each piece's rank among the pieces of its length.
 
 from __future__ import annotations
 
-import zlib
 from collections import defaultdict
 
 import numpy as np
@@ -18,43 +17,35 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from ._common import SLICE_BYTES, map_text, materialise
+from ._common import map_text, materialise
 
 CAPACITY = 1024
 #: Sub-groups within which pieces of one length are ranked, so that one length may hold any share of the rows.
 SPREAD = 256
 
 
-def token_pieces(df: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
-    """(id, start, length, ids_crc32, doc_tokens[, ids]) pieces of each text's ids followed by end_id.
+def token_pieces(df: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, start, length, doc_tokens, ids) pieces of each text's ids followed by end_id.
 
-    Null and empty texts give the end id alone. Pieces are full but for a text's last one.
+    ids are packed as little-endian unsigned 32-bit numbers. Null and empty texts give the end id alone. Pieces are full but
+    for a text's last one.
     """
     kind = df.schema[id_col].dataType.simpleString()
 
     def fn(batch: pa.RecordBatch, _):
         raws = tokens.huggingface_encoder(tokenizer).encode([t or "" for t in batch.column(1).to_pylist()])
         end, step = np.asarray([end_id], "<u4").tobytes(), 4 * capacity
-        row, start, length, crc, total, ids = [], [], [], [], [], []
+        row, start, total, ids = [], [], [], []
         for i, raw in enumerate(raws):
             raw += end
             for at in range(0, len(raw), step):
-                piece = raw[at : at + step]
                 row.append(i)
                 start.append(at // 4)
-                length.append(len(piece) // 4)
-                crc.append(zlib.crc32(piece))
                 total.append(len(raw) // 4)
-                if with_ids:
-                    ids.append(piece)
-        out = [batch.column(0).take(pa.array(row)), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(total, pa.int64())]
-        if not with_ids:
-            return out
-        cuts = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
-        return [*out, pa.ListArray.from_arrays(cuts, np.frombuffer(b"".join(ids), "<i4"))]
+                ids.append(raw[at : at + step])
+        return [batch.column(0).take(pa.array(row)), pa.array(start, pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(total, pa.int64()), pa.array(ids, pa.binary())]
 
-    schema = f"{id_col} {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
-    return map_text(df, [F.col(id_col), F.col(text_col)], fn, schema, slice_bytes=1 << 20 if with_ids else SLICE_BYTES)
+    return map_text(df, [F.col(id_col), F.col(text_col)], fn, f"{id_col} {kind}, start long, length long, doc_tokens long, ids binary", slice_bytes=1 << 20)
 
 
 def pack_histogram(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
@@ -133,24 +124,12 @@ def pack(pieces: DataFrame, keys: list[str], length_col: str = "length", capacit
     return placed.select(*pieces.columns, "_place.sequence_id", "_place.offset")
 
 
-def pack_documents(df: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
-    """token_pieces, then pack: one row per piece with its sequence and offset."""
-    pieces = materialise(token_pieces(df, tokenizer, end_id, capacity, id_col, text_col, with_ids), "pieces")
-    return pack(pieces, [id_col, "start", "ids_crc32"], capacity=capacity)
+def pack_documents(df: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """token_pieces, then pack: one row per piece with its ids, sequence and offset."""
+    pieces = materialise(token_pieces(df, tokenizer, end_id, capacity, id_col, text_col), "pieces")
+    return pack(pieces, [id_col, "start", "ids"], capacity=capacity)
 
 
 def digest_ids(packed: DataFrame) -> DataFrame:
-    """Packed pieces with ids_crc32 taken anew from their ids (little-endian 32-bit numbers), which are left out."""
-    rest = packed.drop("ids")
-    names = rest.columns
-    at = names.index("ids_crc32")
-
-    def run(batches):
-        for batch in batches:
-            ids = batch.column(batch.num_columns - 1)
-            values, cuts = ids.values.to_numpy().astype("<u4", copy=False), ids.offsets.to_numpy()
-            columns = list(batch.columns[:-1])
-            columns[at] = pa.array([zlib.crc32(values[lo:hi]) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)], pa.int64())
-            yield pa.RecordBatch.from_arrays(columns, names)
-
-    return packed.select(*names, "ids").mapInArrow(run, rest.schema)
+    """Packed pieces with ids_crc32, taken from their ids (little-endian 32-bit numbers), in place of these."""
+    return packed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")

@@ -13,10 +13,12 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Units of up to so many characters are remembered, so many of them.
-UNIT_CHARS, UNITS = 64, 1_000_000
+#: Units of up to so many characters are remembered, about so many of them.
+UNIT_CHARS, UNITS = 64, 400_000
 #: Longer units are cut again where a letter meets a digit or the reverse.
 LONG = 4096
+#: Units that are encoded as one text.
+JOINED = 500
 _GAP = re.compile(r"\s ")
 _BEFORE_SPACE = re.compile(r"(?<=\S)(?=\s)")
 _KIND = None
@@ -30,7 +32,7 @@ def safe_pieces(text: str) -> list[str]:
         pieces += [" " + x for x in rest]
     else:
         pieces = _BEFORE_SPACE.split(text)
-    if max(map(len, pieces), default=0) > LONG:
+    if len(text) > LONG and max(map(len, pieces)) > LONG:
         pieces = [y for x in pieces for y in (_cut_long(x) if len(x) > LONG else [x])]
     return pieces
 
@@ -45,7 +47,7 @@ def _cut_long(piece: str) -> list[str]:
 
 
 class Encoder:
-    """ids of texts as little-endian 32-bit bytes; encode_many turns a list of new units into lists of ids."""
+    """ids of texts as little-endian 32-bit bytes; encode_many gives such bytes for each of a list of new units."""
 
     def __init__(self, encode_many):
         self.encode_many, self.known = encode_many, {}
@@ -55,7 +57,7 @@ class Encoder:
         if len(known) > UNITS:
             known.clear()
         new = list(set().union(*cut).difference(known))
-        fresh = {u: np.asarray(ids, "<u4").tobytes() for u, ids in zip(new, self.encode_many(new), strict=True)} if new else {}
+        fresh = self.encode_many(new) if new else {}
         long = {u: fresh.pop(u) for u in new if len(u) > UNIT_CHARS}
         known.update(fresh)
         if long:
@@ -63,17 +65,53 @@ class Encoder:
         return [b"".join(map(known.__getitem__, units)) for units in cut]
 
 
+def _ids_bytes(ids: list[int]) -> bytes:
+    return np.asarray(ids, "<u4").tobytes()
+
+
+class _JoinedUnits:
+    """Encodes units by a Hugging Face tokenizer of byte-level BPE, those that may stand side by side as one text.
+
+    Units that begin with their only blank and do not end in white space meet at safe cuts, and the tokens that begin with a
+    blank are then the units' first ones.
+    """
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+        vocabulary = tokenizer.get_vocab(with_added_tokens=True)
+        self.first = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.first[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True  # byte-level form of a blank
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def __call__(self, units: list[str]) -> dict[str, bytes]:
+        side = [u for u in units if u.rfind(" ") == 0 and not u[-1].isspace()]
+        apart, out = set(units).difference(side), {}
+        for lo in range(0, len(side), JOINED):
+            own = side[lo : lo + JOINED]
+            ids = np.asarray(self._ids(["".join(own)])[0], "<u4")
+            cuts = np.flatnonzero(self.first[ids])
+            if len(cuts) != len(own):
+                apart.update(own)
+                continue
+            raw, cuts = ids.tobytes(), (4 * np.append(cuts, len(ids))).tolist()
+            out |= {u: raw[x:y] for u, x, y in zip(own, cuts, cuts[1:], strict=False)}
+        return out | dict(zip(apart, map(_ids_bytes, self._ids(list(apart))), strict=True))
+
+
 @lru_cache(1)
 def huggingface_encoder(path: str) -> Encoder:
-    """Encoder by a tokenizers JSON file; strings of special tokens count as ordinary text."""
+    """Encoder by a tokenizers JSON file of byte-level BPE; strings of its special tokens become these, as the library has it."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return Encoder(lambda units: [e.ids for e in tokenizer.encode_batch_fast(units, add_special_tokens=False)])
+    if any(re.search(r"\s|[^\W\d_]\d|\d[^\W\d_]", t.content) or t.lstrip or t.rstrip for t in tokenizer.get_added_tokens_decoder().values()):
+        raise ValueError("texts may not be cut inside a special token")
+    return Encoder(_JoinedUnits(tokenizer))
 
 
 @lru_cache(1)
@@ -93,7 +131,7 @@ def tiktoken_encoding(path: str, pattern: str):
 def tiktoken_encoder(path: str, pattern: str) -> Encoder:
     """Encoder by a local rank file and the tiktoken library."""
     ordinary = tiktoken_encoding(path, pattern).encode_ordinary
-    return Encoder(lambda units: [ordinary(u) for u in units])
+    return Encoder(lambda units: {u: _ids_bytes(ordinary(u)) for u in units})
 
 
 @lru_cache(1)

@@ -1,5 +1,6 @@
 """Packed sequences hold their tokens, and op4's digests come from them."""
 
+import random
 import zlib
 
 import numpy as np
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from marquee.llm import packing, queries
+from marquee.llm import packing, queries, tokens
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 SF = "/root/testdata/sf0.001"
@@ -16,12 +17,26 @@ SF = "/root/testdata/sf0.001"
 def test_pipeline_keeps_ids_and_op4_digests_them(spark, monkeypatch):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     packed = {(r.doc_id, r.start): r for r in corpus_pipeline.pack(spark, docs, SF).collect()}
-    assert all(len(r.ids) == r.length for r in packed.values())
+    assert all(len(r.ids) == 4 * r.length for r in packed.values())
     got = {(r.doc_id, r.start): r for r in queries.op4_packing(spark, SF).collect()}
     assert got.keys() == packed.keys() and "ids" not in next(iter(got.values()))
     for k, r in got.items():
-        assert r.ids_crc32 == zlib.crc32(np.asarray(packed[k].ids, "<u4").tobytes()) and r.sequence_id == packed[k].sequence_id
+        assert r.ids_crc32 == zlib.crc32(packed[k].ids) and r.sequence_id == packed[k].sequence_id
     # Whatever happens to the ids on the way shows in the digests.
     whole = packing.pack_documents
-    monkeypatch.setattr(packing, "pack_documents", lambda *a, **k: whole(*a, **k).withColumn("ids", F.slice("ids", 1, 1)))
-    assert {r.ids_crc32 for r in queries.op4_packing(spark, SF).limit(50).collect()} <= {zlib.crc32(np.asarray(r.ids[:1], "<u4").tobytes()) for r in packed.values()}
+    monkeypatch.setattr(packing, "pack_documents", lambda *a, **k: whole(*a, **k).withColumn("ids", F.substring("ids", 1, 4)))
+    assert {r.ids_crc32 for r in queries.op4_packing(spark, SF).limit(50).collect()} <= {zlib.crc32(r.ids[:4]) for r in packed.values()}
+
+
+@pytest.mark.parametrize("long", [4096, 6])
+def test_ids_are_the_library_s_for_odd_texts(monkeypatch, long):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokens, "LONG", long)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain, ours = Tokenizer.from_file(path), tokens.huggingface_encoder(path)
+    rng = random.Random(long)
+    parts = ["<|endoftext|>", " ", "  ", "\n", "\t", "a", "é", "12", "x1", "'s", "…", "\u3000", " foo", "bar ", "<|", "|>", "endoftext", " the", "\u0301", "\x00", "\x85", "\xa0"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(4000)]
+    for text, raw in zip(texts, ours.encode(texts), strict=True):
+        assert np.frombuffer(raw, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
