@@ -8,7 +8,9 @@
    other class. Odd sketches drop pairs whose XOR population count shows too low a similarity; the
    rest are confirmed on full shingle sets. Confirmed links give components.
 4. Buckets that still hold several components are compared in blocks on their odd sketches: first
-   the best partner of each class in every other component, then, where components still differ, every pair that passes. Nothing is capped.
+   each class with its nearest partner of another component, one pair a class. Where components still differ, the
+   classes with a partner that may be linked meet with their texts, and only links that join two components leave the
+   group. Nothing is capped, and no group returns more links than it has rows.
 
 With 22 bands of 4 samples a pair at similarity 0.8 shares no band with probability 1e-5; a sketch drops a pair only if it
 differs in more bits than four standard deviations over what the least similarity gives.
@@ -17,7 +19,6 @@ differs in more bits than four standard deviations over what the least similarit
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -32,8 +33,10 @@ SKETCH_BITS = 1024
 SAMPLE = 1024
 #: Standard deviations that an estimate may lie off before its pair is dropped.
 SLACK = 4.0
-#: Classes of one bucket compared at a time; a row has some 300 bytes, so two blocks take a few MB.
+#: Classes of one bucket compared at a time; a row has some 500 bytes, so two blocks take a few MB.
 BLOCK = 4096
+#: Shingles of the texts compared at a time, about.
+BLOCK_WEIGHT = 1_000_000
 #: Members whose sets meet a hub's set in one group.
 GROUP = 128
 #: Most rows (of ids and class ids) that are sent to every executor instead of shuffling the texts.
@@ -71,6 +74,13 @@ def set_digest(shingles: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(shingles.tobytes())
 
 
+def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets have percent / 100 of their union in common."""
+    small, large = (x, y) if len(x) < len(y) else (y, x)
+    both = int(np.count_nonzero(large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def bands_of(sets: list[np.ndarray]) -> np.ndarray:
     """Band keys (n x BANDS) of non-empty sets."""
     joined, starts = np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
@@ -145,11 +155,11 @@ def close_pairs(pairs: DataFrame, sketch: DataFrame, percent: int) -> DataFrame:
     sized = pairs.where((100 * F.least("n_shingles_a", "n_shingles_b") >= percent * F.greatest("n_shingles_a", "n_shingles_b")) & (F.abs(F.col("level_a") - F.col("level_b")) <= 1))
     bits = F.when(F.col("level_a") == F.col("level_b"), _differing("odd_a", "odd_b")).when(F.col("level_a") < F.col("level_b"), _differing("more_a", "odd_b")).otherwise(_differing("odd_a", "more_b"))
 
-    @F.pandas_udf("double")
-    def most(total: pd.Series, level: pd.Series) -> pd.Series:
-        return pd.Series(most_differing(total.to_numpy(), level.to_numpy(), percent))
-
-    allowed = most(F.col("n_shingles_a") + F.col("n_shingles_b"), F.greatest("level_a", "level_b"))
+    # most_differing as an expression.
+    whole, rate = (F.col("n_shingles_a") + F.col("n_shingles_b")) * (100 - percent) / (100 + percent), F.pow(F.lit(0.5), F.greatest("level_a", "level_b"))
+    d = whole * rate
+    d = d + SLACK * F.sqrt(d * (1 - rate) + 2 * d * d / SKETCH_BITS) + 3
+    allowed = F.when(F.greatest("level_a", "level_b") == 0, whole + 1e-9).otherwise(SKETCH_BITS / 2 * (1 - F.exp(-2 * d / SKETCH_BITS)))
     return sized.where(bits <= allowed).select("a", "b")
 
 
@@ -184,9 +194,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, members: DataFrame, width: int,
                 if is_hub:
                     hub, at = x, own
                     continue
-                small, large = (x, hub) if len(x) < len(hub) else (hub, x)
-                both = int(np.count_nonzero(large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small))
-                if 100 * both >= percent * (len(x) + len(hub) - both):
+                if linked(x, hub, percent):
                     a.append(at)
                     b.append(own)
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
@@ -197,7 +205,8 @@ def confirm(pairs: DataFrame, texts: DataFrame, members: DataFrame, width: int,
 def components(links: DataFrame) -> DataFrame:
     """(cls, label) for every class in a link: label is the least class reachable.
 
-    Each round hooks every component to its least neighbour and jumps once; rounds grow with the logarithm of the links.
+    Each round hooks every component to its least neighbour and jumps once, then goes on with the links between
+    labels only; rounds grow with the logarithm of the links.
     """
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = materialise(both.groupBy(F.col("a").alias("cls")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
@@ -209,67 +218,169 @@ def components(links: DataFrame) -> DataFrame:
         # Labels are classes too: a label's own label may be smaller by now.
         roots = labels.select(F.col("cls").alias("label"), F.col("label").alias("up")).where("label <> up")
         hooks = cross.groupBy(F.col("b").alias("label")).agg(F.min("a").alias("hook"))
-        if cross.isEmpty():
+        moved = labels.join(hooks, "label", "left").join(roots, "label", "left").where("hook IS NOT NULL OR up IS NOT NULL")
+        if moved.isEmpty():
             return labels
-        moved = labels.join(hooks, "label", "left").join(roots, "label", "left")
-        step = moved.select("cls", F.least("label", "hook", "up").alias("label"))
+        step = labels.join(hooks, "label", "left").join(roots, "label", "left").select("cls", F.least("label", "hook", "up").alias("label"))
         labels = materialise(step, "labels")
-        edges = links
+        edges = cross
 
 
-def _with_labels(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
-    if labels is None:
-        return rows.withColumn("label", F.col("cls"))
-    return rows.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+def _open_rows(shared_rows: DataFrame, labels: DataFrame, bits: DataFrame) -> DataFrame:
+    """Rows of the buckets that still hold several labels, without the hub, which has met them all; minor: not of the bucket's largest label."""
+    labelled = shared_rows.where("n > 2").join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    several = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+    rows = labelled.where("cls <> hub").join(several, "key", "left_semi")
+    held = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("_c")).groupBy("key").agg(F.max_by("label", F.struct("_c", "label")).alias("bulk"))
+    return materialise(rows.join(held, "key").withColumn("minor", F.col("label") != F.col("bulk")).join(bits, "cls").select("key", "cls", "label", "minor", "n_shingles", "level", "odd", "more", "bands"), "open")
 
 
-def _block_pairs(open_rows: DataFrame, percent: int, best_only: bool) -> DataFrame:
-    """Pairs of classes of one bucket and different labels whose sizes and odd sketches allow percent / 100 similarity.
+def _meetings(rows: DataFrame, weight: str) -> DataFrame:
+    """rows with g, i, j and block: the groups in which blocks of one bucket meet.
 
-    Buckets are dealt in blocks of BLOCK classes; every two blocks meet in one group, small buckets many to a group. best_only
-    keeps each class's nearest partner in each other label.
+    A block has about BLOCK rows and BLOCK_WEIGHT of the weight. Rows of a bucket's largest label never meet each
+    other, so they are sent once per block of the others; a bucket of one block is one of many in its group.
     """
-    open_rows = materialise(open_rows, "open")
-    chunks = max(1, open_rows.count() // 4000)
-    dealt = open_rows.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    group = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("key"), F.lit(chunks))).otherwise(F.col("key"))
-    met = met.select(group.alias("g"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "key", "block", "cls", "label", "n_shingles", "level", "odd", "more")
+    load = F.greatest(F.count(F.lit(1)) / BLOCK, F.sum(weight) / BLOCK_WEIGHT)
+    sizes = rows.groupBy("key", "minor").agg(load.alias("load")).groupBy("key").agg(F.sum("load").alias("all"), F.coalesce(F.sum(F.when(F.col("minor"), F.col("load"))), F.lit(0.0)).alias("few"))
+    total = rows.agg(F.greatest(F.count(F.lit(1)) / BLOCK, F.coalesce(F.sum(weight), F.lit(0)) / BLOCK_WEIGHT)).first()[0]
+    sizes = sizes.withColumn("p", F.ceil("few").cast("int")).withColumn("q", F.ceil(F.col("all") - F.col("few")).cast("int"))
+    one = F.col("all") <= 1
+    dealt = rows.join(sizes, "key")
+    block = F.when(one, F.lit(0)).when(F.col("minor"), F.pmod(F.xxhash64("cls"), F.greatest("p", F.lit(1)))).otherwise(F.col("p") + F.pmod(F.xxhash64("cls"), F.greatest("q", F.lit(1)))).cast("int")
+    last = F.when(one, F.lit(0)).when(F.col("minor"), F.col("p") + F.col("q") - 1).otherwise(F.col("p") - 1)
+    met = dealt.withColumn("block", block).where(last >= 0).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    group = F.when(one, F.pmod(F.xxhash64("key"), F.lit(max(1, int(total))))).otherwise(F.col("key"))
+    return met.select(*rows.columns, "block", group.alias("g"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+
+
+def _buckets_of(rows: pa.Table):
+    """rows sorted by bucket, and each bucket's first and last-but-one position."""
+    rows = rows.sort_by([("key", "ascending"), ("cls", "ascending")])
+    keys = rows.column("key").to_numpy()
+    edges = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
+    return rows, keys, list(zip(edges[:-1], edges[1:], strict=True))
+
+
+def _sides(block: np.ndarray, lo: int, hi: int, i: int, j: int):
+    """(position, positions it meets) for every pair of positions of a bucket in blocks i and j, each pair once."""
+    own = np.arange(lo, hi)
+    left, right = own[block[lo:hi] == i], own[block[lo:hi] == j]
+    for x in left:
+        yield x, right[right > x] if i == j else right
+
+
+def _sketch_distance(x: int, others: np.ndarray, odd, more, level) -> np.ndarray:
+    theirs = np.where((level[others] < level[x])[:, None], more[others], odd[others])
+    mine = np.where((level[others] > level[x])[:, None], more[x], odd[x])
+    return np.bitwise_count(theirs ^ mine).sum(1)
+
+
+def _fitting(x: int, others: np.ndarray, size, level, percent: int) -> np.ndarray:
+    fits = (100 * np.minimum(size[others], size[x]) >= percent * np.maximum(size[others], size[x])) & (np.abs(level[others] - level[x]) <= 1)
+    return others[fits]
+
+
+def _sketch_meetings(open_rows: DataFrame, percent: int, found, schema: str) -> DataFrame:
+    """found(...) of every two blocks that meet: it is handed the rows and an iterator of (position, positions whose sketches allow a link, distances)."""
 
     def compare(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         i, j = key[1].as_py(), key[2].as_py()
-        rows = rows.sort_by("key")
-        keys, block = rows.column("key").to_numpy(), rows.column("block").to_numpy()
-        cls, label = np.array(rows.column("cls").to_pylist(), object), np.array(rows.column("label").to_pylist(), object)
-        odd = np.array(rows.column("odd").to_pylist(), np.int64).view(np.uint64)
-        more = np.array([x if x is not None else [0] * odd.shape[1] for x in rows.column("more").to_pylist()], np.int64).view(np.uint64)
+        rows, keys, buckets = _buckets_of(rows)
+        block, codes = rows.column("block").to_numpy(), np.unique(np.array(rows.column("label").to_pylist(), object), return_inverse=True)[1]
+        odd = np.array(rows.column("odd").to_pylist(), np.int64).reshape(len(rows), -1).view(np.uint64)
+        more = np.array([x if x is not None else [0] * odd.shape[1] for x in rows.column("more").to_pylist()], np.int64).reshape(len(rows), -1).view(np.uint64)
         size, level = rows.column("n_shingles").to_numpy(), rows.column("level").to_numpy()
-        codes = np.unique(label, return_inverse=True)[1]
-        pairs = set()
-        edges = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
-        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-            own = np.arange(lo, hi)
-            left, right = own[block[lo:hi] == i], own[block[lo:hi] == j]
-            for x in left:
-                others = right[right > x] if i == j else right
-                others = others[codes[others] != codes[x]]
-                fits = (100 * np.minimum(size[others], size[x]) >= percent * np.maximum(size[others], size[x])) & (np.abs(level[others] - level[x]) <= 1)
-                others = others[fits]
+
+        def candidates():
+            for lo, hi in buckets:
+                for x, others in _sides(block, lo, hi, i, j):
+                    others = _fitting(x, others[codes[others] != codes[x]], size, level, percent)
+                    if len(others):
+                        far = _sketch_distance(x, others, odd, more, level)
+                        near = far <= most_differing(size[others] + size[x], np.maximum(level[others], level[x]), percent)
+                        if near.any():
+                            yield x, others[near], far[near]
+
+        return found(key, rows, keys, candidates())
+
+    return _meetings(open_rows, "level").groupBy("g", "i", "j").applyInArrow(compare, schema)
+
+
+def nearest_pairs(open_rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b): each class of open_rows, if not of a bucket's largest label, with the class of another label that its sketch is nearest to, if any may be linked.
+
+    At most one pair a class, whatever the size of its buckets.
+    """
+
+    def nearest(key, rows: pa.Table, keys, candidates) -> pa.Table:
+        best, mate = np.full(len(rows), np.iinfo(np.int64).max), np.full(len(rows), -1)
+        for x, others, far in candidates:
+            k = int(np.argmin(far))
+            if far[k] < best[x]:
+                best[x], mate[x] = far[k], others[k]
+            closer = far < best[others]
+            best[others[closer]], mate[others[closer]] = far[closer], x
+        at = np.flatnonzero((mate >= 0) & rows.column("minor").to_numpy(zero_copy_only=False))
+        cls = rows.column("cls").to_pylist()
+        return pa.table({"cls": pa.array([cls[k] for k in at], pa.binary()), "mate": pa.array([cls[k] for k in mate[at]], pa.binary()), "far": pa.array(best[at], pa.int64())})
+
+    found = _sketch_meetings(open_rows, percent, nearest, "cls binary, mate binary, far long")
+    best = found.groupBy("cls").agg(F.min_by("mate", F.struct("far", "mate")).alias("mate"))
+    return best.select(F.least("cls", "mate").alias("a"), F.greatest("cls", "mate").alias("b")).distinct()
+
+
+def forest_links(open_rows: DataFrame, texts: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
+    """(a, b) links on full sets that join the labels of every bucket of open_rows as far as they can be joined.
+
+    First the classes are marked whose sketches allow a link to another label, each two in the first bucket they share. Then the
+    marked ones meet again with their texts, and a group returns only links that join two of its parts: fewer than it has rows.
+    """
+
+    def mark(key, rows: pa.Table, keys, candidates) -> pa.Table:
+        bands = np.array(rows.column("bands").to_pylist(), np.int64).reshape(len(rows), -1)
+        marked = np.zeros(len(rows), bool)
+        for x, others, _ in candidates:
+            same = bands[others] == bands[x]
+            first = bands[x][np.argmax(same, 1)] == keys[x]
+            marked[x] |= first.any()
+            marked[others[first]] = True
+        return rows.select(["key", "cls", "label", "minor", "n_shingles"]).filter(pa.array(marked))
+
+    marked = materialise(_sketch_meetings(open_rows, percent, mark, "key long, cls binary, label binary, minor boolean, n_shingles long").distinct(), "marked")
+    asked = materialise(_meetings(marked, "n_shingles").join(members, "cls"), "asked")
+    small = F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked
+    met = texts.join(small, texts["id"].eqNullSafe(small["member"])).select("g", "i", "j", "key", "cls", "label", "block", "text")
+
+    def join(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        i, j = key[1].as_py(), key[2].as_py()
+        rows, _, buckets = _buckets_of(rows)
+        block, cls, label = rows.column("block").to_numpy(), rows.column("cls").to_pylist(), rows.column("label").to_pylist()
+        sets = []
+        for lo in range(0, len(cls), GROUP):
+            sets += shingle_sets(rows.column("text").slice(lo, GROUP).to_pylist(), width, _known)
+        # Another text under the same id has another class: it takes no part.
+        size = np.array([len(x) if set_digest(x) == own else 0 for x, own in zip(sets, cls, strict=True)])
+        level = np.array([level_of(n) for n in size])
+        odd = np.array([odd_sketch(x, k) for x, k in zip(sets, level, strict=True)])
+        more = np.array([odd_sketch(x, k + 1) for x, k in zip(sets, level, strict=True)])
+        names = np.unique(np.array(label, object), return_inverse=True)[1]
+        a, b = [], []
+        for lo, hi in buckets:
+            for x, others in _sides(block, lo, hi, i, j):
+                others = _fitting(x, others[(names[others] != names[x]) & (size[others] > 0) & (size[x] > 0)], size, level, percent)
                 if not len(others):
                     continue
-                theirs = np.where((level[others] < level[x])[:, None], more[others], odd[others])
-                mine = np.where((level[others] > level[x])[:, None], more[x], odd[x])
-                far = np.bitwise_count(theirs ^ mine).sum(1)
+                far = _sketch_distance(x, others, odd, more, level)
                 near = far <= most_differing(size[others] + size[x], np.maximum(level[others], level[x]), percent)
-                others, far = others[near], far[near]
-                if best_only and len(others):
-                    order = np.lexsort((far, codes[others]))
-                    others = others[order[np.concatenate([[True], np.diff(codes[others][order]) != 0])]]
-                pairs |= {(min(cls[x], c), max(cls[x], c)) for c in cls[others]}
-        a, b = zip(*sorted(pairs), strict=True) if pairs else ((), ())
+                for y in others[near][np.argsort(far[near], kind="stable")]:
+                    if names[x] != names[y] and linked(sets[x], sets[y], percent):
+                        a.append(min(cls[x], cls[y]))
+                        b.append(max(cls[x], cls[y]))
+                        names[names == names[y]] = names[x]
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
-    return met.groupBy("g", "i", "j").applyInArrow(compare, "a binary, b binary").distinct()
+    return met.groupBy("g", "i", "j").applyInArrow(join, "a binary, b binary").distinct()
 
 
 def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -288,17 +399,15 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
     buckets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("cls").alias("hub")).where("n > 1")
     shared_rows = materialise(rows.join(buckets, "key"), "buckets")
 
-    bits = sketch.drop("bands")
     pairs = shared_rows.where("cls <> hub").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct()
-    close = close_pairs(pairs, bits, percent)
+    close = close_pairs(pairs, sketch, percent)
     links = materialise(confirm(close, texts, members, width, percent), "links")
     labels = components(links)
 
-    for best_only in (True, False):
-        labelled = _with_labels(shared_rows.where("n > 2"), labels)
-        still = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-        open_rows = labelled.join(still, "key", "left_semi").join(bits, "cls").select("key", "n", "cls", "label", "n_shingles", "level", "odd", "more")
-        more = materialise(confirm(_block_pairs(open_rows, percent, best_only), texts, members, width, percent), "links")
+    for by_texts in (False, True):
+        open_rows = _open_rows(shared_rows, labels, sketch)
+        found = forest_links(open_rows, texts, members, width, percent) if by_texts else confirm(nearest_pairs(open_rows, percent), texts, members, width, percent)
+        more = materialise(found, "links")
         if not more.isEmpty():
             links = links.unionByName(more)
             labels = components(links)
