@@ -1,7 +1,9 @@
-"""Quality by weak supervision: rules vote or abstain, EM estimates their accuracies, a posterior decides.
+"""Quality by weak supervision: rules vote or abstain, EM estimates how far each is right, a posterior decides.
 
-Label model: a document is good with probability `prior`; rule j votes with a probability that does not depend on that and is right
-with accuracy a_j when it votes. Only the counts of vote patterns (at most 3 ** rules) reach the driver.
+Each rule compares one integer ratio of a document with the quartiles of that ratio over all documents: inside the usual range it votes
+good, far outside bad, between it abstains. Label model: a hidden class (good, bad) and, for each rule, the probabilities of
+its three outcomes in either class; EM fits them and the class balance to the counts of vote patterns. Only the ratios' histograms (at
+most LARGEST + 1 numbers a rule) and the counts of vote patterns (at most 3 ** rules) reach the driver.
 """
 
 from __future__ import annotations
@@ -16,6 +18,15 @@ from ._common import WordHash, count_space, map_text, word_hashes
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
 _SPACES = " \t\n\x0b\x0c\r"
+#: Ratios are whole numbers from 0 to this.
+LARGEST = 10_000
+#: Quartile distances beyond the quartiles at which a vote turns to abstention, then to bad.
+MILD, FAR = 1.5, 3.0
+#: Words that a text needs before its share of distinct words says something.
+VARIETY_WORDS = 50
+OUTCOMES = (-1, 0, 1)
+#: Dirichlet weights of a rule's bad, abstaining and good votes before any document is seen, by class; and of the two classes.
+GOOD_VOTES, BAD_VOTES, BALANCE = (0.1, 0.4, 1.5), (1.0, 0.5, 0.5), (9.0, 1.0)
 
 
 def repeated_words(words: np.ndarray, width: int = WINDOW) -> int:
@@ -76,61 +87,92 @@ def measure(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return map_text(df, [F.col(id_col), F.col(text_col)], fn, f"{id_col} {kind}, " + ", ".join(f"{m} long" for m in MEASURES), WordHash)
 
 
-def _vote(bad: Column, good: Column) -> Column:
-    return F.when(bad, -1).when(good, 1).otherwise(0)
+def _ratio(part: Column, whole: Column, scale: int = 1000) -> Column:
+    return F.least(F.floor(scale * part / F.greatest(whole, F.lit(1))), F.lit(LARGEST)).cast("int")
 
 
-def rules() -> dict[str, Column]:
-    """Votes over the measures: 1 good, -1 bad, 0 abstains. Every comparison is of integers."""
+def ratios() -> dict[str, tuple[Column, int, bool, bool]]:
+    """By rule: the integer ratio, the least quartile distance it is measured by, and whether low and high values speak against a text."""
     c = {m: F.col(m) for m in MEASURES}
     return {
-        "length": _vote(c["n_words"] < 30, c["n_words"] >= 60),
-        "word_length": _vote((c["word_chars"] < 2 * c["n_words"]) | (c["word_chars"] > 14 * c["n_words"]), (c["word_chars"] >= 3 * c["n_words"]) & (c["word_chars"] <= 10 * c["n_words"])),
-        "symbols": _vote(5 * c["n_symbols"] > c["n_words"], 50 * c["n_symbols"] < c["n_words"]),
-        "letters": _vote(100 * c["n_letters"] < 60 * c["word_chars"], 100 * c["n_letters"] >= 80 * c["word_chars"]),
-        "capitals": _vote(2 * c["n_upper"] > c["n_letters"], 5 * c["n_upper"] < c["n_letters"]),
-        "exclaims": _vote(5 * c["n_bangs"] > c["n_words"], 50 * c["n_bangs"] < c["n_words"]),
-        "sentences": _vote(c["n_words"] > 200 * F.greatest(c["n_stops"], F.lit(0)), c["n_words"] <= 60 * c["n_stops"]),
-        "variety": _vote((c["n_words"] >= 20) & (10 * c["n_distinct"] < c["n_words"]), (c["n_words"] >= 20) & (5 * c["n_distinct"] >= c["n_words"])),
-        "copied_lines": _vote(2 * c["n_dup_lines"] > c["n_lines"], c["n_dup_lines"] == 0),
-        "copied_words": _vote(100 * c["n_repeat_words"] > 30 * c["n_words"], 100 * c["n_repeat_words"] < 5 * c["n_words"]),
+        "word_length": (_ratio(c["word_chars"], c["n_words"], 100), 50, True, True),
+        "symbols": (_ratio(c["n_symbols"], c["n_words"]), 20, False, True),
+        "letters": (_ratio(c["n_letters"], c["word_chars"]), 20, True, False),
+        "capitals": (_ratio(c["n_upper"], c["n_letters"]), 20, False, True),
+        "exclaims": (_ratio(c["n_bangs"], c["n_words"]), 20, False, True),
+        "sentences": (_ratio(c["n_words"], c["n_stops"], 10), 50, True, True),
+        "variety": (F.when(c["n_words"] >= VARIETY_WORDS, _ratio(c["n_distinct"], c["n_words"])), 50, True, False),
+        "copied_lines": (_ratio(c["n_dup_lines"], c["n_lines"]), 50, False, True),
+        "copied_words": (_ratio(c["n_repeat_words"], c["n_words"]), 50, False, True),
     }
 
 
-def fit_label_model(votes: np.ndarray, counts: np.ndarray, steps: int = 200, least: float = 0.55, most: float = 0.98) -> tuple[float, np.ndarray]:
-    """(prior of good, accuracy of each rule) by EM over distinct vote patterns.
+def quartiles(measures: DataFrame) -> dict[str, tuple[int, int]]:
+    """Lower and upper quartile of each rule's ratio over all documents, from exact histograms; (0, 0) where there is none."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(name).alias("rule"), ratio.alias("value")) for name, (ratio, *_) in ratios().items()])).alias("x")
+    seen = measures.select(pairs).select("x.*").where("value IS NOT NULL").groupBy("rule", "value").count().toPandas()
+    out = dict.fromkeys(ratios(), (0, 0))
+    for name, own in seen.groupby("rule"):
+        own = own.sort_values("value")
+        share = own["count"].cumsum().to_numpy() / own["count"].sum()
+        values = own["value"].to_numpy()
+        out[name] = (int(values[np.searchsorted(share, 0.25)]), int(values[np.searchsorted(share, 0.75)]))
+    return out
 
-    Accuracies stay between least and most: a rule is never taken as worse than chance, which also fixes which class is the good one.
+
+def rules(usual: dict[str, tuple[int, int]]) -> dict[str, Column]:
+    """Votes: 1 good, -1 bad, 0 abstains, also where there is no ratio."""
+    out = {}
+    for name, (ratio, floor, low, high) in ratios().items():
+        q1, q3 = usual[name]
+        reach = max(q3 - q1, floor)
+        beyond = lambda times: (F.lit(low) & (ratio < q1 - times * reach)) | (F.lit(high) & (ratio > q3 + times * reach))  # noqa: B023, E731
+        out[name] = F.when(ratio.isNull(), 0).when(beyond(FAR), -1).when(beyond(MILD), 0).otherwise(1)
+    return out
+
+
+class LabelModel:
+    """Class balance and, per rule, the log-odds of good that each outcome adds."""
+
+    def __init__(self, balance: float, good: np.ndarray, bad: np.ndarray):
+        self.balance, self.good, self.bad = balance, good, bad
+
+    def log_odds(self, votes: np.ndarray) -> np.ndarray:
+        each = np.log(self.good / self.bad)
+        return np.log(self.balance / (1 - self.balance)) + sum((each[j][votes[:, j].astype(int) + 1] for j in range(votes.shape[1])), np.zeros(len(votes)))
+
+    def posterior(self, votes: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.log_odds(votes), -700, 700)))
+
+
+def fit_label_model(votes: np.ndarray, counts: np.ndarray, steps: int = 500) -> LabelModel:
+    """EM over distinct vote patterns (n x rules of -1, 0, 1) and their counts, from documents without any bad vote as the good ones.
+
+    Dirichlet weights keep every probability off 0 and 1 and fix which class is the good one; without patterns the model is these weights' own.
     """
-    accuracy, prior = np.full(votes.shape[1], 0.8), 0.8
-    total = max(counts.sum(), 1)
+    p = np.where((votes == -1).any(1), 0.1, 0.95)
+    hit = np.stack([votes == v for v in OUTCOMES], 2).astype(float)
     for _ in range(steps):
-        p = posterior(votes, prior, accuracy)
-        right = (counts * p) @ (votes == 1) + (counts * (1 - p)) @ (votes == -1)
-        cast = np.maximum(counts @ (votes != 0), 1e-9)
-        now = np.clip((right + 1) / (cast + 2), least, most)
-        prior_now = float(np.clip((counts @ p) / total, 0.05, 0.95))
-        done = np.abs(now - accuracy).max() + abs(prior_now - prior) < 1e-9
-        accuracy, prior = now, prior_now
+        balance = (counts @ p + BALANCE[0]) / (counts.sum() + sum(BALANCE))
+        good = np.einsum("n,njv->jv", counts * p, hit) + GOOD_VOTES
+        bad = np.einsum("n,njv->jv", counts * (1 - p), hit) + BAD_VOTES
+        model = LabelModel(balance, good / good.sum(1, keepdims=True), bad / bad.sum(1, keepdims=True))
+        now = model.posterior(votes)
+        done, p = not len(p) or np.abs(now - p).max() < 1e-9, now
         if done:
             break
-    return prior, accuracy
-
-
-def posterior(votes: np.ndarray, prior: float, accuracy: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(np.log(prior / (1 - prior)) + votes @ np.log(accuracy / (1 - accuracy)), -700, 700)))
+    return model
 
 
 def judge(measures: DataFrame, least_posterior: float = 0.5) -> DataFrame:
-    """Adds posterior and verdict (posterior >= least_posterior) to rows of measures; measures is read twice, so hand in a written table.
+    """Adds posterior and verdict (posterior >= least_posterior) to rows of measures, replacing columns of these names.
 
-    On an empty table the rules keep their starting accuracies.
+    measures is read three times, so hand in a written table. An empty table gives an empty result.
     """
-    named = rules()
+    named = rules(quartiles(measures))
     patterns = measures.groupBy(*[v.alias(k) for k, v in named.items()]).count().toPandas()
-    votes, counts = patterns[list(named)].to_numpy(float), patterns["count"].to_numpy(float)
-    prior, accuracy = fit_label_model(votes, counts) if len(counts) else (0.8, np.full(len(named), 0.8))
-    odds = F.lit(float(np.log(prior / (1 - prior))))
-    for vote, a in zip(named.values(), accuracy, strict=True):
-        odds = odds + vote * float(np.log(a / (1 - a)))
+    model = fit_label_model(patterns[list(named)].to_numpy(int), patterns["count"].to_numpy(float))
+    odds = F.lit(float(np.log(model.balance / (1 - model.balance))))
+    for vote, each in zip(named.values(), np.log(model.good / model.bad), strict=True):
+        odds = odds + F.when(vote == -1, float(each[0])).when(vote == 0, float(each[1])).otherwise(float(each[2]))
     return measures.withColumn("posterior", 1 / (1 + F.exp(-odds))).withColumn("verdict", F.col("posterior") >= least_posterior)
