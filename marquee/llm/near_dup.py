@@ -361,7 +361,7 @@ def forest_links(open_rows: DataFrame, texts: DataFrame, members: DataFrame, wid
             sets += shingle_sets(rows.column("text").slice(lo, GROUP).to_pylist(), width, _known)
         # Another text under the same id has another class: it takes no part.
         size = np.array([len(x) if set_digest(x) == own else 0 for x, own in zip(sets, cls, strict=True)])
-        level = np.array([level_of(n) for n in size])
+        level = np.array([level_of(int(n)) for n in size])
         odd = np.array([odd_sketch(x, k) for x, k in zip(sets, level, strict=True)])
         more = np.array([odd_sketch(x, k + 1) for x, k in zip(sets, level, strict=True)])
         names = np.unique(np.array(label, object), return_inverse=True)[1]

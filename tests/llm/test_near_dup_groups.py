@@ -21,9 +21,12 @@ def straddling(n, seed=7, words=150, most=24):
     return rows
 
 
-@pytest.mark.parametrize("block", [4096, 16])
-def test_straddling_group_equals_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "nearest"), [(4096, True), (16, True), (4096, False), (16, False)])
+def test_straddling_group_equals_brute_force(spark, monkeypatch, block, nearest):
     monkeypatch.setattr(near_dup, "BLOCK", block)
+    if not nearest:  # all is left to the meetings with texts
+        pairs = near_dup.nearest_pairs
+        monkeypatch.setattr(near_dup, "nearest_pairs", lambda *a: pairs(*a).where("false"))
     rows = straddling(150)
     got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, 2, 80)
