@@ -8,10 +8,10 @@ pieces by each piece's rank among the pieces of its length.
 
 from __future__ import annotations
 
+import zlib
 from collections import defaultdict
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,23 +27,26 @@ SPREAD = 256
 def token_pieces(df: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, start, length, doc_tokens, ids) pieces of each text's ids followed by end_id.
 
-    ids are packed as little-endian unsigned 32-bit numbers. Null and empty texts give the end id alone. Pieces are full but
-    for a text's last one.
+    ids are packed as little-endian unsigned numbers of two bytes if the vocabulary allows it, else of four. Null and empty
+    texts give the end id alone. Pieces are full but for a text's last one.
     """
     kind = df.schema[id_col].dataType.simpleString()
+    narrow = tokens.vocabulary_size(tokenizer) <= 1 << 16
 
     def fn(batch: pa.RecordBatch, _):
         raws = tokens.huggingface_encoder(tokenizer).encode([t or "" for t in batch.column(1).to_pylist()])
-        end, step = np.asarray([end_id], "<u4").tobytes(), 4 * capacity
-        row, start, total, ids = [], [], [], []
+        end = np.asarray([end_id], "<u4").tobytes()
+        row, start, length, total, ids = [], [], [], [], []
         for i, raw in enumerate(raws):
             raw += end
-            for at in range(0, len(raw), step):
+            packed, wide = (np.frombuffer(raw, "<u4").astype("<u2").tobytes(), 2) if narrow else (raw, 4)
+            for at in range(0, len(raw) // 4, capacity):
                 row.append(i)
-                start.append(at // 4)
+                start.append(at)
+                ids.append(packed[wide * at : wide * (at + capacity)])
+                length.append(len(ids[-1]) // wide)
                 total.append(len(raw) // 4)
-                ids.append(raw[at : at + step])
-        return [batch.column(0).take(pa.array(row)), pa.array(start, pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(total, pa.int64()), pa.array(ids, pa.binary())]
+        return [batch.column(0).take(pa.array(row)), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(total, pa.int64()), pa.array(ids, pa.binary())]
 
     return map_text(df, [F.col(id_col), F.col(text_col)], fn, f"{id_col} {kind}, start long, length long, doc_tokens long, ids binary", slice_bytes=1 << 20)
 
@@ -75,19 +78,20 @@ def pack_histogram(histogram: dict[int, int], capacity: int = CAPACITY) -> list[
     return done + [x for packs in open_packs.values() for x in packs if x[1]]
 
 
-def _places(patterns: list[tuple[tuple[int, ...], int]]) -> dict[int, np.ndarray]:
-    """Per length, rows of (first rank, first sequence, step between slots, offset) sorted by rank."""
-    rows: dict[int, list] = defaultdict(list)
+def _places(patterns: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, list[int], list[int], list[int]]]:
+    """Per length, its places sorted by rank: first ranks, first sequences and offsets."""
+    rows: dict[int, tuple[list, list, list]] = defaultdict(lambda: ([], [], []))
     taken: dict[int, int] = defaultdict(int)
     sequence = 0
     for lengths, count in patterns:
         offset = 0
         for length in lengths:
-            rows[length].append((taken[length], sequence, offset))
+            for own, x in zip(rows[length], (taken[length], sequence, offset), strict=True):
+                own.append(x)
             taken[length] += count
             offset += length
         sequence += count
-    return {length: np.array(x, np.int64) for length, x in rows.items()}
+    return [(length, *x) for length, x in rows.items()]
 
 
 def pack(pieces: DataFrame, keys: list[str], length_col: str = "length", capacity: int = CAPACITY) -> DataFrame:
@@ -101,27 +105,15 @@ def pack(pieces: DataFrame, keys: list[str], length_col: str = "length", capacit
     spread = pieces.withColumn("_sub", F.pmod(F.xxhash64(*keys), F.lit(SPREAD)))
     counts = spread.groupBy(length_col, "_sub").agg(F.count(F.lit(1)).alias("_n"))
     histogram = {int(r[0]): int(r[1]) for r in counts.groupBy(length_col).agg(F.sum("_n")).collect()}
-    places = spark.sparkContext.broadcast(_places(pack_histogram(histogram, capacity)))
+    places = spark.createDataFrame(_places(pack_histogram(histogram, capacity)), f"{length_col} long, _firsts array<long>, _sequences array<long>, _offsets array<long>")
     before = Window.partitionBy(length_col).orderBy("_sub").rowsBetween(Window.unboundedPreceding, -1)
     firsts = counts.select(length_col, "_sub", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
     rank = F.row_number().over(Window.partitionBy(length_col, "_sub").orderBy(*keys))
     ranked = spread.withColumn("_in", rank - 1).join(firsts, [length_col, "_sub"]).withColumn("_rank", F.col("_first") + F.col("_in"))
-
-    @F.pandas_udf("sequence_id long, offset long")
-    def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
-        sequence, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
-        values, ranks = length.to_numpy(), rank.to_numpy()
-        order = np.argsort(values, kind="stable")
-        cuts = np.flatnonzero(np.diff(values[order])) + 1
-        for own in np.split(order, cuts) if len(order) else []:
-            rows = places.value[int(values[own[0]])]
-            at = np.searchsorted(rows[:, 0], ranks[own], side="right") - 1
-            sequence[own] = rows[at, 1] + ranks[own] - rows[at, 0]
-            offset[own] = rows[at, 2]
-        return pd.DataFrame({"sequence_id": sequence, "offset": offset})
-
-    placed = ranked.withColumn("_place", place(F.col(length_col), F.col("_rank")))
-    return placed.select(*pieces.columns, "_place.sequence_id", "_place.offset")
+    # The places of all lengths are bounded by the capacity, whatever the number of rows.
+    placed = ranked.join(F.broadcast(places), length_col).withColumn("_at", F.size(F.filter("_firsts", lambda first: first <= F.col("_rank"))))
+    sequence = F.element_at("_sequences", F.col("_at")) + F.col("_rank") - F.element_at("_firsts", F.col("_at"))
+    return placed.select(*pieces.columns, sequence.alias("sequence_id"), F.element_at("_offsets", F.col("_at")).alias("offset"))
 
 
 def pack_documents(df: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -131,5 +123,13 @@ def pack_documents(df: DataFrame, tokenizer: str, end_id: int = 0, capacity: int
 
 
 def digest_ids(packed: DataFrame) -> DataFrame:
-    """Packed pieces with ids_crc32, taken from their ids (little-endian 32-bit numbers), in place of these."""
-    return packed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    """Packed pieces with ids_crc32, taken from their ids as little-endian 32-bit numbers, in place of these."""
+    names = [*packed.drop("ids").columns, "ids_crc32"]
+
+    def run(batches):
+        for batch in batches:
+            ids, length = batch.column(batch.num_columns - 1).to_pylist(), batch.column("length").to_pylist()
+            crc = [zlib.crc32(raw if len(raw) == 4 * n else np.frombuffer(raw, "<u2").astype("<u4")) for raw, n in zip(ids, length, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(crc, pa.int64())], names)
+
+    return packed.select(*names[:-1], "ids").mapInArrow(run, packed.drop("ids").withColumn("ids_crc32", F.lit(0).cast("long")).schema)

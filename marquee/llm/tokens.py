@@ -14,7 +14,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Units of up to so many characters are remembered, about so many of them.
-UNIT_CHARS, UNITS = 64, 400_000
+UNIT_CHARS, UNITS = 64, 300_000
 #: Longer units are cut again where a letter meets a digit or the reverse.
 LONG = 4096
 #: Units that are encoded as one text.
@@ -114,6 +114,14 @@ def huggingface_encoder(path: str) -> Encoder:
     return Encoder(_JoinedUnits(tokenizer))
 
 
+@lru_cache(1)
+def vocabulary_size(path: str) -> int:
+    """One more than the largest id of a tokenizers JSON file."""
+    from tokenizers import Tokenizer
+
+    return max(Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values()) + 1
+
+
 @lru_cache(1)
 def load_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:

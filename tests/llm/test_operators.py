@@ -112,7 +112,7 @@ def test_packing_covers_every_token(spark, odd):
     for i, own in got.groupby("doc_id"):
         ids = t.encode(ODD[int(i)] or "", add_special_tokens=False).ids + [0]
         own = own.drop_duplicates("start").sort_values("start")
-        assert np.frombuffer(b"".join(map(bytes, own["ids"])), "<u4").tolist() == ids and (own["doc_tokens"] == len(ids)).all()
+        assert np.frombuffer(b"".join(map(bytes, own["ids"])), "<u2").tolist() == ids and (own["doc_tokens"] == len(ids)).all()
     for _, own in got.groupby("sequence_id"):
         own = own.sort_values("offset")
         assert list(own["offset"]) == [0, *np.cumsum(own["length"])[:-1]] and own["length"].sum() <= 1024
