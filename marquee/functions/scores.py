@@ -21,7 +21,7 @@ def sigmoid(x: Column, k: float, centre: float) -> Column:
 def linear_grace(x: Column, low: float, high: float, grace: float) -> Column:
     """1 inside [low, high], falling to 0 over grace outside; null 0."""
     gap = F.greatest(F.lit(low) - x, x - F.lit(high), F.lit(0.0))
-    return F.coalesce(F.greatest(1 - gap / grace, F.lit(0.0)), F.lit(0.0))
+    return F.when(x.isNull(), 0.0).otherwise(F.greatest(1 - gap / grace, F.lit(0.0)))
 
 
 def date_grace(low: float, high: float) -> float:
@@ -35,7 +35,7 @@ def maturity(rank: Column, low: int, high: int) -> Column:
 
 
 def popularity_mode(p: Column, niche: bool = False) -> Column:
-    return sigmoid(clamp(p), -12.0, 0.40) if niche else sigmoid(clamp(p), 12.0, 0.70)
+    return F.when(p.isNull(), 0.0).otherwise(sigmoid(clamp(p), -12.0, 0.40) if niche else sigmoid(clamp(p), 12.0, 0.70))
 
 
 def reception_mode(r: Column, poor: bool = False) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores as S
 from ..sources import catalogue as C
+from .funnel import RUNTIME_BUCKETS, bucket
 
 #: Title phrases that join_title_phrase looks for.
 PHRASES = ("large ring", "bolt hot", "blue", "ring no_such_token")
@@ -54,12 +55,6 @@ def filter_restrict_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.cards(spark, sf_dir).join(ids, "movie_id", "left_semi").select("movie_id", "votes")
 
 
-def join_person_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items of people 1, 2, 3 with the number of distinct people matched and the bucket weight 5 - missing."""
-    hits = C.person_postings(spark, sf_dir).where(F.col("term").isin(1, 2, 3)).groupBy("movie_id").agg(F.countDistinct("term").alias("matched"))
-    return hits.select("movie_id", "matched", (5 - (3 - F.col("matched"))).alias("weight"))
-
-
 def join_compound_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(query, item, score): the share of each query's people that an item credits; query q is the people 3q+1..3q+3."""
     terms = spark.range(5).select(F.col("id").alias("query_idx"), F.explode(F.sequence(3 * F.col("id") + 1, 3 * F.col("id") + 3)).alias("term"))
@@ -91,9 +86,9 @@ def agg_doc_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trait_idf(cards: DataFrame) -> DataFrame:
-    """(kind, trait_id, idf): ln(N / df) / ln(N) over keyword and genre traits."""
-    traits = cards.select(F.explode(F.col("keyword_ids").cast("array<long>")).alias("trait_id")).withColumn("kind", F.lit("keyword"))
-    traits = traits.unionByName(cards.select(F.explode(F.col("genre_ids").cast("array<long>")).alias("trait_id")).withColumn("kind", F.lit("genre")))
+    """(kind, trait_id, df, idf): ln(N / df) / ln(N) over keyword and genre traits, exploded in one pass."""
+    of = lambda column, kind: F.transform(F.col(column).cast("array<long>"), lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("trait_id")))
+    traits = cards.select(F.explode(F.concat(of("keyword_ids", "keyword"), of("genre_ids", "genre"))).alias("x")).select("x.*")
     total = cards.agg(F.count(F.lit(1)).alias("total"))
     counted = traits.groupBy("kind", "trait_id").agg(F.count(F.lit(1)).alias("df"))
     return counted.crossJoin(F.broadcast(total)).select("kind", "trait_id", "df", (F.log(F.col("total") / F.col("df")) / F.log("total")).alias("idf"))
@@ -139,16 +134,13 @@ def agg_survival_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def agg_runtime_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = F.col("runtime")
-    label = F.when(r <= 10, "0-10").when(r <= 20, "11-20").when(r <= 30, "21-30").when(r <= 40, "31-40").otherwise("41+")
-    return C.cards(spark, sf_dir).groupBy(label.alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.min("runtime").alias("least"), F.max("runtime").alias("most"))
+    return C.cards(spark, sf_dir).groupBy(bucket(F.coalesce("runtime", F.lit(0)), RUNTIME_BUCKETS).alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.min("runtime").alias("least"), F.max("runtime").alias("most"))
 
 
 def set_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Union of two generators minus the short items."""
-    cards = C.cards(spark, sf_dir)
-    pool = cards.where("votes >= 35").select("movie_id").union(cards.where("reception >= 52").select("movie_id")).distinct()
-    return pool.join(cards.where("runtime <= 5").select("movie_id"), "movie_id", "left_anti")
+    """Union of two generators minus the short items; all three read the same cards, so they are one filter over one pass."""
+    generated = (F.col("votes") >= 35) | (F.col("reception") >= 52)
+    return C.cards(spark, sf_dir).where(generated & ~(F.col("runtime") <= 5)).select("movie_id")
 
 
 def set_missing_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,7 +157,6 @@ QUERIES = {
     "filter_any_overlap": (filter_any_overlap, _ + " SELECT movie_id FROM cards WHERE list_has_any(keyword_ids, [1, 2, 3])"),
     "filter_all_contained": (filter_all_contained, _ + " SELECT movie_id FROM cards WHERE list_has_all(genre_ids, [1, 2, 3])"),
     "filter_restrict_ids": (filter_restrict_ids, _ + " SELECT movie_id, votes FROM cards WHERE movie_id IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45)"),
-    "join_person_buckets": (join_person_buckets, "WITH" + C.POSTINGS + " SELECT movie_id, count(DISTINCT term) AS matched, 5 - (3 - count(DISTINCT term)) AS weight FROM postings WHERE term IN (1, 2, 3) GROUP BY 1"),
     "join_compound_lexical": (join_compound_lexical, "WITH" + C.POSTINGS + " SELECT (term - 1) // 3 AS query_idx, movie_id, round(count(DISTINCT term) / 3.0::DOUBLE, 6) AS score FROM postings WHERE term BETWEEN 1 AND 15 GROUP BY 1, 2"),
     "join_title_tokens": (join_title_tokens, "WITH t AS (SELECT DISTINCT p_partkey AS movie_id, unnest(string_split(lower(p_name), ' ')) AS token FROM part), d AS (SELECT token, count(*) AS df FROM t WHERE token <> '' GROUP BY 1) SELECT movie_id, count(*) AS tokens, min(df) AS rarest FROM t JOIN d USING (token) WHERE df <= 323 GROUP BY 1"),
     "join_title_phrase": (join_title_phrase, f"SELECT phrase, p_partkey AS movie_id FROM part, (VALUES {_PHRASES}) AS v(phrase) WHERE list_has_all(string_split(lower(p_name), ' '), string_split(phrase, ' '))"),
@@ -177,7 +168,7 @@ QUERIES = {
     "agg_award_counts": (agg_award_counts, "WITH" + C.AWARDS + ", c AS (SELECT movie_id, CAST(sum(won::INT) AS BIGINT) AS wins, count(*) AS entries FROM awards WHERE ceremony <> 10 GROUP BY 1) SELECT *, CASE WHEN wins >= 3 THEN 1.0::DOUBLE WHEN wins >= 1 THEN 0.75 ELSE 0 END AS tier, round(least(wins, 5) / 5.0::DOUBLE, 6) AS score FROM c"),
     "agg_keyword_hits": (agg_keyword_hits, _ + ", h AS (SELECT movie_id, len(list_intersect(keyword_ids, [1, 5, 9])) + len(list_intersect(genre_ids, [2, 4])) AS hits FROM cards) SELECT movie_id, hits, round(hits / 5.0::DOUBLE, 6) AS share FROM h WHERE hits > 0"),
     "agg_survival_curve": (agg_survival_curve, _ + " SELECT votes, CAST(sum(count(*)) OVER (ORDER BY votes DESC) AS BIGINT) AS at_least FROM cards GROUP BY votes"),
-    "agg_runtime_buckets": (agg_runtime_buckets, _ + " SELECT CASE WHEN runtime <= 10 THEN '0-10' WHEN runtime <= 20 THEN '11-20' WHEN runtime <= 30 THEN '21-30' WHEN runtime <= 40 THEN '31-40' ELSE '41+' END AS bucket, count(*) AS n, min(runtime) AS least, max(runtime) AS most FROM cards GROUP BY 1"),
+    "agg_runtime_buckets": (agg_runtime_buckets, _ + " SELECT CASE WHEN coalesce(runtime, 0) = 0 THEN 'null_or_0' WHEN runtime <= 39 THEN '1_39' WHEN runtime <= 60 THEN '40_60' WHEN runtime <= 90 THEN '61_90' WHEN runtime <= 120 THEN '91_120' WHEN runtime <= 180 THEN '121_180' ELSE '181_plus' END AS bucket, count(*) AS n, min(runtime) AS least, max(runtime) AS most FROM cards GROUP BY 1"),
     "set_pool": (set_pool, _ + " SELECT movie_id FROM cards WHERE (votes >= 35 OR reception >= 52) AND NOT runtime <= 5"),
     "set_missing_cards": (set_missing_cards, _ + " SELECT p_partkey AS movie_id FROM part EXCEPT SELECT movie_id FROM cards"),
 }

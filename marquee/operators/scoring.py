@@ -84,29 +84,27 @@ def win_chronological(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.select("movie_id", C.r6(F.when(F.col("last") == 1, 1.0).otherwise((F.col("rank") - 1) / (F.col("last") - 1))).alias("score"))
 
 
+#: Ranges of ids within which rows of one event count are ranked, so that a count held by most rows is not one group.
+ID_RANGES = 4096
+
+
 def trending(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """1 - sqrt(rank / n) by event count, ties by id. Ranks come from the histogram of counts plus a rank within each count."""
+    """1 - sqrt(rank / n) by event count, ties by id. Ranks come from the histogram of counts by id range plus a rank within each of its cells."""
     counts = C.table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("movie_id")).agg(F.count(F.lit(1)).alias("events"))
-    levels = counts.groupBy("events").agg(F.count(F.lit(1)).alias("_n"))
-    above = F.coalesce(F.sum("_n").over(Window.orderBy(F.desc("events")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    levels = levels.select("events", above.alias("_above"), F.sum("_n").over(Window.partitionBy(F.lit(1))).alias("_total"))
-    within = F.row_number().over(Window.partitionBy("events").orderBy("movie_id")) - 1
-    ranked = counts.join(levels, "events").withColumn("rank", F.col("_above") + within)
+    ends = C.table(spark, sf_dir, "events").agg(F.min("user_id").alias("_low"), F.max("user_id").alias("_high"))
+    cell = F.floor((F.col("movie_id") - F.col("_low")) * ID_RANGES / (F.col("_high") - F.col("_low") + 1))
+    counts = counts.crossJoin(F.broadcast(ends)).withColumn("_cell", cell).drop("_low", "_high")
+    cells = counts.groupBy("events", "_cell").agg(F.count(F.lit(1)).alias("_n"))
+    levels = cells.groupBy("events").agg(F.sum("_n").alias("_level"))
+    above = F.coalesce(F.sum("_level").over(Window.orderBy(F.desc("events")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    levels = levels.select("events", above.alias("_above"), F.sum("_level").over(Window.partitionBy(F.lit(1))).alias("_total"))
+    earlier = F.coalesce(F.sum("_n").over(Window.partitionBy("events").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = cells.withColumn("_before", earlier).drop("_n").join(levels, "events")
+    within = F.row_number().over(Window.partitionBy("events", "_cell").orderBy("movie_id")) - 1
+    ranked = counts.join(offsets, ["events", "_cell"]).withColumn("rank", F.col("_above") + F.col("_before") + within)
     return ranked.select("movie_id", "events", "rank", C.r6(1 - F.sqrt(F.col("rank") / F.col("_total"))).alias("score"))
 
 
-def funnel_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Text depth, vote and completeness scores of each document, and the gate of labelled ones."""
-    d = C.table(spark, sf_dir, "documents").select("doc_id", "n_chars", "lang")
-    marks = C.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("_d"), "quality", "toxic")
-    d = d.join(marks, F.col("doc_id") == F.col("_d"), "left")
-    n = F.coalesce("n_chars", F.lit(0))
-    overview = F.when(n == 0, 0.0).when(n <= 50, 0.2).when(n <= 100, 0.5).when(n <= 200, 0.8).otherwise(1.0)
-    complete = (F.col("lang").isNotNull().cast("int") + F.col("quality").isNotNull().cast("int")) / 2
-    gate = F.when(F.col("toxic") == 1, 0.0).otherwise(1.0)
-    return d.select("doc_id", overview.alias("overview"), C.r6(S.log_cap(n, 12001)).alias("depth"), complete.alias("complete"), C.r6(gate * (0.5 * overview + 0.3 * S.log_cap(n, 12001) + 0.2 * complete)).alias("score"))
-
-
 def quality_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """cult (reception <= 45, high percentile), prestige (>= 85, .75), else middle; and the reception tier label."""
     d = C.percent_rank_of(C.cards(spark, sf_dir), "votes", "pct")
@@ -145,6 +143,5 @@ QUERIES = {
     "implicit_prior": (implicit_prior, _ + _M + " SELECT movie_id, round(release + CASE WHEN release > 0 THEN release ELSE 1 END * 0.12::DOUBLE * popular, 6) AS score FROM m"),
     "win_chronological": (win_chronological, _ + ", d AS (SELECT movie_id, dense_rank() OVER (ORDER BY released) AS r FROM cards) SELECT movie_id, round(CASE WHEN (SELECT max(r) FROM d) = 1 THEN 1.0::DOUBLE ELSE (r - 1)::DOUBLE / ((SELECT max(r) FROM d) - 1) END, 6) AS score FROM d"),
     "trending": (trending, "WITH c AS (SELECT user_id AS movie_id, count(*) AS events FROM events GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY events DESC, movie_id) - 1 AS rank, count(*) OVER () AS n FROM c) SELECT movie_id, events, rank, round(1 - sqrt(rank::DOUBLE / n), 6) AS score FROM r"),
-    "funnel_scores": (funnel_scores, "WITH d AS (SELECT documents.doc_id, coalesce(n_chars, 0) AS n, lang, quality, toxic FROM documents LEFT JOIN labels ON documents.doc_id = labels.doc_id), s AS (SELECT doc_id, CASE WHEN n = 0 THEN 0.0::DOUBLE WHEN n <= 50 THEN 0.2 WHEN n <= 100 THEN 0.5 WHEN n <= 200 THEN 0.8 ELSE 1 END AS overview, least(greatest(log10(n + 1.0::DOUBLE) / log10(12001), 0), 1) AS depth, ((lang IS NOT NULL)::INT + (quality IS NOT NULL)::INT)::DOUBLE / 2 AS complete, CASE WHEN toxic = 1 THEN 0.0::DOUBLE ELSE 1 END AS gate FROM d) SELECT doc_id, overview, round(depth, 6) AS depth, complete, round(gate * (0.5::DOUBLE * overview + 0.3::DOUBLE * depth + 0.2::DOUBLE * complete), 6) AS score FROM s"),
     "quality_buckets": (quality_buckets, _ + ", p AS (SELECT *, percent_rank() OVER (ORDER BY votes) AS pct FROM cards) SELECT movie_id, CASE WHEN reception <= 45 AND pct >= 0.89 THEN 'cult' WHEN reception >= 85 AND pct >= 0.75 THEN 'prestige' ELSE 'middle' END AS bucket, CASE WHEN reception >= 81 THEN 5 WHEN reception >= 61 THEN 4 WHEN reception >= 41 THEN 3 WHEN reception >= 21 THEN 2 ELSE 1 END AS tier, round(pct, 6) AS pct FROM p"),
 }

@@ -16,9 +16,10 @@ def similarities(vectors: DataFrame, anchors: list[int]) -> DataFrame:
     """(anchor, space, movie_id, score): cosine of every item with each anchor, space by space."""
     if len(anchors) > MAX_ANCHORS:
         raise ValueError(f"at most {MAX_ANCHORS} anchors")
-    heads = vectors.where(F.col("movie_id").isin(anchors)).select(F.col("movie_id").alias("anchor"), "space", F.col("vector").alias("head"))
-    pairs = vectors.where(~F.col("movie_id").isin(anchors)).join(F.broadcast(heads), "space")
-    return pairs.select("anchor", "space", "movie_id", "format", (S.dot(F.col("vector"), F.col("head")) / (S.norm(F.col("vector")) * S.norm(F.col("head")))).alias("score"))
+    v = vectors.withColumn("norm", S.norm(F.col("vector")))
+    heads = v.where(F.col("movie_id").isin(anchors)).select(F.col("movie_id").alias("anchor"), "space", F.col("vector").alias("head"), F.col("norm").alias("head_norm"))
+    pairs = v.where(~F.col("movie_id").isin(anchors)).join(F.broadcast(heads), "space")
+    return pairs.select("anchor", "space", "movie_id", "format", (S.dot(F.col("vector"), F.col("head")) / (F.col("norm") * F.col("head_norm"))).alias("score"))
 
 
 def top_per_space(scored: DataFrame, k: int) -> DataFrame:
@@ -60,16 +61,6 @@ def vec_shape_cohesion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("space", C.r6(F.col("cohesion")).alias("cohesion"), C.r6(S.clamp((F.col("cohesion") - 0.55) / 0.30, 0.10, 1.0)).alias("weight"))
 
 
-def sim_lane_combine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Similar items of anchor 7: shape lane (.8) and format lane (.2), the floor and the dominant lane; top 100 report."""
-    rows = decayed(top_per_space(similarities(C.vectors(spark, sf_dir), [7]), 200))
-    home = C.table(spark, sf_dir, "embeddings").where("vec_id = 7").select(F.col("label").alias("home"))
-    shape = rows.groupBy("movie_id", "format").agg((F.sum("decayed") / C.SPACES).alias("shape"))
-    lanes = shape.crossJoin(F.broadcast(home)).withColumn("same", (F.col("format") == F.col("home")).cast("double"))
-    out = lanes.select("movie_id", C.r6(0.8 * F.col("shape") + 0.2 * F.col("same")).alias("score"), F.when(0.8 * F.col("shape") >= 0.2 * F.col("same"), "shape").otherwise("format").alias("lane"))
-    return out.orderBy(F.desc("score"), "movie_id").limit(100)
-
-
 _N = "list_cosine_similarity(v.vector, h.vector)"
 
 
@@ -88,5 +79,4 @@ QUERIES = {
     "vec_blend_decay": (vec_blend_decay, _scored("0, 1") + _decayed(50) + " SELECT movie_id, round(sum(decayed) / 16, 6) AS score, count(*) AS hits FROM dec GROUP BY 1"),
     "vec_pool_rescale": (vec_pool_rescale, _scored("3") + ", s AS (SELECT *, min(score) OVER w AS lo, max(score) OVER w - min(score) OVER w AS spread FROM scored WINDOW w AS (PARTITION BY space)) SELECT space, movie_id, round(CASE WHEN spread < 0.01 OR (score - lo) / spread >= 0.85 THEN 1.0 ELSE (score - lo) / spread END, 6) AS score FROM s"),
     "vec_shape_cohesion": (vec_shape_cohesion, "WITH" + C.VECTORS + ", c AS (SELECT v.space, avg(list_cosine_similarity(v.vector, h.vector)) AS c FROM vectors v JOIN vectors h ON v.space = h.space AND v.movie_id < h.movie_id WHERE v.movie_id IN (0, 1, 2) AND h.movie_id IN (0, 1, 2) GROUP BY 1) SELECT space, round(c, 6) AS cohesion, round(least(greatest((c - 0.55) / 0.30, 0.10), 1), 6) AS weight FROM c"),
-    "sim_lane_combine": (sim_lane_combine, _scored("7") + _decayed(200) + ", l AS (SELECT movie_id, format, sum(decayed) / 8 AS shape FROM dec GROUP BY 1, 2), o AS (SELECT movie_id, shape, (format = (SELECT label FROM embeddings WHERE vec_id = 7))::INT::DOUBLE AS same FROM l) SELECT movie_id, round(0.8::DOUBLE * shape + 0.2::DOUBLE * same, 6) AS score, CASE WHEN 0.8::DOUBLE * shape >= 0.2::DOUBLE * same THEN 'shape' ELSE 'format' END AS lane FROM o ORDER BY 2 DESC, 1 LIMIT 100"),
 }

@@ -41,14 +41,6 @@ def flow_attribute_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neutral_prior(d).select("movie_id", "title", "prior").orderBy(F.desc("prior"), F.desc("movie_id")).limit(100)
 
 
-def flow_people_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sum of bucket weights (5 - position bucket) over the people asked for, then popularity."""
-    hits = C.person_postings(spark, sf_dir).where(F.col("term").isin(1, 2, 3, 4)).withColumn("weight", 5 - F.least(F.col("position"), F.lit(4)))
-    pool = hits.groupBy("movie_id").agg(F.sum("weight").alias("weight"))
-    d = pool.join(C.popularity(C.cards(spark, sf_dir)), "movie_id").select("movie_id", "weight", C.r6(F.col("popularity")).alias("popularity"))
-    return d.orderBy(F.desc("weight"), F.desc_nulls_last("popularity"), F.desc("movie_id")).limit(100)
-
-
 def flow_title_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles with a query: tier 1 as a prefix of the title or of a word, tier 2 elsewhere; then length, prior, id."""
     q = "re"
@@ -65,6 +57,5 @@ QUERIES = {
     "topk_neutral_seed": (topk_neutral_seed, _ + " SELECT movie_id, prior FROM n ORDER BY 2 DESC, 1 DESC LIMIT 2000"),
     "topk_rerank": (topk_rerank, _ + " SELECT movie_id, round_even(popularity, 2) AS bucket, round(least(greatest((coalesce(reception, 60) - 30) / 60, 0), 1), 6) AS quality FROM n ORDER BY 2 DESC, 3 DESC, 1 LIMIT 200"),
     "flow_attribute_search": (flow_attribute_search, _ + f" SELECT movie_id, title, prior FROM n WHERE released BETWEEN {RELEASED[0]} AND {RELEASED[1]} AND maturity_rank BETWEEN 1 AND 4 ORDER BY prior DESC, movie_id DESC LIMIT 100"),
-    "flow_people_search": (flow_people_search, _ + "," + C.POSTINGS + ", w AS (SELECT movie_id, CAST(sum(5 - least(position, 4)) AS BIGINT) AS weight FROM postings WHERE term IN (1, 2, 3, 4) GROUP BY 1) SELECT movie_id, weight, round(popularity, 6) AS popularity FROM w JOIN n USING (movie_id) ORDER BY 2 DESC, 3 DESC, 1 DESC LIMIT 100"),
     "flow_title_search": (flow_title_search, _ + " SELECT movie_id, title, CASE WHEN starts_with(lower(title), 're') OR contains(lower(title), ' re') THEN 1 ELSE 2 END AS tier, prior FROM n WHERE contains(lower(title), 're') ORDER BY tier, length(title), prior DESC, movie_id DESC LIMIT 25"),
 }

@@ -29,8 +29,12 @@ def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.unix_seconds(F.min("l_shipdate").cast("timestamp")).alias("released"),
             F.sort_array(F.collect_set("l_suppkey")).alias("keyword_ids"),
             F.sort_array(F.collect_set("l_linenumber")).alias("genre_ids"),
+            F.sort_array(F.collect_set(F.col("l_suppkey") % 6)).alias("language_ids"),
+            F.sort_array(F.collect_set(F.col("l_suppkey") % 9 * 16 + F.col("l_linenumber") % 3 + 1)).alias("offer_keys"),
+            F.sort_array(F.collect_set(F.when((F.col("l_returnflag") == "A") & (F.col("l_quantity") > 45), F.col("l_suppkey") % 12 + 1))).alias("win_ids"),
         )
     )
+    none = F.array().cast("array<int>")
     part = table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("movie_id"),
         F.col("p_name").alias("title"),
@@ -39,6 +43,14 @@ def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_size").alias("runtime"),
         F.when(F.col("p_size") % 7 != 0, F.col("p_size") % 5 + 1).alias("maturity_rank"),
         F.col("p_retailprice").alias("budget"),
+        F.when(F.col("p_retailprice") < 1200, "small").when(F.col("p_retailprice") >= 1700, "large").alias("budget_bucket"),
+        (F.col("p_size") % 5).alias("release_format"),
+        F.when(F.col("p_partkey") % 3 == 0, F.array(F.col("p_size") % 10)).otherwise(none).alias("lineage_ids"),
+        F.when(F.col("p_partkey") % 4 == 0, F.array(F.col("p_size") % 12)).otherwise(none).alias("universe_ids"),
+        F.when(F.col("p_partkey") % 2 == 0, F.array(F.col("p_size") % 3)).otherwise(none).alias("subgroup_ids"),
+        F.when(F.col("p_partkey") % 5 == 0, F.col("p_partkey") % 15 == 0).alias("is_spinoff"),
+        F.when(F.col("p_partkey") % 2 == 1, F.array(F.col("p_size") % 6)).otherwise(none).alias("source_ids"),
+        F.array(F.col("p_partkey") % 8, 8 + F.col("p_partkey") % 5).alias("tag_ids"),
     )
     return part.join(facts, "movie_id")
 
@@ -48,12 +60,18 @@ facts AS (
   SELECT l_partkey AS movie_id, count(*) AS votes,
     round(100.0::DOUBLE - 10.0::DOUBLE * sum(CAST(round(l_discount * 100) AS BIGINT))::DOUBLE / count(*), 4) AS reception,
     CAST(floor(epoch(min(l_shipdate))) AS BIGINT) AS released,
-    list_sort(list(DISTINCT l_suppkey)) AS keyword_ids, list_sort(list(DISTINCT l_linenumber)) AS genre_ids
+    list_sort(list(DISTINCT l_suppkey)) AS keyword_ids, list_sort(list(DISTINCT l_linenumber)) AS genre_ids,
+    list_sort(list(DISTINCT l_suppkey % 6)) AS language_ids, list_sort(list(DISTINCT l_suppkey % 9 * 16 + l_linenumber % 3 + 1)) AS offer_keys,
+    coalesce(list_sort(list(DISTINCT l_suppkey % 12 + 1) FILTER (WHERE l_returnflag = 'A' AND l_quantity > 45)), []) AS win_ids
   FROM lineitem GROUP BY 1),
 cards AS (
   SELECT p_partkey AS movie_id, p_name AS title, p_brand AS company, p_type AS format, p_size AS runtime,
     CASE WHEN p_size % 7 <> 0 THEN p_size % 5 + 1 END AS maturity_rank, p_retailprice AS budget,
-    votes, reception, released, keyword_ids, genre_ids
+    votes, reception, released, keyword_ids, genre_ids, language_ids, offer_keys, win_ids,
+    CASE WHEN p_retailprice < 1200 THEN 'small' WHEN p_retailprice >= 1700 THEN 'large' END AS budget_bucket, p_size % 5 AS release_format,
+    CASE WHEN p_partkey % 3 = 0 THEN [p_size % 10] ELSE [] END AS lineage_ids, CASE WHEN p_partkey % 4 = 0 THEN [p_size % 12] ELSE [] END AS universe_ids,
+    CASE WHEN p_partkey % 2 = 0 THEN [p_size % 3] ELSE [] END AS subgroup_ids, CASE WHEN p_partkey % 5 = 0 THEN p_partkey % 15 = 0 END AS is_spinoff,
+    CASE WHEN p_partkey % 2 = 1 THEN [p_size % 6] ELSE [] END AS source_ids, [p_partkey % 8, 8 + p_partkey % 5] AS tag_ids
   FROM part JOIN facts ON p_partkey = movie_id)"""
 
 

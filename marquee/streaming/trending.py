@@ -10,6 +10,7 @@ from ..sources import catalogue as C
 
 def windowed_counts(events: DataFrame, width: str = "1 day", late: str = "2 days") -> DataFrame:
     """(start, event_type, n) of a stream or a table of events; rows later than the watermark are dropped by a stream only."""
+    events = events.withColumn("ts", F.col("ts").cast("timestamp"))  # a watermark needs an instant
     if events.isStreaming:
         events = events.withWatermark("ts", late)
     counted = events.groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n"))
