@@ -9,27 +9,29 @@ from __future__ import annotations
 
 import base64
 import re
+import sys
 from functools import lru_cache
 
 import numpy as np
 
 #: Units of up to so many characters are remembered, about so many of them.
-UNIT_CHARS, UNITS = 64, 300_000
+UNIT_CHARS, UNITS = 64, 600_000
 #: Longer units are cut again where a letter meets a digit or the reverse.
 LONG = 4096
 #: Units that are encoded as one text.
-JOINED = 500
-_GAP = re.compile(r"\s ")
+JOINED = 1000
+#: White space before a blank: every such pair, so that a text is searched for each by the string's own search.
+_GAPS = tuple(c + " " for c in map(chr, range(0x3001)) if c.isspace())
 _BEFORE_SPACE = re.compile(r"(?<=\S)(?=\s)")
 _KIND = None
 
 
 def safe_pieces(text: str) -> list[str]:
     """Cuts a text at safe boundaries only; its pieces concatenate to the text and tokenise apart."""
-    if not _GAP.search(text):
-        head, *rest = text.split(" ")
-        pieces = [head] if head else []
-        pieces += [" " + x for x in rest]
+    if "\0" not in text and not any(gap in text for gap in _GAPS):
+        pieces = text.replace(" ", "\0 ").split("\0")
+        if not pieces[0]:
+            del pieces[0]
     else:
         pieces = _BEFORE_SPACE.split(text)
     if len(text) > LONG and max(map(len, pieces)) > LONG:
@@ -54,9 +56,10 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         known, cut = self.known, [safe_pieces(t) for t in texts]
-        if len(known) > UNITS:
-            known.clear()
-        new = list(set().union(*cut).difference(known))
+        met = set().union(*cut)
+        if len(known) > UNITS:  # what these texts hold stays: the frequent units are among it
+            known = self.known = {u: known[u] for u in met.intersection(known)}
+        new = list(met.difference(known))
         fresh = self.encode_many(new) if new else {}
         long = {u: fresh.pop(u) for u in new if len(u) > UNIT_CHARS}
         known.update(fresh)
@@ -72,7 +75,7 @@ def _ids_bytes(ids: list[int]) -> bytes:
 class _JoinedUnits:
     """Encodes units by a Hugging Face tokenizer of byte-level BPE, those that may stand side by side as one text.
 
-    Units that begin with their only blank and do not end in white space meet at safe cuts, and the tokens that begin with a
+    Units that begin with their only blank and do not end in one or in a control meet at safe cuts, and the tokens that begin with a
     blank are then the units' first ones.
     """
 
@@ -86,7 +89,7 @@ class _JoinedUnits:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def __call__(self, units: list[str]) -> dict[str, bytes]:
-        side = [u for u in units if u.rfind(" ") == 0 and not u[-1].isspace()]
+        side = [u for u in units if u.rfind(" ") == 0 and u[-1] > " "]
         apart, out = set(units).difference(side), {}
         for lo in range(0, len(side), JOINED):
             own = side[lo : lo + JOINED]
