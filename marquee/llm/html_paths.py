@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,8 @@ SECTIONS = frozenset("article main section div td body html center".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PROSE = frozenset("p blockquote pre dd dt figcaption address".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_TAG_END = re.compile(r"[>\"']")
 _ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
@@ -71,75 +73,156 @@ def _is_furniture(tag: str, attrs: str, inside: bool) -> bool:
 
 
 class Block:
-    """A run of text between block boundaries: its text, tag path, containers (outermost first) and length of link text."""
+    """A run of text between block boundaries: its text, path (a number), last tag, innermost container, articles and length of link text."""
 
-    __slots__ = ("text", "path", "containers", "links")
+    __slots__ = ("text", "path", "tag", "container", "named", "links")
 
-    def __init__(self, text, path, containers, links):
-        self.text, self.path, self.containers, self.links = text, path, containers, links
+    def __init__(self, text, path, tag, container, named, links):
+        self.text, self.path, self.tag, self.container, self.named, self.links = text, path, tag, container, named, links
+
+
+class Container:
+    """A sectioning element: its parent and depth, and the articles that it lies in, itself included."""
+
+    __slots__ = ("parent", "depth", "named")
+
+    def __init__(self, parent, named):
+        self.parent, self.depth, self.named = parent, parent.depth + 1 if parent else 0, named
+
+
+class _Open:
+    """An open element: its tag, whether it is furniture, the number of its path, and the innermost container."""
+
+    __slots__ = ("tag", "bad", "path", "container")
+
+    def __init__(self, tag, bad, path, container):
+        self.tag, self.bad, self.path, self.container = tag, bad, path, container
+
+
+def _tokens(page: str):
+    """(text before, end tag?, tag, attributes, position after) of each tag, in time linear in the page; last the text after the last tag, with no tag.
+
+    A quoted attribute may hold `>`; if its quote is never closed, the tag ends at the next `>` all the same. Without any `>` to
+    come, what is left is text. Comments, declarations and CDATA are left out.
+    """
+    at, begin, end = 0, 0, len(page)
+    last = page.rfind(">")
+    closed = {'"': page.rfind('"'), "'": page.rfind("'")}
+    while True:
+        lt = page.find("<", at)
+        if lt < 0:
+            break
+        opener = page[lt + 1 : lt + 2]
+        if opener in ("!", "?"):
+            mark = next((m for m in ("<!--", "<![CDATA[") if page.startswith(m, lt)), None)
+            close = {"<!--": "-->", "<![CDATA[": "]]>"}.get(mark, ">")
+            stop = page.find(close, lt + len(mark or "<!"))
+            at = end if stop < 0 else stop + len(close)
+            yield page[begin:lt], False, "", "", at
+            begin = at
+            continue
+        m = _NAME.match(page, lt + 1) if lt < last else None
+        if not m:
+            at = lt + 1
+            continue
+        where = m.end()
+        while (q := _TAG_END.search(page, where)) and q[0] != ">":
+            if q.start() >= closed[q[0]]:
+                q = None
+                break
+            where = page.find(q[0], q.end()) + 1
+        stop = q.start() if q else page.find(">", m.end())
+        if stop < 0:
+            at = lt + 1
+            continue
+        at = stop + 1
+        got = yield page[begin:lt], bool(m[1]), m[2].lower(), page[m.end() : stop], at
+        if got is not None:  # the reader has gone on to a later position
+            at = got
+            yield None
+        begin = at
+    yield page[begin:], False, "", "", end
 
 
 def blocks_of(page: str) -> list[Block]:
-    """Text blocks in page order, without furniture. Unclosed and misnested tags are closed as browsers do, roughly."""
+    """Text blocks in page order, without furniture. Unclosed and misnested tags are closed as browsers do, roughly.
+
+    Paths are numbered as they are met, so that deep pages take no more than their length.
+    """
     out: list[Block] = []
-    stack: list[tuple[str, int, bool]] = []  # tag, element number, furniture
+    stack: list[_Open] = []
+    numbers: dict[tuple[int, str], int] = {}
+    open_tags: Counter[str] = Counter()
     parts: list[str] = []
-    links = number = 0
-    furniture = inside = in_link = 0
+    links = furniture = inside = in_link = 0
+    root = Container(None, ())
+
+    def place() -> tuple[int, str, Container]:
+        """Path, last block tag and container of what is open now."""
+        if not stack:
+            return 0, "", root
+        top = stack[-1]
+        return top.path, tags[top.path], top.container
+
+    tags = [""]
 
     def flush():
         nonlocal parts, links
         if parts:
             text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
             if text:
-                block_tags = [(t, n) for t, n, _ in stack if t not in INLINE]
-                out.append(Block(text, "/".join(t for t, _ in block_tags), [(t in ("article", "main"), n) for t, n in block_tags if t in SECTIONS], links))
+                path, tag, container = place()
+                out.append(Block(text, path, tag, container, container.named, links))
             parts, links = [], 0
 
     def pop():
         nonlocal furniture, inside, in_link
-        tag, _, bad = stack.pop()
-        furniture -= bad
-        inside -= tag in ("article", "main")
-        in_link -= tag == "a"
-
-    at, end = 0, len(page)
-    while at < end:
-        m = _TOKEN.search(page, at)
-        text = page[at : m.start() if m else end]
+        top = stack.pop()
+        open_tags[top.tag] -= 1
+        furniture -= top.bad
+        inside -= top.tag in ("article", "main")
+        in_link -= top.tag == "a"
+
+    def close_inline_run(tag: str) -> bool:
+        """Pops up to an open `tag` if only inline elements lie above it."""
+        k = len(stack) - 1
+        while k >= 0 and stack[k].tag != tag and stack[k].tag in INLINE:
+            k -= 1
+        if k < 0 or stack[k].tag != tag:
+            return False
+        while len(stack) > k:
+            pop()
+        return True
+
+    reader = _tokens(page)
+    for text, closing, tag, attrs, at in reader:
         if text and not furniture:
             parts.append(text)
             if in_link:
                 links += len(text.strip())
-        if not m:
-            break
-        at = m.end()
-        if not m[2]:
+        if not tag:
             continue
-        tag = m[2].lower()
-        if m[1]:
+        if closing:
             if tag not in INLINE and tag != "br":
                 flush()
-            if any(t == tag for t, _, _ in stack):
+            if open_tags[tag]:
                 # An inline end tag does not close blocks that were opened inside it.
                 if tag in INLINE:
-                    k = max(i for i, x in enumerate(stack) if x[0] == tag)
-                    if all(t in INLINE for t, _, _ in stack[k:]):
-                        while len(stack) > k:
-                            pop()
+                    close_inline_run(tag)
                 else:
-                    while stack[-1][0] != tag:
+                    while stack[-1].tag != tag:
                         pop()
                     pop()
             continue
-        if tag in CLOSES_P and any(t == "p" for t, _, _ in stack):
-            k = max(i for i, x in enumerate(stack) if x[0] == "p")
-            if all(t in INLINE or t == "p" for t, _, _ in stack[k:]):
+        if tag in CLOSES_P and open_tags["p"]:
+            k = len(stack) - 1
+            while k >= 0 and stack[k].tag in INLINE:
+                k -= 1
+            if k >= 0 and stack[k].tag == "p":
                 flush()
-                while len(stack) > k:
-                    pop()
+                close_inline_run("p")
         for group in (("li",), ("dt", "dd"), ("tr",), ("td", "th"), ("option",)):
-            if tag in group and stack and stack[-1][0] in group:
+            if tag in group and stack and stack[-1].tag in group:
                 flush()
                 pop()
         if tag == "br":
@@ -149,15 +232,25 @@ def blocks_of(page: str) -> list[Block]:
             flush()
         if tag in VOID:
             continue
-        number += 1
-        bad = _is_furniture(tag, m[3], inside > 0)
+        bad = _is_furniture(tag, attrs, inside > 0)
         if tag in RAW:
             close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = close.end() if close else end
+            reader.send(close.end() if close else len(page))
             continue
-        if m[3].rstrip().endswith("/") and tag not in CLOSES_P and tag not in INLINE:
+        if attrs.rstrip().endswith("/") and tag not in CLOSES_P and tag not in INLINE:
             continue
-        stack.append((tag, number, bad))
+        path, _, container = place()
+        if tag not in INLINE:
+            number = numbers.setdefault((path, tag), len(tags))
+            if number == len(tags):
+                tags.append(tag)
+            path = number
+        if tag in SECTIONS:
+            new = Container(container, ())
+            new.named = (*container.named, new) if tag in ("article", "main") else container.named
+            container = new
+        stack.append(_Open(tag, bad, path, container))
+        open_tags[tag] += 1
         furniture += bad
         inside += tag in ("article", "main")
         in_link += tag == "a"
@@ -188,18 +281,21 @@ def path_scores(blocks: list[Block], width: float = 1.0) -> tuple[np.ndarray, np
 
 def _nested(a: Block, b: Block) -> bool:
     """Whether one block lies in the innermost container of the other."""
-    n = min(len(a.containers), len(b.containers))
-    return a.containers[:n] == b.containers[:n]
+    x, y = a.container, b.container
+    while x.depth > y.depth:
+        x = x.parent
+    while y.depth > x.depth:
+        y = y.parent
+    return x is y
 
 
 def _joins(block: Block, near: Block, before: bool) -> bool:
     """Whether a block that did not pass belongs to its neighbour, which did; before: it stands before the neighbour."""
-    tag = block.path.rsplit("/", 1)[-1]
-    if any(named and (named, n) in near.containers for named, n in block.containers):
+    if block.named and near.named and block.named[0] is near.named[0]:
         return True
-    if tag in HEADINGS:
+    if block.tag in HEADINGS:
         return before
-    return tag in PROSE and _nested(block, near)
+    return block.tag in PROSE and _nested(block, near)
 
 
 def select(blocks: list[Block]) -> np.ndarray:
