@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import uuid
 
@@ -21,10 +22,12 @@ _own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; where it is unset (tests), a folder of our own."""
+    """The cluster's spark.checkpoint.dir; where it is unset on one machine (tests), a folder of our own. A cluster without it is an error."""
     set_to = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if set_to:
         return set_to
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = f"/tmp/checkpoints/{app}-{uuid.uuid4().hex[:8]}"

@@ -6,12 +6,16 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
 from ._common import map_text
 
+#: Ids that are decoded together, about.
+MOST_IDS = 1_000_000
+
 
 def encode(df: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids array<int>) of every row's whole text; null counts as empty and gives an empty array. Other columns are dropped."""
@@ -32,8 +36,12 @@ def decode(df: DataFrame, ranks: str, id_col: str = "doc_id", ids_col: str = "id
     def run(batches):
         raw, words = tokens.decoder_table(ranks), [str(i) for i in range(len(tokens.decoder_table(ranks)))]
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            # A slice has about MOST_IDS ids; a longer list is its own.
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            at = 0
+            while at < batch.num_rows:
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + MOST_IDS, side="right")))
+                part, at = batch.slice(at, to - at), to
                 rows = [x or [] for x in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [

@@ -16,12 +16,12 @@ from ._common import fold_of, hash_share, map_text, sigmoid
 
 WIDTH, FILTERS, CHUNK = 4, 16, 256
 STRIDE = CHUNK - WIDTH + 1  # every window of WIDTH bytes lies in one chunk
-#: Bounds of the labelled sample: documents in expectation, and UTF-8 bytes of one document of the sample (longer ones are left out of training only).
-MAX_TRAIN_DOCS, MAX_TRAIN_BYTES = 3000, 200_000
+#: Bounds of the labelled sample: documents in expectation, and bytes of one document of the sample (of longer ones, chunks spread over the whole text are drawn).
+MAX_TRAIN_DOCS, MAX_TRAIN_BYTES = 3000, 50_000
 
 
-def _bytes(text: str | None) -> np.ndarray:
-    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+def _bytes(text: str | bytes | None) -> np.ndarray:
+    raw = np.frombuffer(text if isinstance(text, bytes) else (text or "").encode("utf-8", "surrogatepass"), np.uint8)
     return np.concatenate([raw, np.zeros(max(0, WIDTH - len(raw)), np.uint8)])
 
 
@@ -38,7 +38,16 @@ def _matrix(doc: np.ndarray) -> tuple[np.ndarray, int]:
     return doc[np.minimum(at, len(doc) - 1)], min(STRIDE, len(doc) - WIDTH + 1)
 
 
-def train(texts: list[str], labels: np.ndarray, epochs: int = 6, rate: float = 0.02, batch: int = 48, seed: int = 7) -> dict:
+def drawn_chunks(text: str, most: int) -> bytes:
+    """A text's UTF-8 bytes; of more than `most`, evenly spread pieces of CHUNK bytes, the first and the last among them."""
+    raw = text.encode("utf-8", "surrogatepass")
+    if len(raw) <= most:
+        return raw
+    starts = np.linspace(0, len(raw) - CHUNK, max(2, most // CHUNK)).astype(np.int64)
+    return b"".join([raw[i : i + CHUNK] for i in starts.tolist()])
+
+
+def train(texts: list[str | bytes], labels: np.ndarray, epochs: int = 6, rate: float = 0.02, batch: int = 48, seed: int = 7) -> dict:
     """Filters (WIDTH x 256 x FILTERS), bias and logistic weights for the labelled texts."""
     rng = np.random.default_rng(seed)
     docs, windows = zip(*[_matrix(_bytes(t)) for t in texts], strict=True) if texts else ((), ())
@@ -90,10 +99,16 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
 
     One class or no row gives a constant score.
     """
-    rows = labelled.where(F.col(text_col).isNotNull() & F.col(label_col).isNotNull() & (F.octet_length(text_col) <= max_bytes))
+    rows = labelled.where(F.col(text_col).isNotNull() & F.col(label_col).isNotNull())
     size = rows.count()
     drawn = rows.where(hash_share(F.col(id_col)) < min(1.0, max_docs / max(size, 1)))
-    got = drawn.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label")).toPandas()
+    kind = labelled.schema[id_col].dataType.simpleString()
+
+    def cut(batch: pa.RecordBatch, _):
+        return [batch.column(0), batch.column(1), pa.array([drawn_chunks(t, max_bytes) for t in batch.column(2).to_pylist()], pa.binary())]
+
+    got = map_text(drawn, [F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"), F.col(text_col).alias("text")], cut, f"id {kind}, label int, text binary").toPandas()
+    got["text"] = [bytes(x) for x in got["text"]]
     got = got.sort_values(["id", "text"], kind="stable")
     return train(got["text"].tolist(), got["label"].to_numpy(float))
 

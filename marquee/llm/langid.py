@@ -1,6 +1,6 @@
 """Language identification by multilingual mixture inference.
 
-Model: smoothed letter n-gram (1 to 3) probabilities of each learned language, hashed to a fixed
+Model: smoothed letter bigram and trigram probabilities of each learned language, hashed to a fixed
 number of buckets. A document's words are drawn from its languages; expectation-maximisation over
 word likelihoods estimates the proportions, and the language set is the nested set with the best penalised likelihood.
 """
@@ -184,9 +184,11 @@ def infer(texts: list[str | None], model: dict, penalty: float = 3.0, steps: int
 def identify(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", extra: list | None = None) -> DataFrame:
     """(id, extra columns, lang_pred, score, languages) per row.
 
-    Null, empty and letterless texts get `und` with score 0. Texts are read whole; the language column, if any, is not read.
+    Of the input only the named columns are kept, none of which may be called like an output. Null, empty and letterless texts get `und` with score 0. Texts are read whole; the language column, if any, is not read.
     """
     extra = extra or []
+    if clash := {"lang_pred", "score", "languages"} & set(df.select(F.col(id_col), *extra).columns):
+        raise ValueError(f"columns {sorted(clash)} are outputs")
     shared = df.sparkSession.sparkContext.broadcast(model)
     columns = [F.col(id_col), *extra, F.col(text_col)]
     head = df.select(*columns[:-1]).schema

@@ -129,6 +129,8 @@ def packet_times(packets: list[tuple[bytes, int | None]]) -> list[tuple[int, int
     for i in reversed(range(len(packets))):
         if packets[i][1] is not None:
             known = packets[i][1]
+        if known is None:
+            raise OggError("a packet has no granule position")
         ends[i] = known
         known -= len(packets[i][0])
     return [(e - len(p), e) for e, (p, _) in zip(ends, packets, strict=True)]
@@ -175,12 +177,15 @@ def store_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def read_media(df: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """(id, n_bytes, payload digests, media digests, feature) from stored bytes; a damaged file fails the task."""
+    """(id, n_bytes, payload digests, media digests, feature) from stored bytes; null bytes give nulls, a damaged file fails the task."""
     kind = df.schema[id_col].dataType.simpleString()
 
     def fn(batch: pa.RecordBatch, _):
         rows = []
         for media in batch.column(2).to_pylist():
+            if media is None:
+                rows.append((None,) * 6)
+                continue
             payload, times, cues = decode_ogg(media)
             rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(payload, times, cues)))
         cols = list(zip(*rows, strict=True))

@@ -70,30 +70,40 @@ def invert(positions, n: int, seed: int) -> np.ndarray:
     return _walk(positions, n, seed, _back)
 
 
-def global_row_numbers(df: DataFrame, keys: list[str], buckets: int = 4096) -> DataFrame:
-    """Adds `_row` (0..n-1, gapless) and `_rows` (n).
+def own_name(df: DataFrame) -> str:
+    """A prefix that no column of df begins with."""
+    name = "_own"
+    while any(c.startswith(name) for c in df.columns):
+        name += "_"
+    return name
+
+
+def global_row_numbers(df: DataFrame, keys: list[str], buckets: int = 4096, row: str = "_row", rows: str = "_rows") -> DataFrame:
+    """Adds `row` (0..n-1, gapless) and `rows` (n), replacing columns of these names.
 
     Rows with equal keys are interchangeable and get adjacent numbers; null keys sort first. One
     count per hash bucket (at most `buckets` rows, hence the broadcast) gives each bucket's offset.
     """
-    bucketed = df.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
-    counts = bucketed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    in_order = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    df = df.drop(row, rows)
+    bucket, offset = own_name(df) + "_bucket", own_name(df) + "_offset"
+    bucketed = df.withColumn(bucket, F.pmod(F.xxhash64(*keys), F.lit(buckets)))
+    counts = bucketed.groupBy(bucket).agg(F.count(F.lit(1)).alias("_n"))
+    in_order = Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
-        "_bucket",
-        F.coalesce(F.sum("_n").over(in_order), F.lit(0)).alias("_offset"),
-        F.sum("_n").over(Window.partitionBy(F.lit(0))).alias("_rows"),
+        bucket,
+        F.coalesce(F.sum("_n").over(in_order), F.lit(0)).alias(offset),
+        F.sum("_n").over(Window.partitionBy(F.lit(0))).alias(rows),
     )
-    rank = F.row_number().over(Window.partitionBy("_bucket").orderBy(*keys))
-    return bucketed.join(F.broadcast(offsets), "_bucket").withColumn("_row", F.col("_offset") + rank - 1).drop("_bucket", "_offset")
+    rank = F.row_number().over(Window.partitionBy(bucket).orderBy(*keys))
+    return bucketed.join(F.broadcast(offsets), bucket).withColumn(row, F.col(offset) + rank - 1).drop(bucket, offset)
 
 
-def _position(seed: int) -> Column:
+def _position(row: str, rows: str, seed: int) -> Column:
     @F.pandas_udf("long")
-    def position(row: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series(permute(row.to_numpy(), int(n.iloc[0]), seed)) if len(row) else row
+    def position(number: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series(permute(number.to_numpy(), int(n.iloc[0]), seed)) if len(number) else number
 
-    return position(F.col("_row"), F.col("_rows"))
+    return position(F.col(row), F.col(rows))
 
 
 def assign_shards(df: DataFrame, keys: list[str], shards: int, seed: int = 20_24, buckets: int = 4096) -> DataFrame:
@@ -102,10 +112,8 @@ def assign_shards(df: DataFrame, keys: list[str], shards: int, seed: int = 20_24
     keys: columns that tell rows apart (an id first; more for rows that may share it). Nulls,
     repeated rows and empty tables are fine; input columns named shard or slot are replaced.
     """
-    numbered = global_row_numbers(df.drop("shard", "slot"), keys, buckets)
-    at = numbered.withColumn("_at", _position(seed))
-    return at.select(
-        *[c for c in at.columns if c not in ("_row", "_rows", "_at")],
-        (F.col("_at") % shards).cast("int").alias("shard"),
-        F.expr(f"_at div {shards}").alias("slot"),
-    )
+    df = df.drop("shard", "slot")
+    own = own_name(df)
+    row, rows, at = (own + x for x in ("_row", "_rows", "_at"))
+    placed = global_row_numbers(df, keys, buckets, row, rows).withColumn(at, _position(row, rows, seed))
+    return placed.select(*df.columns, (F.col(at) % shards).cast("int").alias("shard"), F.floor(F.col(at) / shards).cast("long").alias("slot"))

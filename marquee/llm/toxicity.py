@@ -205,16 +205,15 @@ def measured(df: DataFrame, columns: list, model: dict, fn, schema: str) -> Data
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_calibration: int = MAX_CALIBRATION_DOCS, local_rows: int = LOCAL_ROWS) -> dict:
-    """Counts from three quarters of the labelled rows; two weights and an intercept from a bounded sample of the rest.
+    """Counts from all labelled rows but a bounded sample, a quarter of them at most, which the weights and the intercept are fitted on.
 
     labelled: id, text and a 0/1 label per row; rows with a null among them are left out. With one class or no row, the score is constant.
     """
     rows = labelled.where(F.col(text_col).isNotNull() & F.col(label_col).isNotNull())
-    part = F.pmod(F.xxhash64(F.lit("calibrate"), F.col(id_col)), F.lit(4))
-    model = fit_counts(bigram_counts(rows.where(part != 0), text_col, label_col), local_rows)
-    rest = rows.where(part == 0)
-    size = rest.count()
-    drawn = rest.where(hash_share(F.col(id_col)) < min(1.0, max_calibration / max(size, 1)))
+    drawn_share = min(0.25, max_calibration / max(rows.count(), 1))
+    is_drawn = hash_share(F.col(id_col)) < drawn_share
+    model = fit_counts(bigram_counts(rows.where(~is_drawn), text_col, label_col), local_rows)
+    drawn = rows.where(is_drawn)
     got = measured(drawn, [F.col(label_col).cast("int").alias("label"), F.col(text_col).alias("text")], model, lambda x, columns: [columns[0], *(pa.array(c) for c in x.T)], "label int, a double, b double, c double, d double").toPandas()
     y, x = got["label"].to_numpy(float), got[["a", "b", "c", "d"]].to_numpy(float)
     mean, dev = (x.mean(0), x.std(0) + 1e-6) if len(x) else (np.zeros(4), np.ones(4))
