@@ -103,6 +103,25 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in own}
 
 
+#: op7 on full sets: pairs that share one of their rarest shingles (two sets at 0.8 must), an exact count of what they share, and reachability.
+NEAR_DUP_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+shingles AS (SELECT DISTINCT doc_id, s FROM (SELECT doc_id, unnest(CASE WHEN len(w) >= 2 THEN [w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))] ELSE w END) AS s FROM words)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1),
+rare AS (SELECT s, count(*) AS df FROM shingles GROUP BY 1),
+ranked AS (SELECT doc_id, s, n, row_number() OVER (PARTITION BY doc_id ORDER BY df, s) AS r FROM shingles JOIN rare USING (s) JOIN sizes USING (doc_id)),
+prefix AS (SELECT doc_id, s, n FROM ranked WHERE r <= n - (4 * n + 4) // 5 + 1),
+near AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb FROM prefix a JOIN prefix b ON a.s = b.s AND a.doc_id < b.doc_id AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)),
+links AS (SELECT a, b FROM near JOIN shingles x ON x.doc_id = a JOIN shingles y ON y.doc_id = b AND y.s = x.s GROUP BY a, b, na, nb HAVING 100 * count(*) >= 80 * (na + nb - count(*))),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT a AS doc_id, a AS c FROM both_ways UNION SELECT both_ways.b, reach.c FROM reach JOIN both_ways ON both_ways.a = reach.doc_id),
+least_of AS (SELECT doc_id, min(c) AS c FROM reach GROUP BY 1)
+SELECT documents.doc_id, coalesce(n, 0) AS n_shingles, least(coalesce(c, documents.doc_id), documents.doc_id) AS component_id, coalesce(c, documents.doc_id) >= documents.doc_id AS kept
+FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN least_of USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """SQL cannot run the methods' permutation, tokenizers, sketches or trained models; brute-force tests stand in for it."""
-    return {}
+    """Near duplicates have an SQL form. SQL cannot run the other methods' checksums, permutation, tokenizers or trained models; brute-force tests stand in for it."""
+    return {"op7_near_dup": NEAR_DUP_SQL}
