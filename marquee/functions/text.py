@@ -117,7 +117,7 @@ def trigrams(word: Column) -> Column:
 
 
 def word_similarity(query: Column, text: Column) -> Column:
-    """How well some run of words of a text covers the query's trigrams: hits over trigrams of the query, the best single word counting as well."""
+    """Share of the query's trigrams that the words of a text have; 0 for a query without words."""
     of = lambda t: F.array_distinct(F.flatten(F.transform(F.filter(F.split(t, " "), lambda w: w != ""), trigrams)))
     wanted = of(query)
     return F.when(F.size(wanted) > 0, F.size(F.array_intersect(wanted, of(text))) / F.size(wanted)).otherwise(0.0)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from .operators import derived, endpoints, funnel, preferences, retrieval, scoring, semantic, similar, traits, vector
+from .operators import derived, endpoints, funnel, ingest, preferences, retrieval, scoring, semantic, similar, traits, vector
 from .plans import flows, search
 from .streaming import trending
 
-MODULES = (retrieval, scoring, vector, flows, trending, preferences, endpoints, traits, similar, semantic, funnel, derived, search)
+MODULES = (retrieval, scoring, vector, flows, trending, preferences, endpoints, traits, similar, semantic, funnel, derived, ingest, search)
 
 
 def queries() -> dict:

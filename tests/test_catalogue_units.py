@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marquee.functions import text as T
-from marquee.operators import funnel, preferences, semantic, similar, traits
+from marquee.operators import funnel, ingest, preferences, semantic, similar, traits
 from marquee.plans import search
 from marquee.streaming import trending
 
@@ -204,3 +204,39 @@ def test_windowed_counts_as_a_stream(spark, tmp_path):
     got = spark.table("trend").groupBy("start", "event_type").agg(F.max("n").alias("n"))
     want = trending.windowed_counts(events)
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def keywords_by_hand(edges):
+    """The rule of filtered_keywords in plain Python."""
+    scored = [(n.strip(), (i or 0) - 0.75 * ((v or 0) - (i or 0))) for n, i, v in edges or [] if n and n.strip()]
+    if not scored:
+        return []
+    best = max(s for _, s in scored)
+    if best <= 0:
+        return [n for n, _ in scored[:10]]
+    top = {}
+    for n, s in scored:
+        top[n] = max(s, top.get(n, s))
+    passing = list(dict.fromkeys(n for n, s in scored if s >= min(0.75 * best, best - 2)))
+    if len(passing) < 10:
+        for n in sorted((n for n in dict.fromkeys(n for n, _ in scored) if n not in passing), key=lambda n: -top[n]):
+            if len(passing) < 10:
+                passing.append(n)
+    return sorted(passing, key=lambda n: -top[n])[:15] if len(passing) > 15 else passing
+
+
+def test_keywords_by_votes(spark):
+    rng = np.random.default_rng(8)
+    rows = [[(f"k{j}", int(rng.integers(0, 30)), int(rng.integers(0, 40))) for j in range(n)] for n in (0, 1, 5, 9, 10, 14, 22, 40)]
+    rows += [[(f"k{j}", 0, 3) for j in range(12)], [("same", 20, 20), ("same", 2, 2), (" ", 9, 9), (None, 9, 9), ("x", None, None)], [(f"k{j}", 20, 20) for j in range(30)], None]
+    d = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, k array<struct<name:string,interested:int,voted:int>>")
+    got = {r.i: r.x for r in d.select("i", ingest.filtered_keywords(F.col("k")).alias("x")).collect()}
+    assert got == {i: keywords_by_hand(r) for i, r in enumerate(rows)}
+
+
+def test_money_and_eras(spark):
+    rows = [(None, 5.0), (1900, 50_000.0), (1985, 7_000_000.0), (1985, 6_999_999.0), (2050, 185_000_001.0)]
+    got = spark.createDataFrame(rows, "y int, b double").select(ingest.budget_bucket(F.col("y"), F.col("b"))).collect()
+    assert [r[0] for r in got] == [None, "small", None, "small", "large"]
+    got = spark.createDataFrame([(8.0, 90), (None, 90), (8.0, 0), (None, None)], "r double, c int").select(ingest.reception_score(F.col("r"), F.col("c"))).collect()
+    assert [r[0] for r in got] == [86.0, 90.0, 80.0, None]
