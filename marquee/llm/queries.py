@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, over their whole tables."""
+"""The registered queries of the operators, over their whole tables."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, byte_cnn, html_paths, langid, near_dup, ogg, packing, sharding, toxicity, weak_rules
+from . import bpe, byte_cnn, collocations, html_paths, langid, near_dup, ogg, packing, resample, sharding, simhash, toxicity, weak_rules
 from ._common import hash_share, materialise, table
 
 SHARDS = 8
@@ -92,6 +92,18 @@ def op10_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_cnn.score(docs, model, extra=[held.alias("held_out")])
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(table(spark, sf_dir, "documents"))
+
+
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -99,7 +111,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_sharding, op2_ogg, op3_langid, op4_packing, op5_bpe, op6_html, op7_near_dup, op8_toxicity, op9_weak_rules, op10_byte_cnn, pipeline]
+    own = [op1_sharding, op2_ogg, op3_langid, op4_packing, op5_bpe, op6_html, op7_near_dup, op8_toxicity, op9_weak_rules, op10_byte_cnn, op11_collocations, op12_simhash, op13_resample, pipeline]
     return {f.__name__: f for f in own}
 
 
@@ -122,6 +134,51 @@ FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN least_of USING (doc_id)
 """
 
 
+#: op11: all runs of 2 to 4 words of each piece counted, cuts by joins, containment by position lists.
+COLLOCATIONS_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+words AS (SELECT lang, list_filter(string_split_regex(p, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY 1),
+runs AS (SELECT lang, k, unnest([array_to_string(w[i:i + k - 1], ' ') FOR i IN range(1, len(w) - k + 2)]) AS phrase FROM words, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM runs GROUP BY 1, 2, 3 HAVING count(*) >= 30),
+split AS (SELECT lang, k, phrase, f, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+cuts AS (SELECT lang, k, phrase, f, j, array_to_string(w[1:j], ' ') AS head, array_to_string(w[j + 1:k], ' ') AS tail FROM split, (SELECT unnest([1, 2, 3]) AS j) WHERE j < k),
+scored AS (
+  SELECT cuts.lang, cuts.phrase, cuts.f AS a, x.f AS l, y.f AS r, j, (2000000::HUGEINT * cuts.f // (x.f + y.f))::BIGINT AS score
+  FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = head JOIN f y ON y.lang = cuts.lang AND y.phrase = tail),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+parts AS (SELECT lang, f, array_to_string(w[i:i + m - 1], ' ') AS phrase FROM split, (SELECT unnest([2, 3]) AS m), (SELECT unnest([1, 2, 3]) AS i) WHERE m < k AND i + m - 1 <= k),
+longer AS (SELECT lang, phrase, max(f) AS most FROM parts GROUP BY 1, 2),
+kept AS (SELECT lowest.* FROM lowest LEFT JOIN longer USING (lang, phrase) WHERE most IS NULL OR 100::HUGEINT * most < 80::HUGEINT * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept JOIN totals USING (lang) QUALIFY rank <= 2000
+"""
+
+#: op13: crc32 by its table, computed here too; the draw by one global order.
+RESAMPLE_SQL = r"""
+WITH crc AS (SELECT list(list_reduce([n] || [0, 0, 0, 0, 0, 0, 0, 0], lambda c, b: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY n) AS t FROM (SELECT unnest(range(256)) AS n)),
+words AS (
+  SELECT doc_id, true AS own, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents
+  UNION ALL SELECT item_id, false, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') FROM benchmark),
+terms AS (SELECT doc_id, own, unnest(w) AS term FROM words),
+hexed AS (SELECT DISTINCT term, hex(encode(term)) AS h FROM terms),
+hashed AS (
+  SELECT term, xor(list_reduce([4294967295] || [('0x' || h[2 * i - 1:2 * i])::BIGINT FOR i IN range(1, len(h) // 2 + 1)], lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295) % 10000 AS bucket
+  FROM hexed, crc),
+counted AS (SELECT bucket, count(*) FILTER (own) AS s, count(*) FILTER (NOT own) AS t FROM terms JOIN hashed USING (term) GROUP BY 1),
+sums AS (SELECT coalesce(sum(s), 0)::BIGINT AS s, coalesce(sum(t), 0)::BIGINT AS t FROM counted),
+gains AS (SELECT bucket, floor(1000 * ln(((counted.t + 1) * (sums.s + 10000))::DOUBLE / ((counted.s + 1) * (sums.t + 10000))::DOUBLE))::BIGINT AS gain FROM counted, sums),
+means AS (SELECT doc_id, count(*) AS n, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM terms JOIN hashed USING (term) JOIN gains USING (bucket) WHERE own GROUP BY 1),
+scored AS (
+  SELECT doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('2024:' || doc_id)[1:8])::BIGINT + 0.5) / 4294967296.0::DOUBLE)))::BIGINT AS score
+  FROM documents LEFT JOIN means USING (doc_id)),
+placed AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, 10 * count(*) OVER () // 100 AS most FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, place AS rank FROM scored LEFT JOIN (SELECT * FROM placed WHERE place <= most) USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """Near duplicates have an SQL form. SQL cannot run the other methods' checksums, permutation, tokenizers or trained models; brute-force tests stand in for it."""
-    return {"op7_near_dup": NEAR_DUP_SQL}
+    """The queries that SQL can express on whole tables. It cannot run the other methods' checksums, permutation, tokenizers or trained models; brute-force tests stand in for it."""
+    return {"op7_near_dup": NEAR_DUP_SQL, "op11_collocations": COLLOCATIONS_SQL, "op13_resample": RESAMPLE_SQL}
