@@ -3,9 +3,10 @@
 1. One pass over the texts cuts them into blocks: a block holds the words of one language that a task has read, as a list of
    distinct words and one number for each position, 0 where a piece ends.
 2. A name is the number of a frequent k-gram, given once for the whole corpus. Distinct words (k = 1), or distinct pairs of adjacent
-   (k-1)-gram names (k > 1), are counted in each block, summed by a join key that a block holds once, and those seen often enough
-   are named. Names go back to the blocks that asked for them, which replace their positions. No count is made of a phrase
-   with a rare part, and a very common word is one row of each block.
+   (k-1)-gram names (k > 1), are counted in each block and dealt to buckets by their hash, as packed arrays. A bucket adds up what its
+   blocks have counted, names what is seen often enough, and sends the names back to the blocks that hold it, which replace
+   their positions. So a phrase with a rare part is never counted, a very common word is one entry of each block, and the number
+   of buckets follows from the number of entries.
 3. A named pair points to its two (k-1)-grams. Those pointers give the phrase, the counts of all its cuts, and the longer
    phrases around a phrase. Only the two pointers of each longer phrase need a look: any phrase that holds the words k + 2
    long holds them k + 1 long at least as often.
@@ -13,19 +14,23 @@
 
 from __future__ import annotations
 
+import zlib
 from collections import defaultdict
 from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import map_text, materialise
+from ._common import map_text, materialise, mix64
 
-#: Bytes of text that a block holds, about.
-BLOCK_BYTES = 8 << 20
+#: Bytes of text that the blocks of a task hold at a time, about.
+BLOCK_BYTES = 16 << 20
+#: Entries (of one block each) that a bucket gets, about, and the least number of buckets.
+BUCKET_ENTRIES, LEAST_BUCKETS = 400_000, 32
 #: Bytes of one text that are cut into words at a time.
 CUT_BYTES = 4 << 20
 #: First of two rankings of each language is split so often.
@@ -82,44 +87,151 @@ def word_blocks(df: DataFrame, lang_col: str = "lang", text_col: str = "text") -
     return map_text(df, [lang, F.col(text_col)], fn, "block long, lang string, words array<string>, counts array<long>, at binary", make, flush)
 
 
-def named(entries: DataFrame, keys: list[str], least: int, name: str) -> DataFrame:
-    """(lang, keys, f, id) of what occurs `least` times or more; written, so the ids stay."""
-    seen = entries.groupBy("lang", *keys).agg(F.sum("c").alias("f")).where(F.col("f") >= least)
-    return materialise(seen.withColumn("id", F.monotonically_increasing_id()), name)
+def _packed(numbers: np.ndarray) -> bytes:
+    """Whole numbers from 0 in as few bytes each as the greatest needs, after a byte that says how many."""
+    size = next(n for n in (1, 2, 4, 8) if not len(numbers) or int(numbers.max()) < 1 << (8 * n - (n == 8)))
+    return bytes([size]) + numbers.astype(f"<u{size}").tobytes()
 
 
-def sent_back(blocks: DataFrame, entries: DataFrame, names: DataFrame, keys: list[str]) -> DataFrame:
-    """(block, lang, at, i, id): each block with the names of its entries; a block has no more of them than positions."""
-    found = entries.select("block", "i", "lang", *keys).join(names.select("lang", *keys, "id"), ["lang", *keys]).groupBy("block").agg(F.collect_list("i").alias("i"), F.collect_list("id").alias("id"))
-    return blocks.select("block", "lang", "at").join(found, "block")
+def _unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int64)
 
 
-def pair_blocks(blocks: DataFrame) -> DataFrame:
-    """(block, lang, lefts, rights, counts, at): adjacent named positions of each block, as distinct pairs of names and a number for each position."""
+def _rising(numbers: np.ndarray) -> bytes:
+    return _packed(np.diff(numbers, prepend=0))
+
+
+def _key_columns(pairs: bool) -> list[str]:
+    return ["lefts", "rights"] if pairs else ["words"]
 
-    def run(batches):
-        for batch in batches:
-            for k in range(batch.num_rows):
-                at = np.frombuffer(batch.column(2)[k].as_buffer(), np.int32)
-                local, ids = np.asarray(batch.column(3)[k].values), np.asarray(batch.column(4)[k].values)
-                to = np.full(max(int(at.max(initial=0)), int(local.max(initial=0))) + 1, -1, np.int64)
-                to[local] = np.arange(len(local))
-                now = to[at]
-                both = (now[:-1] >= 0) & (now[1:] >= 0)
-                pairs, number, counts = np.unique(now[:-1][both] * len(local) + now[1:][both], return_inverse=True, return_counts=True)
-                then = np.zeros(max(len(now) - 1, 0), np.int32)
-                then[both] = number + 1
-                kept = (then > 0) | np.concatenate([[False], then[:-1] > 0])[: len(then)]
-                columns = [pa.array([x], pa.list_(pa.int64())) for x in (ids[pairs // max(len(local), 1)], ids[pairs % max(len(local), 1)], counts)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), batch.column(1).slice(k, 1), *columns, pa.array([then[kept].tobytes()], pa.binary())], ["block", "lang", "lefts", "rights", "counts", "at"])
 
-    return blocks.select("block", "lang", "at", "i", "id").mapInArrow(run, "block long, lang string, lefts array<long>, rights array<long>, counts array<long>, at binary")
+DEALT = {False: "words array<string>", True: "lefts binary, rights binary"}
+NAMED = {False: "words array<string>", True: "lefts array<long>, rights array<long>"}
 
 
-def _entries(blocks: DataFrame, **columns: str) -> DataFrame:
-    """A row for each distinct entry of each block: i is its number in the block."""
-    rows = blocks.select("block", "lang", F.posexplode(F.arrays_zip(*columns.values())).alias("_p", "_e"))
-    return rows.select("block", "lang", (F.col("_p") + 1).alias("i"), *[F.col("_e")[c].alias(k) for k, c in columns.items()])
+def dealt(blocks: DataFrame, pairs: bool, buckets: int) -> DataFrame:
+    """(bucket, block, lang, i, c, keys): each block's entries by bucket, packed; i is an entry's number in its block, from 1."""
+
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                counts, *keys = (batch.column(c)[k].values for c in range(2, batch.num_columns))
+                counts = np.asarray(counts)
+                if pairs:
+                    keys = [np.asarray(x) for x in keys]
+                    h = mix64(keys[0].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ keys[1].astype(np.uint64))
+                else:
+                    h = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in keys[0].to_pylist()), np.uint64, len(counts))
+                bucket = (h % np.uint64(buckets)).astype(np.int32)
+                order = np.argsort(bucket, kind="stable")
+                edges = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=buckets))
+                parts = [order[lo:hi] for lo, hi in zip(edges[:-1], edges[1:], strict=True)]
+                n = len(parts)
+                if not n:
+                    continue
+                own = [pa.array([_packed(x[at]) for at in parts], pa.binary()) for x in keys] if pairs else [pa.array([keys[0].take(pa.array(at)).to_pylist() for at in parts], pa.list_(pa.string()))]
+                head = [pa.array(bucket[[at[0] for at in parts]], pa.int32()), pa.array([batch.column(0)[k].as_py()] * n, pa.int64()), pa.array([batch.column(1)[k].as_py()] * n, pa.string())]
+                tail = [pa.array([_rising(at + 1) for at in parts], pa.binary()), pa.array([_packed(counts[at]) for at in parts], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*head, *tail, *own], ["bucket", "block", "lang", "i", "c", *_key_columns(pairs)])
+
+    return blocks.select("block", "lang", "counts", *_key_columns(pairs)).mapInArrow(run, f"bucket int, block long, lang string, i binary, c binary, {DEALT[pairs]}")
+
+
+def _numbered(rows: pa.Table, pairs: bool) -> tuple[np.ndarray, list]:
+    """(number of each entry's key, distinct keys by number) of rows of one language."""
+    if not pairs:
+        coded = pa.concat_arrays([c.flatten() for c in rows.column("words").chunks]).dictionary_encode()
+        return np.asarray(coded.indices), [coded.dictionary]
+    left, right = (np.concatenate([_unpacked(x) for x in rows.column(c).to_pylist()]) for c in ("lefts", "rights"))
+    order = np.lexsort((right, left))
+    left, right = left[order], right[order]
+    first = np.concatenate([[True], (np.diff(left) != 0) | (np.diff(right) != 0)])
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(first) - 1
+    return number, [pa.array(left[first]), pa.array(right[first])]
+
+
+def named(blocks: DataFrame, pairs: bool, least: int, back: bool, name: str) -> DataFrame:
+    """Written rows of two kinds: (block, i, id), a block's entries that have a name; (lang, keys, f, ids), the names of a bucket, with a null block."""
+    total = blocks.agg(F.coalesce(F.sum(F.size("counts")), F.lit(0))).first()[0]
+    buckets = max(LEAST_BUCKETS, -(-total // BUCKET_ENTRIES))
+    columns = _key_columns(pairs)
+
+    def give(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        bucket, first = key[0].as_py(), 0
+        out = {c: [] for c in ("block", "i", "id", "lang", *columns, "f", "ids")}
+
+        def put(**row):
+            for c, x in out.items():
+                x.append(row.get(c))
+
+        for lang in rows.column("lang").unique().to_pylist():
+            own = rows.filter(pc.equal(rows.column("lang"), lang))
+            number, keys = _numbered(own, pairs)
+            f = np.zeros(len(keys[0]), np.int64)
+            counts = [_unpacked(c) for c in own.column("c").to_pylist()]
+            np.add.at(f, number, np.concatenate(counts))
+            often = np.flatnonzero(f >= least)
+            ids = np.full(len(f), -1, np.int64)
+            ids[often] = (first + np.arange(len(often))) * buckets + bucket
+            first += len(often)
+            if not len(often):
+                continue
+            put(lang=lang, f=f[often].tolist(), ids=ids[often].tolist(), **{c: k.take(pa.array(often)).to_pylist() for c, k in zip(columns, keys, strict=True)})
+            at = 0
+            for block, i, c in zip(own.column("block").to_pylist(), own.column("i").to_pylist(), counts, strict=True):
+                given = ids[number[at : at + len(c)]]
+                at += len(c)
+                if back and (given >= 0).any():
+                    put(block=block, i=_rising(np.cumsum(_unpacked(i))[given >= 0]), id=_packed(given[given >= 0]))
+        kinds = {"block": pa.int64(), "i": pa.binary(), "id": pa.binary(), "lang": pa.string(), "words": pa.list_(pa.string())}
+        return pa.table({c: pa.array(x, kinds.get(c, pa.list_(pa.int64()))) for c, x in out.items()})
+
+    schema = f"block long, i binary, id binary, lang string, {NAMED[pairs]}, f array<long>, ids array<long>"
+    return materialise(dealt(blocks, pairs, buckets).groupBy("bucket").applyInArrow(give, schema), name)
+
+
+def names_of(table: DataFrame, pairs: bool) -> DataFrame:
+    """(lang, id, f, word) or (lang, id, f, left, right): a row for each name."""
+    singular = {"ids": "id", "f": "f", "words": "word", "lefts": "left", "rights": "right"}
+    columns = ["ids", "f", *_key_columns(pairs)]
+    rows = table.where("block IS NULL").select("lang", F.explode(F.arrays_zip(*columns)).alias("_e"))
+    return rows.select("lang", *[F.col("_e")[c].alias(singular[c]) for c in columns])
+
+
+def pairs_of(at: np.ndarray, local: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(left names, right names, counts, positions) of adjacent named positions; at holds an entry's number or 0 for an end.
+
+    Of several positions in a row without a pair one 0 is left, so the new positions are no longer than what is frequent.
+    """
+    to = np.zeros(max(int(at.max(initial=0)), int(local.max(initial=0))) + 1, np.int32)
+    to[local] = np.arange(1, len(local) + 1, dtype=np.int32)
+    now = to[at]
+    both = np.flatnonzero((now[:-1] > 0) & (now[1:] > 0))
+    n = len(local) + 1
+    pairs, number, counts = np.unique(now[both].astype(np.int64) * n + now[both + 1], return_inverse=True, return_counts=True)
+    then = np.zeros(max(len(now) - 1, 0), np.int32)
+    then[both] = number + 1
+    kept = (then > 0) | np.concatenate([[False], then[:-1] > 0])[: len(then)]
+    return ids[pairs // n - 1], ids[pairs % n - 1], counts, then[kept]
+
+
+def pair_blocks(blocks: DataFrame, names: DataFrame) -> DataFrame:
+    """(block, lang, lefts, rights, counts, at): each block with its distinct pairs of adjacent names and a number for each position."""
+    schema = "block long, lang string, lefts array<long>, rights array<long>, counts array<long>, at binary"
+
+    def replace(key: tuple[pa.Scalar, ...], block: pa.Table, given: pa.Table) -> pa.Table:
+        lists = [pa.list_(pa.int64())] * 3
+        if not block.num_rows or not given.num_rows:
+            return pa.table({c: pa.array([], k) for c, k in zip(("block", "lang", "lefts", "rights", "counts", "at"), (pa.int64(), pa.string(), *lists, pa.binary()), strict=True)})
+        local = np.concatenate([np.cumsum(_unpacked(x)) for x in given.column("i").to_pylist()])
+        ids = np.concatenate([_unpacked(x) for x in given.column("id").to_pylist()])
+        at = np.frombuffer(block.column("at")[0].as_buffer(), np.int32)
+        *columns, then = pairs_of(at, local, ids)
+        return pa.table({"block": [key[0].as_py()], "lang": block.column("lang"), **{c: pa.array([x], k) for c, x, k in zip(("lefts", "rights", "counts"), columns, lists, strict=True)}, "at": pa.array([then.astype(np.int32).tobytes()], pa.binary())})
+
+    back = names.where("block IS NOT NULL").select("block", "i", "id")
+    return blocks.select("block", "lang", "at").groupBy("block").cogroup(back.groupBy("block")).applyInArrow(replace, schema)
 
 
 def _views(words: DataFrame, levels: list[DataFrame]) -> list[DataFrame]:
@@ -148,14 +260,12 @@ def collocations(df: DataFrame, longest: int = 4, least: int = 30, inside_percen
     """
     blocks = materialise(word_blocks(df, lang_col, text_col), "blocks")
     totals = blocks.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda s, c: s + c)).alias("n"))
-    entries = _entries(blocks, word="words", c="counts")
-    words = names = named(entries, ["word"], least, "words")
-    keys, levels = ["word"], []
+    table = named(blocks, False, least, longest > 1, "words")
+    words, levels = names_of(table, False), []
     for k in range(2, longest + 1):
-        blocks = materialise(pair_blocks(sent_back(blocks, entries, names, keys)), f"pairs{k}")
-        entries, keys = _entries(blocks, left="lefts", right="rights", c="counts"), ["left", "right"]
-        names = named(entries, keys, least, f"names{k}")
-        levels.append(names)
+        blocks = materialise(pair_blocks(blocks, table), f"pairs{k}")
+        table = named(blocks, True, least, k < longest, f"names{k}")
+        levels.append(names_of(table, True))
 
     found = []
     for k, (view, longer) in enumerate(zip(_views(words, levels), [*levels[1:], None], strict=True), 2):

@@ -91,6 +91,21 @@ def test_phrases_of_many_blocks_and_empty_tables(spark, monkeypatch):
     assert collocations.collocations(frame(spark, [(1, None, None)])).count() == 0
 
 
+@pytest.mark.parametrize("entries", [1, 17, 10**9])
+def test_phrases_do_not_depend_on_the_buckets(spark, monkeypatch, entries):
+    monkeypatch.setattr(collocations, "BUCKET_ENTRIES", entries)
+    monkeypatch.setattr(collocations, "LEAST_BUCKETS", 1)
+    rows = [(i, t, ["en", "de"][i % 2]) for i, t in enumerate(some_texts(21, 30))]
+    assert sorted(tuple(r) for r in collocations.collocations(frame(spark, rows).repartition(3), 4, 3).collect()) == brute_phrases(rows, 4, 3, 80, 2000)
+
+
+def test_packed_numbers_come_back():
+    for numbers in ([], [0], [255], [256, 3], [1 << 16], [1 << 32, 7], [(1 << 62) + 5]):
+        assert collocations._unpacked(collocations._packed(np.array(numbers, np.int64))).tolist() == numbers
+    rising = np.array([3, 4, 900, 70_000])
+    assert np.cumsum(collocations._unpacked(collocations._rising(rising))).tolist() == rising.tolist()
+
+
 def test_scores_do_not_overflow(spark):
     from pyspark.sql import functions as F
 
