@@ -21,11 +21,12 @@ from itertools import count
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import map_text, materialise, mix64
+from ._common import discard, map_text, materialise, mix64
 
 #: Bytes of text that the blocks of a task hold at a time, about.
 BLOCK_BYTES = 16 << 20
@@ -39,6 +40,27 @@ END = b"."
 _PIECES = bytes(c + 32 if 65 <= c <= 90 else 10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c for c in range(256))
 
 
+def _packed(numbers: np.ndarray) -> bytes:
+    """Whole numbers from 0, compressed: in as few bytes each as the greatest needs, first bytes together, then second ones, and so on."""
+    size = next(n for n in (1, 2, 4, 8) if not len(numbers) or int(numbers.max()) < 1 << (8 * n - (n == 8)))
+    planes = numbers.astype(f"<u{size}").view(np.uint8).reshape(-1, size).T
+    return bytes([size]) + zstandard.compress(planes.tobytes(), 1)
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(raw[1:]), np.uint8).reshape(raw[0], -1)
+    return planes.T.copy().view(f"<u{raw[0]}").reshape(-1).astype(np.int64)
+
+
+def _packed_words(words: list[bytes]) -> bytes:
+    """Words hold no blank, so one parts them."""
+    return zstandard.compress(b" ".join(words), 1)
+
+
+def _unpacked_words(raw: bytes) -> list[bytes]:
+    return zstandard.decompress(raw).split(b" ") if raw else []
+
+
 class Block:
     """Positions and distinct words of one language; a piece's end is word 0."""
 
@@ -60,12 +82,18 @@ class Block:
         self.parts.append(np.zeros(1, np.int32))
 
     def row(self) -> tuple[list[bytes], np.ndarray, bytes]:
+        """Words, the most frequent first (so positions are small numbers), their counts, and the packed positions."""
         at = np.concatenate(self.parts)
-        return list(self.words)[1:], np.bincount(at, minlength=len(self.words))[1:], at.tobytes()
+        counts = np.bincount(at, minlength=len(self.words))
+        order = np.argsort(-counts[1:], kind="stable") + 1
+        rank = np.zeros(len(counts), np.int32)
+        rank[order] = np.arange(1, len(counts), dtype=np.int32)
+        words = list(self.words)
+        return [words[k] for k in order], counts[order], _packed(rank[at])
 
 
 def word_blocks(df: DataFrame, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
-    """(block, lang, words, counts, at): at holds a number for each position as int32 (n for the n-th word, 0 for an end)."""
+    """(block, lang, words, counts, at): words are packed text, at a packed number for each position (n for the n-th word, 0 for an end)."""
 
     def make():
         return {"blocks": defaultdict(Block), "next": (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32}
@@ -75,7 +103,7 @@ def word_blocks(df: DataFrame, lang_col: str = "lang", text_col: str = "text") -
         ids = range(state["next"], state["next"] + len(rows))
         state["next"] += len(rows)
         state["blocks"].clear()
-        return [pa.array(ids, pa.int64()), pa.array([r[0] for r in rows], pa.string()), pa.array([[w.decode("utf-8", "surrogatepass") for w in r[1]] for r in rows], pa.list_(pa.string())), pa.array([r[2] for r in rows], pa.list_(pa.int64())), pa.array([r[3] for r in rows], pa.binary())]
+        return [pa.array(ids, pa.int64()), pa.array([r[0] for r in rows], pa.string()), pa.array([_packed_words(r[1]) for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.list_(pa.int64())), pa.array([r[3] for r in rows], pa.binary())]
 
     def fn(batch: pa.RecordBatch, state):
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -84,17 +112,7 @@ def word_blocks(df: DataFrame, lang_col: str = "lang", text_col: str = "text") -
         return flush(state) if sum(b.size for b in state["blocks"].values()) >= BLOCK_BYTES else None
 
     lang = F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang")
-    return map_text(df, [lang, F.col(text_col)], fn, "block long, lang string, words array<string>, counts array<long>, at binary", make, flush)
-
-
-def _packed(numbers: np.ndarray) -> bytes:
-    """Whole numbers from 0 in as few bytes each as the greatest needs, after a byte that says how many."""
-    size = next(n for n in (1, 2, 4, 8) if not len(numbers) or int(numbers.max()) < 1 << (8 * n - (n == 8)))
-    return bytes([size]) + numbers.astype(f"<u{size}").tobytes()
-
-
-def _unpacked(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int64)
+    return map_text(df, [lang, F.col(text_col)], fn, "block long, lang string, words binary, counts array<long>, at binary", make, flush)
 
 
 def _rising(numbers: np.ndarray) -> bytes:
@@ -105,7 +123,7 @@ def _key_columns(pairs: bool) -> list[str]:
     return ["lefts", "rights"] if pairs else ["words"]
 
 
-DEALT = {False: "words array<string>", True: "lefts binary, rights binary"}
+DEALT = {False: "words binary", True: "lefts binary, rights binary"}
 NAMED = {False: "words array<string>", True: "lefts array<long>, rights array<long>"}
 
 
@@ -115,13 +133,13 @@ def dealt(blocks: DataFrame, pairs: bool, buckets: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             for k in range(batch.num_rows):
-                counts, *keys = (batch.column(c)[k].values for c in range(2, batch.num_columns))
-                counts = np.asarray(counts)
+                counts = np.asarray(batch.column(2)[k].values)
                 if pairs:
-                    keys = [np.asarray(x) for x in keys]
+                    keys = [np.asarray(batch.column(c)[k].values) for c in (3, 4)]
                     h = mix64(keys[0].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ keys[1].astype(np.uint64))
                 else:
-                    h = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in keys[0].to_pylist()), np.uint64, len(counts))
+                    words = _unpacked_words(batch.column(3)[k].as_py()) if len(counts) else []
+                    h = np.fromiter(map(zlib.crc32, words), np.uint64, len(counts))
                 bucket = (h % np.uint64(buckets)).astype(np.int32)
                 order = np.argsort(bucket, kind="stable")
                 edges = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=buckets))
@@ -129,7 +147,7 @@ def dealt(blocks: DataFrame, pairs: bool, buckets: int) -> DataFrame:
                 n = len(parts)
                 if not n:
                     continue
-                own = [pa.array([_packed(x[at]) for at in parts], pa.binary()) for x in keys] if pairs else [pa.array([keys[0].take(pa.array(at)).to_pylist() for at in parts], pa.list_(pa.string()))]
+                own = [pa.array([_packed(x[at]) for at in parts], pa.binary()) for x in keys] if pairs else [pa.array([_packed_words([words[i] for i in at]) for at in parts], pa.binary())]
                 head = [pa.array(bucket[[at[0] for at in parts]], pa.int32()), pa.array([batch.column(0)[k].as_py()] * n, pa.int64()), pa.array([batch.column(1)[k].as_py()] * n, pa.string())]
                 tail = [pa.array([_rising(at + 1) for at in parts], pa.binary()), pa.array([_packed(counts[at]) for at in parts], pa.binary())]
                 yield pa.RecordBatch.from_arrays([*head, *tail, *own], ["bucket", "block", "lang", "i", "c", *_key_columns(pairs)])
@@ -140,7 +158,8 @@ def dealt(blocks: DataFrame, pairs: bool, buckets: int) -> DataFrame:
 def _numbered(rows: pa.Table, pairs: bool) -> tuple[np.ndarray, list]:
     """(number of each entry's key, distinct keys by number) of rows of one language."""
     if not pairs:
-        coded = pa.concat_arrays([c.flatten() for c in rows.column("words").chunks]).dictionary_encode()
+        words = [w.decode("utf-8", "surrogatepass") for x in rows.column("words").to_pylist() for w in _unpacked_words(x)]
+        coded = pa.array(words, pa.string()).dictionary_encode()
         return np.asarray(coded.indices), [coded.dictionary]
     left, right = (np.concatenate([_unpacked(x) for x in rows.column(c).to_pylist()]) for c in ("lefts", "rights"))
     order = np.lexsort((right, left))
@@ -226,9 +245,8 @@ def pair_blocks(blocks: DataFrame, names: DataFrame) -> DataFrame:
             return pa.table({c: pa.array([], k) for c, k in zip(("block", "lang", "lefts", "rights", "counts", "at"), (pa.int64(), pa.string(), *lists, pa.binary()), strict=True)})
         local = np.concatenate([np.cumsum(_unpacked(x)) for x in given.column("i").to_pylist()])
         ids = np.concatenate([_unpacked(x) for x in given.column("id").to_pylist()])
-        at = np.frombuffer(block.column("at")[0].as_buffer(), np.int32)
-        *columns, then = pairs_of(at, local, ids)
-        return pa.table({"block": [key[0].as_py()], "lang": block.column("lang"), **{c: pa.array([x], k) for c, x, k in zip(("lefts", "rights", "counts"), columns, lists, strict=True)}, "at": pa.array([then.astype(np.int32).tobytes()], pa.binary())})
+        *columns, then = pairs_of(_unpacked(block.column("at")[0].as_py()), local, ids)
+        return pa.table({"block": [key[0].as_py()], "lang": block.column("lang"), **{c: pa.array([x], k) for c, x, k in zip(("lefts", "rights", "counts"), columns, lists, strict=True)}, "at": pa.array([_packed(then)], pa.binary())})
 
     back = names.where("block IS NOT NULL").select("block", "i", "id")
     return blocks.select("block", "lang", "at").groupBy("block").cogroup(back.groupBy("block")).applyInArrow(replace, schema)
@@ -259,13 +277,15 @@ def collocations(df: DataFrame, longest: int = 4, least: int = 30, inside_percen
     columns are not read. An empty table gives no rows. Equal scores go by a, then by the phrase's bytes, so ranks are definite.
     """
     blocks = materialise(word_blocks(df, lang_col, text_col), "blocks")
-    totals = blocks.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda s, c: s + c)).alias("n"))
+    totals = materialise(blocks.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda s, c: s + c)).alias("n")), "totals")
     table = named(blocks, False, least, longest > 1, "words")
     words, levels = names_of(table, False), []
     for k in range(2, longest + 1):
-        blocks = materialise(pair_blocks(blocks, table), f"pairs{k}")
+        before, blocks = blocks, materialise(pair_blocks(blocks, table), f"pairs{k}")
+        discard(before)
         table = named(blocks, True, least, k < longest, f"names{k}")
         levels.append(names_of(table, True))
+    discard(blocks)
 
     found = []
     for k, (view, longer) in enumerate(zip(_views(words, levels), [*levels[1:], None], strict=True), 2):

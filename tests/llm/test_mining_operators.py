@@ -72,7 +72,7 @@ def test_long_texts_are_cut_between_words_only(spark, monkeypatch):
     text = "one two three four, five six\tseven. " * 40
     block.add(text)
     words, counts, at = block.row()
-    positions = np.frombuffer(at, np.int32)
+    positions = collocations._unpacked(at)
     spelled = " ".join("." if x == 0 else words[x - 1].decode() for x in positions)
     assert spelled.split() == (text.translate(str.maketrans({",": " . ", ".": " . ", "\t": " "}))).split() + ["."]
     assert counts.tolist() == [spelled.split().count(w.decode()) for w in words]
