@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scores as S
 from ..functions import text as T
 from ..sources import catalogue as C
+from ..sources.store import stored
 from . import preferences as P
 
 # Kinds of traits by their column; idf limits of recall; rows a phrase may match.
@@ -74,7 +75,7 @@ def derived_like_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 def derived_director_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lead people with two items or more: strength and its percentile among them, from the histogram of strengths."""
     lead = C.table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.col("l_suppkey").alias("term"), F.col("l_partkey").alias("movie_id")).distinct()
-    cards = C.popularity(C.cards(spark, sf_dir)).select("movie_id", C.r6(F.col("popularity")).cast("decimal(12,6)").alias("p"), "reception")
+    cards = C.cards(spark, sf_dir).select("movie_id", C.r6(F.col("popularity")).cast("decimal(12,6)").alias("p"), "reception")
     raw = lead.join(cards, "movie_id").groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.round(0.8 * F.avg("p").cast("double") + 0.2 * F.avg(S.clamp(F.col("reception") / 100)), 6).alias("strength")).where("n >= 2")
     ranked = C.percent_rank_of(raw, "strength", "percentile")
     return ranked.select("term", "n", "strength", C.r6(F.col("percentile")).alias("percentile"))
@@ -170,12 +171,29 @@ def derived_item_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cast.join(rest, "movie_id")
 
 
+# Bounds of the quality lists and the ranges over which their orders rise.
+CULT_RECEPTION, CULT_PERCENTILE, PRESTIGE_RECEPTION, QUALITY_LIMIT = 50.0, 0.75, 75.0, 500
+
+
+def quality_recall(cards: DataFrame, limit: int = QUALITY_LIMIT, poor: float = CULT_RECEPTION, known: float = CULT_PERCENTILE, acclaimed: float = PRESTIGE_RECEPTION) -> DataFrame:
+    """(movie_id, bucket): the best `limit` of badly received, well-known items, and of items with acclaim or an award, each by a blend of both."""
+    r, pct = F.col("reception"), F.coalesce("pct", F.lit(0.0))
+    won = F.exists("win_ids", lambda x: x != 10)
+    cult = 0.5 * S.clamp((poor - r) / 30) + 0.5 * S.clamp((pct - known) / 0.20)
+    prestige = 0.75 * S.clamp((F.coalesce(r, F.lit(0.0)) - acclaimed) / 20) + 0.25 * F.greatest(S.clamp((pct - 0.50) / 0.30), won.cast("double"))
+    both = [cards.where((r <= poor) & (F.col("pct") >= known)).select("movie_id", F.lit("cult").alias("bucket"), F.round(cult, 9).alias("worth")), cards.where((r >= acclaimed) | won).select("movie_id", F.lit("prestige").alias("bucket"), F.round(prestige, 9).alias("worth"))]
+    best = Window.partitionBy("bucket").orderBy(F.desc("worth"), "movie_id")
+    return both[0].unionByName(both[1]).withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= limit).select("movie_id", "bucket")
+
+
+@stored("quality_lists", "part", "lineitem")
+def quality_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_recall(C.cards(spark, sf_dir))
+
+
 def derived_quality_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates by quality: acclaimed ones by percentile with or without an award, and poorly received well-known ones; the best 500 of each."""
-    d = C.percent_rank_of(C.cards(spark, sf_dir), "votes", "pct").withColumn("pct", C.r6(F.col("pct")))
-    prestige = d.where((F.col("reception") >= 51) & (F.exists("win_ids", lambda x: x != 10) | (F.col("pct") >= 0.75))).orderBy(F.desc("reception"), F.desc("movie_id")).limit(500)
-    cult = d.where((F.col("reception") <= 49) & (F.col("pct") >= 0.6)).orderBy(F.desc("pct"), F.desc("movie_id")).limit(500)
-    return prestige.select("movie_id", F.lit("prestige").alias("bucket")).unionByName(cult.select("movie_id", F.lit("cult").alias("bucket")))
+    return quality_lists(spark, sf_dir)
 
 
 def derived_card_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -258,7 +276,15 @@ QUERIES = {
     "derived_modal_ending": (derived_modal_ending, f"WITH{C.CARDS}, v AS (SELECT movie_id, run, movie_id * (run + 3) % 4 AS tag FROM cards, range(3) r(run)), c AS (SELECT movie_id, tag, count(*) AS n, min(run) AS f FROM v GROUP BY 1, 2) SELECT movie_id, arg_max(tag, n * 10 - f) AS tag FROM c GROUP BY 1"),
     "derived_award_signals": (derived_award_signals, f"WITH{C.AWARDS}, f AS (SELECT movie_id, bool_or(ceremony <> 10 AND won) AS w, bool_or(ceremony <> 10 AND NOT won) AS n, bool_or(ceremony = 10 AND won) AS rw, bool_or(ceremony = 10 AND NOT won) AS rn, bool_or(ceremony = 1) AS picture FROM awards GROUP BY 1) SELECT movie_id, CASE WHEN w THEN 1::DOUBLE WHEN n THEN 0.75 ELSE 0 END AS non_razzie, CASE WHEN rw THEN 1::DOUBLE WHEN rn THEN 0.75 ELSE 0 END AS razzie, picture, rw AS bad_razzie FROM f"),
     "derived_item_sets": (derived_item_sets, f"WITH{C.POSTINGS}, c AS (SELECT movie_id, coalesce(array_to_string(list_sort(list(DISTINCT term) FILTER (WHERE position <= 3)), ','), '') AS top_cast FROM postings GROUP BY 1), r AS (SELECT l_partkey AS movie_id, coalesce(array_to_string(list_sort(list(DISTINCT l_suppkey) FILTER (WHERE l_linenumber = 1)), ','), '') AS directors, array_to_string(list_sort(list(DISTINCT l_suppkey % 12 + 1)), ',') AS ceremonies FROM lineitem GROUP BY 1) SELECT * FROM c JOIN r USING (movie_id)"),
-    "derived_quality_candidates": (derived_quality_candidates, f"WITH{C.CARDS}, p AS (SELECT *, round(percent_rank() OVER (ORDER BY votes), 6) AS pct FROM cards), a AS (SELECT movie_id FROM p WHERE reception >= 51 AND (len(list_filter(win_ids, lambda x: x <> 10)) > 0 OR pct >= 0.75) ORDER BY reception DESC, movie_id DESC LIMIT 500), b AS (SELECT movie_id FROM p WHERE reception <= 49 AND pct >= 0.6 ORDER BY pct DESC, movie_id DESC LIMIT 500) SELECT movie_id, 'prestige' AS bucket FROM a UNION ALL SELECT movie_id, 'cult' FROM b"),
+    "derived_quality_candidates": (
+        derived_quality_candidates,
+        f"""WITH{C.CARDS}, p AS (SELECT *, percent_rank() OVER (ORDER BY votes) AS pct, len(list_filter(win_ids, lambda x: x <> 10)) > 0 AS won FROM cards),
+        w AS (
+          SELECT movie_id, 'cult' AS bucket, round(0.5::DOUBLE * least(1, greatest(0, (50 - reception) / 30::DOUBLE)) + 0.5::DOUBLE * least(1, greatest(0, (pct - 0.75) / 0.20::DOUBLE)), 9) AS worth FROM p WHERE reception <= 50 AND pct >= 0.75
+          UNION ALL
+          SELECT movie_id, 'prestige', round(0.75::DOUBLE * least(1, greatest(0, (reception - 75) / 20::DOUBLE)) + 0.25::DOUBLE * greatest(least(1, greatest(0, (pct - 0.50) / 0.30::DOUBLE)), won::INT), 9) FROM p WHERE reception >= 75 OR won)
+        SELECT movie_id, bucket FROM w QUALIFY row_number() OVER (PARTITION BY bucket ORDER BY worth DESC, movie_id) <= 500""",
+    ),
     "derived_card_summaries": (derived_card_summaries, _SUMMARY),
     "derived_restricted_lookups": (derived_restricted_lookups, f"WITH{C.CARDS}, d AS (SELECT movie_id, list_has_any(source_ids, [1, 4]) AS by_source, list_has_any(lineage_ids, [2, 3]) OR list_has_any(universe_ids, [2, 3]) OR list_contains(subgroup_ids, 0) AS by_franchise, title LIKE '%bolt%' AS by_title, len(list_filter(win_ids, lambda x: x <> 10)) > 0 AS won_any FROM cards) SELECT * FROM d WHERE by_source OR by_franchise OR by_title OR won_any"),
 }

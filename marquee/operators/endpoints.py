@@ -16,7 +16,7 @@ from . import preferences as P
 
 # The roles of people, ceremony 10 (left out unless it is named), the scores of franchise hits, the score below which
 # a generator's row is dropped, and the rows of a call without a bounded column.
-ROLES = ("actor", "director", "writer", "producer", "composer")
+ROLES = C.ROLES
 RAZZIE = 10
 UNIVERSE_ONLY = 0.75
 LEAST_GENERATED = 0.01
@@ -46,10 +46,8 @@ def dealbreaker_floor(raw: Column) -> Column:
 
 def role_postings(spark: SparkSession, sf_dir: str, role: str) -> DataFrame:
     """(term, movie_id[, position, cast_size]) credits of a role; only actors have places."""
-    if role == "actor":
-        return C.person_postings(spark, sf_dir)
-    line = ROLES.index(role)
-    return C.table(spark, sf_dir, "lineitem").where(F.col("l_linenumber") == line).select(F.col("l_suppkey").alias("term"), F.col("l_partkey").alias("movie_id")).distinct()
+    own = C.credits(spark, sf_dir).where(F.col("role") == role)
+    return own.select("term", "movie_id", "position", "cast_size") if role == "actor" else own.select("term", "movie_id")
 
 
 def billing(postings: DataFrame) -> DataFrame:
@@ -81,13 +79,10 @@ def curve(mode: str) -> Column:
 
 def person_scores(spark: SparkSession, sf_dir: str, terms: list[int], role: str = "unknown", mode: str = "default", restrict: DataFrame | None = None) -> DataFrame:
     """Items of the people named: actors by their prominence, other roles 1; an unknown role takes the best of all five."""
-    actors = lambda: billing(role_postings(spark, sf_dir, "actor").where(F.col("term").isin(terms))).groupBy("movie_id").agg(F.max(f"as_{mode}").alias("score"))
-    others = lambda r: role_postings(spark, sf_dir, r).where(F.col("term").isin(terms)).select("movie_id", F.lit(1.0).alias("score")).distinct()
-    if role == "unknown":
-        found = max_merge([actors(), *[others(r) for r in ROLES[1:]]])
-    else:
-        found = actors() if role == "actor" else others(role)
-    return restricted(found, restrict)
+    rows = C.credits(spark, sf_dir).where(F.col("term").isin(terms))
+    rows = billing(rows if role == "unknown" else rows.where(F.col("role") == role))
+    score = F.when(F.col("role") == "actor", F.col(f"as_{mode}")).otherwise(1.0)
+    return restricted(rows.groupBy("movie_id").agg(F.max(score).alias("score")), restrict)
 
 
 def character_scores(spark: SparkSession, sf_dir: str, terms: list[int], central: bool = False, restrict: DataFrame | None = None) -> DataFrame:
@@ -108,7 +103,7 @@ def award_search(awards: DataFrame, ceremonies: list[int] | None = None, won: bo
         rows = rows.where(F.col("year").between(*years))
     counted = rows.groupBy("movie_id").agg(F.count(F.lit(1)).alias("n"))
     score = F.when(F.col("n") >= mark, 1.0).otherwise(0.0) if floor else F.least("n", F.lit(mark)) / float(mark)
-    return counted.select("movie_id", score.alias("score"))
+    return counted.select("movie_id", score.alias("score")).where("score > 0")
 
 
 def award_scores(searches: list[DataFrame], average: bool = False, restrict: DataFrame | None = None) -> DataFrame:
@@ -356,15 +351,13 @@ def chronological_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trending_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .scoring import trending
-
-    trend = trending(spark, sf_dir).select("movie_id", "score")
+    trend = C.trend(spark, sf_dir).select("movie_id", "score")
     return _rounded(trending_scores(trend)).withColumn("kind", F.lit("generator")).unionByName(_rounded(trending_scores(trend, _pool(spark, sf_dir))).withColumn("kind", F.lit("restricted")))
 
 
 def metadata_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five bounded columns, any of which may pass, and their mean over a pool."""
-    cards = C.popularity(C.cards(spark, sf_dir))
+    cards = C.cards(spark, sf_dir)
     calls = [release_call("after", "1997-06-01"), runtime_call("between", 44, 48), maturity_call(">=", 5), streaming_call([2], [1, 2, 3], 1), budget_call("large"), language_call([3]), country_call([1], False)]
     best, mean = metadata_scores(cards, calls[:5]), metadata_scores(cards, calls, every=True, restrict=_pool(spark, sf_dir))
     return _rounded(best).withColumn("kind", F.lit("any")).unionByName(_rounded(mean).withColumn("kind", F.lit("all restricted")))
@@ -372,7 +365,7 @@ def metadata_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def metadata_unbounded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Popularity and reception bound nothing: the best UNBOUNDED_LIMIT items by their signals."""
-    return _rounded(metadata_scores(C.popularity(C.cards(spark, sf_dir)), [popularity_call(), reception_call()]))
+    return _rounded(metadata_scores(C.cards(spark, sf_dir), [popularity_call(), reception_call()]))
 
 
 _W = "WITH"
@@ -397,7 +390,7 @@ def _fill(scores: str, kind: str) -> str:
     return f"SELECT movie_id, round(coalesce(score, 0), 6) AS score, '{kind}' AS kind FROM pool LEFT JOIN ({scores}) USING (movie_id)"
 
 
-_AWARD = """, s1 AS (SELECT movie_id, CASE WHEN count(*) >= 2 THEN 1::DOUBLE ELSE 0 END AS score FROM awards WHERE ceremony <> 10 AND won GROUP BY 1),
+_AWARD = """, s1 AS (SELECT movie_id, 1::DOUBLE AS score FROM awards WHERE ceremony <> 10 AND won GROUP BY 1 HAVING count(*) >= 2),
 s2 AS (SELECT movie_id, least(count(*), 4) / 4::DOUBLE AS score FROM awards WHERE ceremony IN (3, 10) AND year BETWEEN 1993 AND 1996 GROUP BY 1), both_s AS (SELECT * FROM s1 UNION ALL SELECT * FROM s2)"""
 _FRANCHISE = """, f AS (SELECT movie_id, list_has_any(lineage_ids, [3, 4]) AS lineage FROM cards
   WHERE (list_has_any(lineage_ids, [3, 4]) OR list_has_any(universe_ids, [3, 4])) AND NOT coalesce(is_spinoff, false))"""
@@ -425,7 +418,7 @@ QUERIES = {
     "keyword_query": (keyword_query, f"{_W}{C.CARDS}, {_POOL}, h AS (SELECT movie_id, {_HITS} AS n FROM cards) SELECT movie_id, 1::DOUBLE AS score, 'any' AS kind FROM h WHERE n > 0 UNION ALL " + _fill("SELECT movie_id, n / 6::DOUBLE AS score FROM h WHERE n > 0", "all restricted")),
     "media_type_query": (media_type_query, f"{_W}{C.CARDS}, {_POOL} SELECT movie_id, 1::DOUBLE AS score, 'any' AS kind FROM cards WHERE release_format IN (2, 3) UNION ALL " + _fill("SELECT movie_id, 1::DOUBLE AS score FROM cards WHERE release_format IN (2, 3)", "restricted")),
     "chronological_query": (chronological_query, f"{_W}{C.CARDS}, {_POOL}, p AS (SELECT movie_id, released FROM pool LEFT JOIN cards USING (movie_id)), d AS (SELECT released, dense_rank() OVER (ORDER BY released) AS up, dense_rank() OVER (ORDER BY released DESC) AS down FROM (SELECT DISTINCT released FROM p WHERE released IS NOT NULL)), n AS (SELECT max(up) AS last FROM d) SELECT movie_id, round(CASE WHEN up IS NULL THEN 0 WHEN last = 1 THEN 1 ELSE (up - 1)::DOUBLE / (last - 1) END, 6) AS newest, round(CASE WHEN up IS NULL THEN 0 WHEN last = 1 THEN 1 ELSE (down - 1)::DOUBLE / (last - 1) END, 6) AS oldest FROM p LEFT JOIN d USING (released), n"),
-    "trending_query": (trending_query, f"{_W} {_POOL}, c AS (SELECT user_id AS movie_id, count(*) AS events FROM events GROUP BY 1), r AS (SELECT movie_id, round(1 - sqrt((row_number() OVER (ORDER BY events DESC, movie_id) - 1)::DOUBLE / count(*) OVER ()), 6) AS score FROM c) SELECT movie_id, round(0.5 + 0.5 * score, 6) AS score, 'generator' AS kind FROM r WHERE score > 0 UNION ALL " + _fill("SELECT * FROM r", "restricted")),
+    "trending_query": (trending_query, f"{_W} {_POOL}, c AS (SELECT user_id AS movie_id, count(*) AS events FROM events GROUP BY 1), r AS (SELECT movie_id, 1 - sqrt((row_number() OVER (ORDER BY events DESC, movie_id) - 1)::DOUBLE / count(*) OVER ()) AS score FROM c) SELECT movie_id, round(0.5::DOUBLE + 0.5::DOUBLE * score, 6) AS score, 'generator' AS kind FROM r WHERE score > 0 UNION ALL " + _fill("SELECT * FROM r", "restricted")),
     "metadata_query": (metadata_query, f"{_W}{C.CARDS}, {_POOL}{_COLUMNS} SELECT movie_id, round(greatest(c1, c2, c3, c4, c5), 6) AS score, 'any' AS kind FROM c WHERE greatest(c1, c2, c3, c4, c5) >= 0.01 UNION ALL " + _fill("SELECT movie_id, (c1 + c2 + c3 + c4 + c5 + c6 + c7) / 7 AS score FROM c", "all restricted")),
     "metadata_unbounded": (metadata_unbounded, f"{_W}{C.CARDS},{C.POPULAR}, s AS (SELECT movie_id, greatest(1 / (1 + exp(-12 * (popularity - 0.70))), 1 / (1 + exp(-0.22 * (reception - 70)))) AS score FROM popular ORDER BY greatest(popularity, least(greatest((reception - 55) / 40, 0), 1)) DESC, movie_id DESC LIMIT 5000) SELECT movie_id, round(score, 6) AS score FROM s WHERE score >= 0.01"),
 }

@@ -151,7 +151,7 @@ def scored_preferences(cards: DataFrame) -> dict[str, Column]:
 
 def meta_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten preferences of every card and their weighted mean."""
-    cards = C.popularity(C.cards(spark, sf_dir)).join(trending(spark, sf_dir).select("movie_id", F.col("score").alias("trend")), "movie_id", "left")
+    cards = C.cards(spark, sf_dir).join(trending(spark, sf_dir).select("movie_id", F.col("score").alias("trend")), "movie_id", "left")
     scores = scored_preferences(cards)
     return cards.select("movie_id", *[C.r6(score).alias(name) for name, score in scores.items()], C.r6(weighted_mean(scores)).alias("score"))
 

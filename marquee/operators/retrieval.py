@@ -99,20 +99,20 @@ def agg_trait_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def win_popularity_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.popularity(C.cards(spark, sf_dir)).select("movie_id", "votes", C.r6(F.col("popularity")).alias("popularity"))
+    return C.cards(spark, sf_dir).select("movie_id", "votes", C.r6(F.col("popularity")).alias("popularity"))
 
 
 def agg_director_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lead people with two items or more: mean of 0.8 popularity + 0.2 reception."""
     lead = C.person_postings(spark, sf_dir).where("position = 1")
-    rows = lead.join(C.popularity(C.cards(spark, sf_dir)), "movie_id").groupBy("term")
+    rows = lead.join(C.cards(spark, sf_dir), "movie_id").groupBy("term")
     return rows.agg(F.count(F.lit(1)).alias("n"), C.r6(F.avg(0.8 * F.col("popularity") + 0.2 * S.clamp(F.col("reception") / 100))).alias("strength")).where("n >= 2")
 
 
 def agg_franchise_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per company: mean popularity and its consistency, 1 for a single item."""
     spread = 1 - S.clamp(2 * F.stddev_samp("popularity"))
-    return C.popularity(C.cards(spark, sf_dir)).groupBy("company").agg(F.count(F.lit(1)).alias("n"), C.r6(F.avg("popularity")).alias("confidence"), C.r6(F.when(F.count(F.lit(1)) < 2, 1.0).otherwise(spread)).alias("consistency"))
+    return C.cards(spark, sf_dir).groupBy("company").agg(F.count(F.lit(1)).alias("n"), C.r6(F.avg("popularity")).alias("confidence"), C.r6(F.when(F.count(F.lit(1)) < 2, 1.0).otherwise(spread)).alias("consistency"))
 
 
 def agg_award_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ GRACE = S.date_grace(*RELEASED)
 
 def meta_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Release, runtime, maturity, popularity and reception scores of every card."""
-    d = C.popularity(C.cards(spark, sf_dir))
+    d = C.cards(spark, sf_dir)
     p, r = F.col("popularity"), F.col("reception")
     return d.select(
         "movie_id",
@@ -84,30 +84,13 @@ def win_chronological(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.select("movie_id", C.r6(F.when(F.col("last") == 1, 1.0).otherwise((F.col("rank") - 1) / (F.col("last") - 1))).alias("score"))
 
 
-#: Ranges of ids within which rows of one event count are ranked, so that a count held by most rows is not one group.
-ID_RANGES = 4096
-
-
 def trending(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """1 - sqrt(rank / n) by event count, ties by id. Ranks come from the histogram of counts by id range plus a rank within each of its cells."""
-    counts = C.table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("movie_id")).agg(F.count(F.lit(1)).alias("events"))
-    ends = C.table(spark, sf_dir, "events").agg(F.min("user_id").alias("_low"), F.max("user_id").alias("_high"))
-    cell = F.floor((F.col("movie_id") - F.col("_low")) * ID_RANGES / (F.col("_high") - F.col("_low") + 1))
-    counts = counts.crossJoin(F.broadcast(ends)).withColumn("_cell", cell).drop("_low", "_high")
-    cells = counts.groupBy("events", "_cell").agg(F.count(F.lit(1)).alias("_n"))
-    levels = cells.groupBy("events").agg(F.sum("_n").alias("_level"))
-    above = F.coalesce(F.sum("_level").over(Window.orderBy(F.desc("events")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    levels = levels.select("events", above.alias("_above"), F.sum("_level").over(Window.partitionBy(F.lit(1))).alias("_total"))
-    earlier = F.coalesce(F.sum("_n").over(Window.partitionBy("events").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = cells.withColumn("_before", earlier).drop("_n").join(levels, "events")
-    within = F.row_number().over(Window.partitionBy("events", "_cell").orderBy("movie_id")) - 1
-    ranked = counts.join(offsets, ["events", "_cell"]).withColumn("rank", F.col("_above") + F.col("_before") + within)
-    return ranked.select("movie_id", "events", "rank", C.r6(1 - F.sqrt(F.col("rank") / F.col("_total"))).alias("score"))
+    return C.trend(spark, sf_dir).withColumn("score", C.r6(F.col("score")))
 
 
 def quality_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """cult (reception <= 45, high percentile), prestige (>= 85, .75), else middle; and the reception tier label."""
-    d = C.percent_rank_of(C.cards(spark, sf_dir), "votes", "pct")
+    d = C.cards(spark, sf_dir)
     r = F.col("reception")
     bucket = F.when((r <= 45) & (F.col("pct") >= 0.89), "cult").when((r >= 85) & (F.col("pct") >= 0.75), "prestige").otherwise("middle")
     tier = F.when(r >= 81, 5).when(r >= 61, 4).when(r >= 41, 3).when(r >= 21, 2).otherwise(1)

@@ -1,4 +1,4 @@
-"""Similar items of one anchor and of several: lanes, their weights, multipliers, floors, and the slot weaver.
+"""Similar items of one anchor and of several: lanes, their weights, multipliers, and floors.
 
 Anchors are a stated, bounded set; what is read from them on the driver is a handful of rows.
 """
@@ -42,8 +42,6 @@ CROSS = {
     ("mainstream_blockbuster", "dogshit"): 0.10,
 }
 LEAST_COHESION = 0.5
-# The weaver's slots.
-SLOTS, BEST_SLOTS, BUCKET_CAP, INSTANTIATE, BALANCE = 10, 5, 3, 0.50, 0.5
 
 
 def _ids(row: Row, name: str) -> list[int]:
@@ -146,7 +144,7 @@ def source_lane(cards: DataFrame, anchor: Row) -> DataFrame:
 
 def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cards with the vote percentile, award flags, lead person and release year."""
-    cards = C.percent_rank_of(C.cards(spark, sf_dir), "votes", "pct")
+    cards = C.cards(spark, sf_dir)
     won = F.exists("win_ids", lambda x: x != 10)
     return cards.select(
         "*", won.cast("double").alias("non_razzie"), F.array_contains("win_ids", 10).cast("double").alias("razzie"), F.array_contains("win_ids", 1).alias("picture"), F.year(F.timestamp_seconds("released")).alias("year")
@@ -278,7 +276,7 @@ def centroid_lane(vectors: DataFrame, anchors: list[int], weights: tuple[float,
     if len(anchors) > MAX_ANCHORS:
         raise ValueError(f"at most {MAX_ANCHORS} anchors")
     v = F.col("vector")
-    unit = vectors.select("movie_id", "space", F.transform(v, lambda x: x / S.norm(v)).alias("unit"))
+    unit = vectors.select("movie_id", "space", F.transform(v, lambda x: x / F.col("norm")).alias("unit"))
     heads = unit.where(F.col("movie_id").isin(anchors))
     whole = heads.groupBy("space").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(anchors)).select("space")
     heads = heads.join(F.broadcast(whole), "space", "left_semi")
@@ -297,49 +295,6 @@ def sim_multi_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroid_lane(C.vectors(spark, sf_dir), list(ANCHORS)).select("movie_id", C.r6(F.col("shape")).alias("shape"))
 
 
-# The weaver: ten slots over a bounded list of the best candidates.
-
-
-def slot_targets(signals: dict[str, float], slots: int = SLOTS) -> dict[str, int]:
-    """Slots of each bucket: five for the best overall, the rest by largest remainder over the buckets with a signal of .5 or more, three at most each."""
-    live = {b: s for b, s in signals.items() if s >= INSTANTIATE}
-    free = slots - BEST_SLOTS if live else 0
-    total = sum(live.values())
-    share = {b: min(float(BUCKET_CAP), free * s / total) for b, s in live.items()}
-    out = {b: int(x) for b, x in share.items()}
-    left = free - sum(out.values())
-    for b in sorted(live, key=lambda b: (-(share[b] - int(share[b])), b)):
-        if left and out[b] < BUCKET_CAP:
-            out[b] += 1
-            left -= 1
-    return {"best_overall": slots - sum(out.values()), **out}
-
-
-def weave(candidates: list[tuple[int, float, set[str]]], signals: dict[str, float], slots: int = SLOTS) -> list[int]:
-    """Ids of the chosen: each slot takes the candidate with the most (1 - b) relevance + b need of its neediest bucket; ties go to the better score, then the lower id."""
-    targets = slot_targets(signals, slots)
-    rest = sorted(candidates, key=lambda c: (-c[1], c[0]))
-    top, got, out = max((c[1] for c in rest), default=0.0), dict.fromkeys(targets, 0), []
-    while rest and len(out) < slots:
-        need = {b: max(0.0, t - got[b]) / t if t else 0.0 for b, t in targets.items()}
-        worth = lambda c: (1 - BALANCE) * (c[1] / top if top else 0.0) + BALANCE * max(need[b] for b in {"best_overall", *c[2]} if b in need)  # noqa: B023, E731
-        chosen = max(rest, key=lambda c: (worth(c), c[1], -c[0]))
-        home = max((b for b in {"best_overall", *chosen[2]} if b in need), key=lambda b: (need[b], b))
-        got[home] += 1
-        out.append(chosen[0])
-        rest.remove(chosen)
-    return out
-
-
-def sim_woven(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten slots of the single anchor's best 100 candidates, a bounded top-k report; buckets: auteur, franchise, rare keywords."""
-    best = single_anchor_lanes(spark, sf_dir).select("movie_id", "score", "director", "franchise", "themes").orderBy(F.desc("score"), "movie_id").limit(100).collect()
-    member = lambda r: {b for b, on in (("auteur", r["director"] == 1), ("franchise", r["franchise"] >= 0.55), ("rare_keyword", r["themes"] >= 0.5)) if on}
-    rows = [(r["movie_id"], round(r["score"], 6), member(r)) for r in best]
-    signals = {b: float(any(b in m for _, _, m in rows)) for b in ("auteur", "franchise", "rare_keyword")}
-    return spark.createDataFrame(list(enumerate(weave(rows, signals), 1)), "slot int, movie_id long")
-
-
 def _single_sql() -> str:
     """The single-anchor flow, with the anchor's own rows as scalar subqueries."""
     share = "[" + ", ".join(f"{w / sum(SPACE_WEIGHTS)}::DOUBLE" for w in SPACE_WEIGHTS) + "]"
@@ -428,5 +383,4 @@ QUERIES = {
     "sim_multi_lanes": (sim_multi_lanes, _MULTI),
     "sim_multi_shape": (sim_multi_shape, _CENTROID),
     "sim_cohesion": (sim_cohesion, _COHESION),
-    "sim_woven": (sim_woven, None),
 }

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores as S
 from ..sources import catalogue as C
+from ..sources.store import written
 from . import endpoints as E
 
 # Floors of both geometric means, commitments, the corpus size of rarity, the least pool, and the caps of the implicit priors.
@@ -146,7 +147,7 @@ def final_scores(pool: DataFrame, positive: DataFrame, negative: DataFrame, weig
     """(movie_id, positive, negative, score) of every pool item; weights: (trait, weight)."""
     part = lambda d, name: d.join(F.broadcast(weights), "trait").groupBy("movie_id").agg(F.sum(F.col("score") * F.col("weight")).alias(name))
     joined = pool.join(part(positive, "positive"), "movie_id", "left").join(part(negative, "negative"), "movie_id", "left")
-    filled = joined.select("movie_id", F.coalesce("positive", F.lit(0.0)).alias("positive"), (-F.coalesce("negative", F.lit(0.0))).alias("negative"))
+    filled = joined.select("movie_id", F.coalesce("positive", F.lit(0.0)).alias("positive"), (0.0 - F.coalesce("negative", F.lit(0.0))).alias("negative"))
     return filled.withColumn("score", F.col("positive") + F.col("negative"))
 
 
@@ -169,7 +170,7 @@ def pool_of(generators: list[DataFrame], shorts: DataFrame, reserves: list[tuple
             break
         union = found.select("movie_id") if union is None else union.unionByName(found.select("movie_id")).distinct()
         promoted.append(tier)
-    if union is None or union.isEmpty():
+    if union is None or (seed is not None and union.isEmpty()):
         union = seed.select("movie_id")
     return union.select("movie_id").distinct().join(shorts, "movie_id", "left_anti"), promoted
 
@@ -179,7 +180,7 @@ def pool_of(generators: list[DataFrame], shorts: DataFrame, reserves: list[tuple
 
 def _calls(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(positive calls, negative calls) of the registered request."""
-    cards = C.popularity(C.cards(spark, sf_dir))
+    cards = C.cards(spark, sf_dir)
     awards = C.awards(spark, sf_dir)
     topic = E.keyword_scores(cards, [1, 5, 9], [2], [3, 9], every=True)
     near = cards.select("movie_id", S.reception_mode(F.col("reception")).alias("score"))
@@ -214,17 +215,12 @@ def trait_negative(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negative_scores(against, spark.createDataFrame([(3, 1, 2)], "trait int, gates int, fuzzies int")).select("movie_id", C.r6(F.col("score")).alias("score"))
 
 
-def trait_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per fold, route and tier: categories, generators and gates."""
-    return category_rows(spark).groupBy("fold", "route", "tier").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("generator"), 1)).alias("generators"), F.count(F.when(F.col("gate"), 1)).alias("gates"))
-
-
 def flow_trait_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole flow: pool of the generators without shorts, folds, weights by commitment and rarity, the negative trait, a popularity prior; the best 100."""
-    calls, against = _calls(spark, sf_dir)
+    calls, against = (written(d, "calls") for d in _calls(spark, sf_dir))
     specs = spark.createDataFrame(_SPECS, "trait int, category string, place int, fold string, asked int")
     modes = spark.createDataFrame(_MODES, "trait int, mode string, surviving int")
-    cards = C.popularity(C.cards(spark, sf_dir))
+    cards = C.cards(spark, sf_dir)
     generators = calls.where("NOT reranks")
     pool, _ = pool_of([generators], cards.where(F.col("release_format") == SHORT_FORMAT).select("movie_id"), filtered=False)
     inside = calls.join(pool, "movie_id", "left_semi")
@@ -270,13 +266,11 @@ rare AS (SELECT trait, count(DISTINCT movie_id) / 150000::DOUBLE AS x FROM calls
 weights AS (SELECT t AS trait, w * coalesce(CASE WHEN x IS NULL THEN 1 WHEN x < 0.001 THEN 1.5 WHEN x < 0.01 THEN 1.2 WHEN x < 0.1 THEN 1 WHEN x < 0.3 THEN 0.75 ELSE 0.5 END, 1)::DOUBLE AS weight
   FROM (VALUES (0, 3.0::DOUBLE), (1, 1.75), (2, 1.0), (3, 0.6)) v(t, w) LEFT JOIN rare ON trait = t),
 p AS (SELECT movie_id, sum(score * weight) AS p FROM traits JOIN weights USING (trait) GROUP BY 1), n AS (SELECT movie_id, score * (SELECT weight FROM weights WHERE trait = 3) AS n FROM negative),
-s AS (SELECT movie_id, coalesce(p, 0) AS positive, -coalesce(n, 0) AS negative, popularity FROM pool LEFT JOIN p USING (movie_id) LEFT JOIN n USING (movie_id) JOIN popular USING (movie_id))
+s AS (SELECT movie_id, coalesce(p, 0) AS positive, 0 - coalesce(n, 0) AS negative, popularity FROM pool LEFT JOIN p USING (movie_id) LEFT JOIN n USING (movie_id) JOIN popular USING (movie_id))
 SELECT movie_id, round(positive, 6) AS positive, round(negative, 6) AS negative,
   round(positive + negative + CASE WHEN positive > 0 THEN positive ELSE 1 END * 0.12::DOUBLE / (1 + exp(-12 * (popularity - 0.70))), 6) AS score FROM s ORDER BY score DESC, movie_id LIMIT 100"""
-_ROWS = ", ".join(f"('{n}', '{r}', '{fold}', {generates(n, r)}, {promotion_tier(n, r)}, {gate})" for n, (routes, fold, _, gate) in CATEGORIES.items() for r in routes)
 QUERIES = {
     "trait_fold_categories": (trait_fold_categories, f"WITH{_CALLS},{_FOLDS.format(calls='calls')} SELECT trait, category, movie_id, round(score, 6) AS score FROM folded"),
     "trait_negative": (trait_negative, f"WITH{_CALLS},{_NEGATIVE.format(against='against')} SELECT movie_id, round(score, 6) AS score FROM negative"),
-    "trait_categories": (trait_categories, f"SELECT fold, route, tier, count(*) AS n, count(*) FILTER (WHERE generator) AS generators, count(*) FILTER (WHERE gate) AS gates FROM (VALUES {_ROWS}) v(category, route, fold, generator, tier, gate) GROUP BY 1, 2, 3"),
     "flow_trait_search": (flow_trait_search, _FLOW),
 }

@@ -16,7 +16,7 @@ def similarities(vectors: DataFrame, anchors: list[int]) -> DataFrame:
     """(anchor, space, movie_id, score): cosine of every item with each anchor, space by space."""
     if len(anchors) > MAX_ANCHORS:
         raise ValueError(f"at most {MAX_ANCHORS} anchors")
-    v = vectors.withColumn("norm", S.norm(F.col("vector")))
+    v = vectors
     heads = v.where(F.col("movie_id").isin(anchors)).select(F.col("movie_id").alias("anchor"), "space", F.col("vector").alias("head"), F.col("norm").alias("head_norm"))
     pairs = v.where(~F.col("movie_id").isin(anchors)).join(F.broadcast(heads), "space")
     return pairs.select("anchor", "space", "movie_id", "format", (S.dot(F.col("vector"), F.col("head")) / (F.col("norm") * F.col("head_norm"))).alias("score"))
@@ -56,8 +56,8 @@ def vec_pool_rescale(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vec_shape_cohesion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per space: mean pairwise cosine of three anchors and its weight clamp((c - .55) / .30, .10, 1)."""
     v = C.vectors(spark, sf_dir).where(F.col("movie_id").isin(0, 1, 2))
-    a, b = v.select(F.col("movie_id").alias("a"), "space", F.col("vector").alias("va")), v.select(F.col("movie_id").alias("b"), "space", F.col("vector").alias("vb"))
-    c = a.join(b, "space").where("a < b").groupBy("space").agg(F.avg(S.dot(F.col("va"), F.col("vb")) / (S.norm(F.col("va")) * S.norm(F.col("vb")))).alias("cohesion"))
+    a, b = v.select(F.col("movie_id").alias("a"), "space", F.col("vector").alias("va"), F.col("norm").alias("na")), v.select(F.col("movie_id").alias("b"), "space", F.col("vector").alias("vb"), F.col("norm").alias("nb"))
+    c = a.join(b, "space").where("a < b").groupBy("space").agg(F.avg(S.dot(F.col("va"), F.col("vb")) / (F.col("na") * F.col("nb"))).alias("cohesion"))
     return c.select("space", C.r6(F.col("cohesion")).alias("cohesion"), C.r6(S.clamp((F.col("cohesion") - 0.55) / 0.30, 0.10, 1.0)).alias("weight"))
 
 

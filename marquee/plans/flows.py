@@ -15,29 +15,29 @@ def neutral_prior(d: DataFrame) -> DataFrame:
 
 
 def topk_browse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = C.popularity(C.cards(spark, sf_dir)).select("movie_id", C.r6(F.col("popularity")).alias("popularity"))
+    d = C.cards(spark, sf_dir).select("movie_id", C.r6(F.col("popularity")).alias("popularity"))
     return d.orderBy(F.desc_nulls_last("popularity"), F.desc("movie_id")).limit(100)
 
 
 def topk_quality_popularity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = C.popularity(C.cards(spark, sf_dir)).select("movie_id", C.r6(F.coalesce("popularity", F.lit(0.0)) * F.coalesce("reception", F.lit(0.0))).alias("product"))
+    d = C.cards(spark, sf_dir).select("movie_id", C.r6(F.coalesce("popularity", F.lit(0.0)) * F.coalesce("reception", F.lit(0.0))).alias("product"))
     return d.orderBy(F.desc("product"), F.desc("movie_id")).limit(100)
 
 
 def topk_neutral_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = neutral_prior(C.popularity(C.cards(spark, sf_dir))).select("movie_id", "prior")
+    d = neutral_prior(C.cards(spark, sf_dir)).select("movie_id", "prior")
     return d.orderBy(F.desc("prior"), F.desc("movie_id")).limit(2000)
 
 
 def topk_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Relevance rounded to two places, then the quality prior, then the id."""
-    d = C.popularity(C.cards(spark, sf_dir)).select("movie_id", F.bround("popularity", 2).alias("bucket"), C.r6(S.clamp((F.coalesce("reception", F.lit(60.0)) - 30) / 60)).alias("quality"))
+    d = C.cards(spark, sf_dir).select("movie_id", F.bround("popularity", 2).alias("bucket"), C.r6(S.clamp((F.coalesce("reception", F.lit(60.0)) - 30) / 60)).alias("quality"))
     return d.orderBy(F.desc("bucket"), F.desc("quality"), "movie_id").limit(200)
 
 
 def flow_attribute_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neutral browse under hard filters."""
-    d = hard_filter(C.popularity(C.cards(spark, sf_dir)), RELEASED, maturity=(1, 4))
+    d = hard_filter(C.cards(spark, sf_dir), RELEASED, maturity=(1, 4))
     return neutral_prior(d).select("movie_id", "title", "prior").orderBy(F.desc("prior"), F.desc("movie_id")).limit(100)
 
 
@@ -46,7 +46,7 @@ def flow_title_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = "re"
     title = F.lower("title")
     tier = F.when(title.startswith(q) | title.contains(" " + q), 1).otherwise(2)
-    d = neutral_prior(C.popularity(C.cards(spark, sf_dir)).where(title.contains(q)))
+    d = neutral_prior(C.cards(spark, sf_dir).where(title.contains(q)))
     return d.select("movie_id", "title", tier.alias("tier"), "prior").orderBy("tier", F.char_length("title"), F.desc("prior"), F.desc("movie_id")).limit(25)
 
 

@@ -25,24 +25,22 @@ LIMIT = 100
 
 def person_buckets(spark: SparkSession, sf_dir: str, people: list[int]) -> DataFrame:
     """(term, movie_id, bucket): 1 lead, 2 major, 3 relevant, 4 minor, by billing zone; other roles count as lead. The best per person and item."""
-    d = E.billing(E.role_postings(spark, sf_dir, "actor").where(F.col("term").isin(people)))
-    bucket = F.when(F.col("zone") == "lead", 1).when(F.col("zone") == "supporting", 2).when(F.col("place") <= MINOR_SPLIT, 3).otherwise(4)
-    parts = [d.select("term", "movie_id", bucket.alias("bucket"))]
-    parts += [E.role_postings(spark, sf_dir, r).where(F.col("term").isin(people)).select("term", "movie_id", F.lit(1).alias("bucket")) for r in E.ROLES[1:]]
-    return reduce(DataFrame.unionByName, parts).groupBy("term", "movie_id").agg(F.min("bucket").alias("bucket"))
+    d = E.billing(C.credits(spark, sf_dir).where(F.col("term").isin(people)))
+    bucket = F.when((F.col("role") != "actor") | (F.col("zone") == "lead"), 1).when(F.col("zone") == "supporting", 2).when(F.col("place") <= MINOR_SPLIT, 3).otherwise(4)
+    return d.groupBy("term", "movie_id").agg(F.min(bucket).alias("bucket"))
 
 
 def people_search(spark: SparkSession, sf_dir: str, people: list[int], limit: int = LIMIT) -> DataFrame:
     """Items by their best bucket over the people, then by how many of them they credit, then by popularity."""
     found = person_buckets(spark, sf_dir, people).groupBy("movie_id").agg(F.min("bucket").alias("bucket"), F.count(F.lit(1)).alias("people"))
-    d = found.join(C.popularity(C.cards(spark, sf_dir)).select("movie_id", C.r6(F.col("popularity")).alias("popularity")), "movie_id")
+    d = found.join(C.cards(spark, sf_dir).select("movie_id", C.r6(F.col("popularity")).alias("popularity")), "movie_id")
     return d.orderBy("bucket", F.desc("people"), F.desc_nulls_last("popularity"), F.desc("movie_id")).limit(limit)
 
 
 def attribute_search(spark: SparkSession, sf_dir: str, people: list[int], limit: int = LIMIT) -> DataFrame:
     """Items by the sum of 5 - bucket over the people asked for, then popularity."""
     found = person_buckets(spark, sf_dir, people).groupBy("movie_id").agg(F.sum(5 - F.col("bucket")).alias("weight"))
-    d = found.join(C.popularity(C.cards(spark, sf_dir)).select("movie_id", C.r6(F.col("popularity")).alias("popularity")), "movie_id")
+    d = found.join(C.cards(spark, sf_dir).select("movie_id", C.r6(F.col("popularity")).alias("popularity")), "movie_id")
     return d.orderBy(F.desc("weight"), F.desc_nulls_last("popularity"), F.desc("movie_id")).limit(limit)
 
 
@@ -60,7 +58,7 @@ def exact_title(cards: DataFrame, title: str, year: int | None = None) -> DataFr
     """
     wanted = T.fold_text(title)
     words = list(dict.fromkeys(wanted.split()))
-    d = cards.withColumn("normal", T.normalize(F.col("title"))).withColumn("year", F.year(F.timestamp_seconds("released")))
+    d = cards.withColumn("year", F.year(F.timestamp_seconds("released")))
     right_year = F.lit(True) if year is None else F.coalesce(F.col("year") == year, F.lit(False))
     same = d.where(F.col("normal") == wanted)
     seeds = same.where(right_year)
@@ -86,7 +84,7 @@ def title_search(cards: DataFrame, query: str, limit: int = TITLE_LIMIT) -> Data
     wanted = T.fold_text(query)
     if not wanted:
         return cards.where("false").select("movie_id", F.lit(0).alias("tier"), F.lit(0.0).alias("likeness"))
-    d = neutral_prior(cards).withColumn("normal", T.normalize(F.col("title")))
+    d = neutral_prior(cards)
     tier = F.when(F.col("normal").startswith(wanted) | F.contains("normal", F.lit(" " + wanted)), 1).when(F.contains("normal", F.lit(wanted)), 2)
     exact = d.withColumn("tier", tier).where("tier IS NOT NULL").withColumn("likeness", F.lit(1.0))
     found = exact
@@ -133,7 +131,7 @@ def resolve_references(cards: DataFrame, references: DataFrame) -> DataFrame:
 
     references: (place, title, year), the titles in normal form; a small stated table.
     """
-    d = cards.select("movie_id", T.normalize(F.col("title")).alias("normal"), "pct", "reception", F.year(F.timestamp_seconds("released")).alias("released_in"))
+    d = cards.select("movie_id", "normal", "pct", "reception", F.year(F.timestamp_seconds("released")).alias("released_in"))
     met = d.join(F.broadcast(references), F.col("normal") == F.col("title")).where("year IS NULL OR year = released_in")
     best = F.max_by("movie_id", F.struct(F.coalesce("pct", F.lit(-1.0)), F.coalesce("reception", F.lit(-1.0)), F.coalesce("released_in", F.lit(-1)), -F.col("movie_id")))
     return met.groupBy("place").agg(best.alias("movie_id")).groupBy("movie_id").agg(F.min("place").alias("place"))
@@ -158,7 +156,7 @@ def flow_attribute_people(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _titled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.popularity(C.cards(spark, sf_dir))
+    return C.cards(spark, sf_dir)
 
 
 def flow_exact_title(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,8 +189,8 @@ def flow_studio_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def flow_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """References to the titles of four items, one twice and one unknown."""
-    cards = C.percent_rank_of(C.cards(spark, sf_dir), "votes", "pct")
-    known = cards.where(F.col("movie_id").isin(3, 8, 12, 20)).select(F.col("movie_id").cast("int").alias("place"), T.normalize_ascii(F.col("title")).alias("title"), F.when(F.col("movie_id") == 8, F.year(F.timestamp_seconds("released"))).alias("year"))
+    cards = C.cards(spark, sf_dir)
+    known = cards.where(F.col("movie_id").isin(3, 8, 12, 20)).select(F.col("movie_id").cast("int").alias("place"), F.col("normal").alias("title"), F.when(F.col("movie_id") == 8, F.year(F.timestamp_seconds("released"))).alias("year"))
     unknown = spark.createDataFrame([(99, "no such title", None)], "place int, title string, year int")
     return resolve_references(cards, known.unionByName(unknown))
 

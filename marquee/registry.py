@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from .operators import derived, endpoints, funnel, ingest, preferences, retrieval, scoring, semantic, similar, traits, vector
-from .plans import flows, search
-from .streaming import trending
+from .operators import awards, derived, endpoints, funnel, ingest, names, preferences, retrieval, scoring, semantic, similar, studios, traits, twostage, vector
+from .plans import flows, requests, search, similar_items
+from .streaming import refresh, trending
 
-MODULES = (retrieval, scoring, vector, flows, trending, preferences, endpoints, traits, similar, semantic, funnel, derived, ingest, search)
+MODULES = (retrieval, scoring, vector, flows, trending, preferences, endpoints, traits, similar, semantic, funnel, derived, ingest, search, requests, names, awards, studios, similar_items, twostage, refresh)
 
 
 def queries() -> dict:

@@ -1,14 +1,20 @@
-"""Catalogue views over the driver tables: item cards, postings, awards, vectors, trend events.
+"""Catalogue views over the driver tables: item cards, postings, credits, awards, vectors.
 
-Each view has a Spark form and, for the oracle, the same definition in SQL. Sums are of integers, so results do
-not depend on the order of rows.
+Each view has a Spark form, which the store writes once and all queries read, and, for the oracle, the same definition in SQL
+over the base tables. Sums are of integers, so results do not depend on the order of rows.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import scores as S
+from ..functions import text as T
+from .store import stored
+
 SPACES = 8
 DIMS = 8
 
@@ -17,8 +23,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@stored("cards", "part", "lineitem")
 def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per item that has postings."""
+    """One row per item that has postings, with the percentile of its votes, its popularity and its title's lookup form."""
     cents = F.round(F.col("l_discount") * 100).cast("long")
     facts = (
         table(spark, sf_dir, "lineitem")
@@ -52,7 +59,8 @@ def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("p_partkey") % 2 == 1, F.array(F.col("p_size") % 6)).otherwise(none).alias("source_ids"),
         F.array(F.col("p_partkey") % 8, 8 + F.col("p_partkey") % 5).alias("tag_ids"),
     )
-    return part.join(facts, "movie_id")
+    ranked = percent_rank_of(part.join(facts, "movie_id"), "votes", "pct")
+    return ranked.withColumn("popularity", popularity_of(F.col("pct"))).withColumn("normal", T.normalize(F.col("title")))
 
 
 CARDS = """
@@ -75,6 +83,7 @@ cards AS (
   FROM part JOIN facts ON p_partkey = movie_id)"""
 
 
+@stored("postings", "lineitem")
 def person_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(term, movie_id, position, cast_size): a person's best billing in an item and the item's billing length."""
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("term"), F.col("l_partkey").alias("movie_id"), F.col("l_linenumber").alias("position"))
@@ -82,12 +91,27 @@ def person_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.join(rows.groupBy("movie_id").agg(F.max("position").alias("cast_size")), "movie_id")
 
 
+#: The roles of people, each but the first at the line of its number.
+ROLES = ("actor", "director", "writer", "producer", "composer")
+
+
+@stored("credits", "lineitem")
+def credits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(role, term, movie_id, position, cast_size): every credit once; only actors have a place."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("term"), F.col("l_partkey").alias("movie_id"), F.col("l_linenumber").alias("line"))
+    role = F.element_at(F.array(*[F.lit(r) for r in ROLES[1:]]), F.col("line"))
+    others = rows.where(F.col("line").between(1, len(ROLES) - 1)).select(role.alias("role"), "term", "movie_id").distinct()
+    actors = person_postings(spark, sf_dir).withColumn("role", F.lit(ROLES[0]))
+    return actors.unionByName(others, allowMissingColumns=True).select("role", "term", "movie_id", "position", "cast_size")
+
+
 POSTINGS = """
 postings AS (
   SELECT l_suppkey AS term, l_partkey AS movie_id, min(l_linenumber) AS position, any_value(size) AS cast_size
   FROM lineitem JOIN (SELECT l_partkey AS k, max(l_linenumber) AS size FROM lineitem GROUP BY 1) ON k = l_partkey GROUP BY 1, 2)"""
 
 
+@stored("awards", "lineitem")
 def awards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct (movie_id, ceremony, won, year)."""
     return (
@@ -102,11 +126,12 @@ awards AS (
   SELECT DISTINCT l_partkey AS movie_id, l_suppkey % 12 + 1 AS ceremony, l_returnflag = 'A' AS won, year(l_shipdate) AS year FROM lineitem)"""
 
 
+@stored("vectors", "embeddings")
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(movie_id, space, vector, format): each embedding cut into SPACES slices of DIMS numbers."""
+    """(movie_id, space, vector, format, norm): each embedding cut into SPACES slices of DIMS numbers."""
     cut = F.transform(F.sequence(F.lit(0), F.lit(SPACES - 1)), lambda s: F.struct(s.alias("space"), F.slice("embedding", s * DIMS + 1, DIMS).cast("array<double>").alias("vector")))
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("movie_id"), F.col("label").alias("format"), F.explode(cut).alias("x"))
-    return rows.select("movie_id", "format", "x.space", "x.vector")
+    return rows.select("movie_id", "format", "x.space", "x.vector", S.norm(F.col("x.vector")).alias("norm"))
 
 
 VECTORS = f"""
@@ -115,6 +140,26 @@ vectors AS (
   FROM embeddings, range({SPACES}) r(s))"""
 
 
+#: Arrays of the cards that hold traits, by kind.
+TRAIT_COLUMNS = {"keyword": "keyword_ids", "genre": "genre_ids", "source": "source_ids", "tag": "tag_ids", "language": "language_ids"}
+
+
+@stored("card_traits", "part", "lineitem")
+def card_traits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(movie_id, kind, trait_id): the id arrays of the cards as rows, without repeats."""
+    d = cards(spark, sf_dir)
+    parts = [d.select("movie_id", F.lit(k).alias("kind"), F.explode(F.array_distinct(F.col(c).cast("array<long>"))).alias("trait_id")) for k, c in TRAIT_COLUMNS.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@stored("franchise_entries", "part", "lineitem")
+def franchise_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(movie_id, entry, lineage): the entries of an item's lineage (true) or of its universe alone (false)."""
+    d = cards(spark, sf_dir)
+    parts = [d.select("movie_id", F.explode(F.col(c).cast("array<long>")).alias("entry"), F.lit(c == "lineage_ids").alias("lineage")) for c in ("lineage_ids", "universe_ids")]
+    return parts[0].unionByName(parts[1]).groupBy("movie_id", "entry").agg(F.max("lineage").alias("lineage"))
+
+
 def percent_rank_of(df: DataFrame, value: str, out: str) -> DataFrame:
     """PERCENT_RANK over a column by its value histogram: one small window over distinct values, never over all rows."""
     histogram = df.groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
@@ -124,15 +169,36 @@ def percent_rank_of(df: DataFrame, value: str, out: str) -> DataFrame:
     return df.join(ranks, df[value].eqNullSafe(ranks["_value"])).drop("_value")
 
 
-def popularity(df: DataFrame) -> DataFrame:
-    """Adds popularity: a sigmoid of the vote percentile."""
-    ranked = percent_rank_of(df, "votes", "_p")
-    return ranked.withColumn("popularity", 1 / (1 + F.exp(-15.0 * (F.col("_p") - 0.70)))).drop("_p")
+def popularity_of(pct: Column) -> Column:
+    """A sigmoid of the vote percentile."""
+    return 1 / (1 + F.exp(-15.0 * (pct - 0.70)))
 
 
 POPULAR = """
 popular AS (SELECT *, 1 / (1 + exp(-15.0 * (percent_rank() OVER (ORDER BY votes) - 0.70))) AS popularity FROM cards)"""
 
 
+#: Ranges of ids within which rows of one event count are ranked, so that a count held by most rows is not one group.
+ID_RANGES = 4096
+
+
+@stored("trend", "events")
+def trend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """1 - sqrt(rank / n) by event count, ties by id. Ranks come from the histogram of counts by id range plus a rank within each of its cells."""
+    counts = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("movie_id")).agg(F.count(F.lit(1)).alias("events"))
+    ends = table(spark, sf_dir, "events").agg(F.min("user_id").alias("_low"), F.max("user_id").alias("_high"))
+    cell = F.floor((F.col("movie_id") - F.col("_low")) * ID_RANGES / (F.col("_high") - F.col("_low") + 1))
+    counts = counts.crossJoin(F.broadcast(ends)).withColumn("_cell", cell).drop("_low", "_high")
+    cells = counts.groupBy("events", "_cell").agg(F.count(F.lit(1)).alias("_n"))
+    levels = cells.groupBy("events").agg(F.sum("_n").alias("_level"))
+    above = F.coalesce(F.sum("_level").over(Window.orderBy(F.desc("events")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    levels = levels.select("events", above.alias("_above"), F.sum("_level").over(Window.partitionBy(F.lit(1))).alias("_total"))
+    earlier = F.coalesce(F.sum("_n").over(Window.partitionBy("events").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = cells.withColumn("_before", earlier).drop("_n").join(levels, "events")
+    within = F.row_number().over(Window.partitionBy("events", "_cell").orderBy("movie_id")) - 1
+    ranked = counts.join(offsets, ["events", "_cell"]).withColumn("rank", F.col("_above") + F.col("_before") + within)
+    return ranked.select("movie_id", "events", "rank", (1 - F.sqrt(F.col("rank") / F.col("_total"))).alias("score"))
+
+
 def r6(c: Column) -> Column:
     return F.round(c, 6)

@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -13,7 +14,8 @@ os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, os.environ.get("P
 @pytest.fixture(scope="session")
 def spark():
     builder = SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory", "6g").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC")
-    session = builder.getOrCreate()
+    folder = tempfile.mkdtemp(prefix="spark-")
+    session = builder.config("spark.checkpoint.dir", folder).getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

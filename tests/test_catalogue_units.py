@@ -94,39 +94,6 @@ def test_lane_weights():
     assert similar.quality_bucket(45.0, 0.89) == "cult" and similar.quality_bucket(None, 1.0) == "middle" and similar.quality_bucket(85.0, 0.75) == "prestige"
 
 
-def test_slots():
-    assert similar.slot_targets({}) == {"best_overall": 10}
-    got = similar.slot_targets({"auteur": 1.0, "franchise": 1.0, "rare_keyword": 0.4})
-    assert got["auteur"] <= 3 and sum(got.values()) == 10 and "rare_keyword" not in got
-    assert similar.slot_targets({"auteur": 1.0}) == {"best_overall": 7, "auteur": 3}
-
-
-def brute_weave(candidates, signals, slots):
-    """The same greedy choice by trying every candidate anew for each slot."""
-    targets, rest, out, got = similar.slot_targets(signals, slots), list(candidates), [], {}
-    top = max((c[1] for c in rest), default=0)
-    while rest and len(out) < slots:
-        need = {b: max(0, t - got.get(b, 0)) / t if t else 0 for b, t in targets.items()}
-        scored = []
-        for c in rest:
-            homes = [b for b in ["best_overall", *c[2]] if b in need]
-            scored.append((0.5 * (c[1] / top if top else 0) + 0.5 * max(need[b] for b in homes), c[1], -c[0], c, max(homes, key=lambda b: (need[b], b))))
-        *_, c, home = max(scored, key=lambda x: x[:3])
-        got[home] = got.get(home, 0) + 1
-        out.append(c[0])
-        rest = [x for x in rest if x[0] != c[0]]
-    return out
-
-
-def test_weaver_equals_brute_force():
-    rng = np.random.default_rng(4)
-    names = ("auteur", "franchise", "rare_keyword")
-    for _ in range(30):
-        items = [(int(i), float(np.round(rng.random(), 2)), {b for b in names if rng.random() < 0.3}) for i in range(rng.integers(0, 40))]
-        signals = {b: float(rng.random()) for b in names}
-        assert similar.weave(items, signals) == brute_weave(items, signals, 10)
-
-
 def test_categories_are_whole():
     assert len(traits.CATEGORIES) == 43 and traits.promotion_tier("CENTRAL_TOPIC", "semantic") == 1 and traits.promotion_tier("RUNTIME", "metadata") == traits.NEVER
     assert traits.generates("GENRE", "keyword") and not traits.generates("GENRE", "semantic") and not traits.generates("GENERAL_APPEAL", "metadata")
@@ -182,7 +149,7 @@ def test_exact_title_keeps_the_best_source(spark):
     cards = spark.createDataFrame(
         [(1, "Star Song", 0, [1], [9]), (2, "Star Song", 400_000_000, [], []), (3, "Star Song: Anniversary", 0, [], []), (4, "Other", 0, [1], []), (5, "Third", 0, [], [1]), (6, "Fourth", 0, [9], []), (7, "Fifth", 0, [], [9]), (8, "None", 0, [], [])],
         "movie_id long, title string, released long, lineage_ids array<int>, universe_ids array<int>",
-    )
+    ).withColumn("normal", text.normalize(F.col("title")))
     got = {r.movie_id: round(r.score, 4) for r in search.exact_title(cards, "star song", 1970).collect()}
     assert got == {1: 1.0, 2: 0.5, 3: 0.9, 4: 0.75, 5: 0.625, 6: 0.125, 7: 0.25}
     assert search.exact_title(cards, "no such", None).count() == 0
