@@ -149,7 +149,7 @@ def test_exact_title_keeps_the_best_source(spark):
     cards = spark.createDataFrame(
         [(1, "Star Song", 0, [1], [9]), (2, "Star Song", 400_000_000, [], []), (3, "Star Song: Anniversary", 0, [], []), (4, "Other", 0, [1], []), (5, "Third", 0, [], [1]), (6, "Fourth", 0, [9], []), (7, "Fifth", 0, [], [9]), (8, "None", 0, [], [])],
         "movie_id long, title string, released long, lineage_ids array<int>, universe_ids array<int>",
-    ).withColumn("normal", text.normalize(F.col("title")))
+    ).withColumn("normal", T.normalize(F.col("title")))
     got = {r.movie_id: round(r.score, 4) for r in search.exact_title(cards, "star song", 1970).collect()}
     assert got == {1: 1.0, 2: 0.5, 3: 0.9, 4: 0.75, 5: 0.625, 6: 0.125, 7: 0.25}
     assert search.exact_title(cards, "no such", None).count() == 0
