@@ -36,6 +36,8 @@ BUCKET_ENTRIES, LEAST_BUCKETS = 400_000, 32
 CUT_BYTES = 4 << 20
 #: First of two rankings of each language is split so often.
 SALTS = 64
+#: Compression of packed numbers and words.
+LEVEL = 6
 END = b"."
 _PIECES = bytes(c + 32 if 65 <= c <= 90 else 10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c for c in range(256))
 
@@ -44,7 +46,7 @@ def _packed(numbers: np.ndarray) -> bytes:
     """Whole numbers from 0, compressed: in as few bytes each as the greatest needs, first bytes together, then second ones, and so on."""
     size = next(n for n in (1, 2, 4, 8) if not len(numbers) or int(numbers.max()) < 1 << (8 * n - (n == 8)))
     planes = numbers.astype(f"<u{size}").view(np.uint8).reshape(-1, size).T
-    return bytes([size]) + zstandard.compress(planes.tobytes(), 1)
+    return bytes([size]) + zstandard.compress(planes.tobytes(), LEVEL)
 
 
 def _unpacked(raw: bytes) -> np.ndarray:
@@ -54,7 +56,7 @@ def _unpacked(raw: bytes) -> np.ndarray:
 
 def _packed_words(words: list[bytes]) -> bytes:
     """Words hold no blank, so one parts them."""
-    return zstandard.compress(b" ".join(words), 1)
+    return zstandard.compress(b" ".join(words), LEVEL)
 
 
 def _unpacked_words(raw: bytes) -> list[bytes]:
