@@ -186,7 +186,7 @@ def quality_recall(cards: DataFrame, limit: int = QUALITY_LIMIT, poor: float = C
     return both[0].unionByName(both[1]).withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= limit).select("movie_id", "bucket")
 
 
-@stored("quality_lists", "part", "lineitem")
+@stored("quality_lists", "part", "lineitem", "supplier")
 def quality_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_recall(C.cards(spark, sf_dir))
 

@@ -237,8 +237,8 @@ def streaming_call(providers: list[int], methods: list[int], access: int | None
 
 
 def country_call(ids: list[int], dealbreaker: bool) -> ColumnCall:
-    score = S.position_gate(F.col("keyword_ids"), ids) if dealbreaker else S.position_preference(F.col("keyword_ids"), ids)
-    return ColumnCall("country", score, P._any_of(F.col("keyword_ids"), ids))
+    score = S.position_gate(F.col("country_ids"), ids) if dealbreaker else S.position_preference(F.col("country_ids"), ids)
+    return ColumnCall("country", score, P._any_of(F.col("country_ids"), ids))
 
 
 def language_call(ids: list[int]) -> ColumnCall:
@@ -401,7 +401,7 @@ _COLUMNS = f""", c AS (SELECT movie_id, {P._window_sql("released", _LATE, 1e18,
   CASE WHEN maturity_rank = 5 THEN 1::DOUBLE WHEN maturity_rank = 4 THEN 0.5 ELSE 0 END AS c3,
   CASE WHEN list_has_any(offer_keys, {_OFFERS_1}) THEN 1::DOUBLE WHEN list_has_any(offer_keys, {_OFFERS}) THEN 0.5 ELSE 0 END AS c4,
   CASE WHEN budget_bucket = 'large' THEN 1::DOUBLE ELSE 0 END AS c5, CASE WHEN list_contains(language_ids, 3) THEN 1::DOUBLE ELSE 0 END AS c6,
-  coalesce(exp((1 - list_position(keyword_ids, 1)) / 1.3::DOUBLE), 0) AS c7 FROM cards)"""
+  coalesce(exp((1 - list_position(country_ids, 1)) / 1.3::DOUBLE), 0) AS c7 FROM cards)"""
 # Chip brands are named Brand#NM; a studio's tokens are its word, its number and the number's first digit.
 _STUDIO = """, b AS (SELECT DISTINCT p_brand AS company, regexp_extract(lower(p_brand), '([0-9]+)', 1) AS d FROM part),
 named AS (SELECT 'brand ' || substr(d, 1, 1) AS name, company FROM b WHERE substr(d, 1, 1) IN ('2', '3') AND starts_with(lower(company), 'brand')

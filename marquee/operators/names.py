@@ -120,14 +120,14 @@ def phrase_table(spark: SparkSession, phrases: list[str]) -> DataFrame:
 # Titles by their trigrams.
 
 
-@stored("title_trigrams", "part", "lineitem")
+@stored("title_trigrams", "part", "lineitem", "supplier")
 def title_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(gram, normal): distinct trigrams of the words of every distinct title."""
     grams = F.array_distinct(F.flatten(F.transform(F.filter(F.split("normal", " "), lambda w: w != ""), T.trigrams)))
     return C.cards(spark, sf_dir).select("normal").distinct().select(F.explode(grams).alias("gram"), "normal")
 
 
-@stored("trigram_counts", "part", "lineitem")
+@stored("trigram_counts", "part", "lineitem", "supplier")
 def trigram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(gram, titles): how many titles hold a trigram."""
     return title_trigrams(spark, sf_dir).groupBy("gram").agg(F.count(F.lit(1)).alias("titles"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores as S
@@ -11,21 +13,36 @@ from .funnel import RUNTIME_BUCKETS, bucket
 
 #: Title phrases that join_title_phrase looks for.
 PHRASES = ("large ring", "bolt hot", "blue", "ring no_such_token")
+COMBINED = {"released": (None, 820454400), "runtime": (4, None), "maturity": (None, 4), "genres": [1, 2, 3], "languages": [0, 3], "offers": [17, 33, 34], "countries": [1, 5, 9, 14, 20]}
 RELEASED = (694224000, 820454400)  # 1992-01-01, 1996-01-01 UTC
 
 
-def hard_filter(cards: DataFrame, released=None, runtime=None, maturity=None, genres=None, keywords=None) -> DataFrame:
-    """Rows that pass every given bound; a null value fails the bound on it."""
-    if released:
-        cards = cards.where(F.col("released").between(*released))
-    if runtime:
-        cards = cards.where(F.col("runtime").between(*runtime))
-    if maturity:
-        cards = cards.where(F.col("maturity_rank").between(*maturity))
-    for column, ids in (("genre_ids", genres), ("keyword_ids", keywords)):
-        if ids:
-            cards = cards.where(F.arrays_overlap(column, F.array(*[F.lit(i).cast(cards.schema[column].dataType.elementType) for i in ids])))
-    return cards
+def _holds_any(column: str, ids: list[int]) -> Column:
+    return F.exists(column, lambda x: x.isin(list(ids)))
+
+
+def filter_condition(released=None, runtime=None, maturity=None, genres=None, keywords=None, languages=None, offers=None, countries=None) -> Column | None:
+    """One predicate of all active filters, or None. Ranges are (low, high), either of which may be None; lists want any of their ids. A null value fails a filter on it."""
+    parts = []
+    for column, bounds in (("released", released), ("runtime", runtime), ("maturity_rank", maturity)):
+        low, high = bounds or (None, None)
+        parts += [F.col(column) >= low] if low is not None else []
+        parts += [F.col(column) <= high] if high is not None else []
+    for column, ids in (("genre_ids", genres), ("keyword_ids", keywords), ("language_ids", languages), ("offer_keys", offers), ("country_ids", countries)):
+        parts += [_holds_any(column, ids)] if ids else []
+    return reduce(lambda a, b: a & b, parts) if parts else None
+
+
+def hard_filter(cards: DataFrame, released=None, runtime=None, maturity=None, **lists) -> DataFrame:
+    """Rows that pass every filter of filter_condition."""
+    condition = filter_condition(released, runtime, maturity, **lists)
+    return cards if condition is None else cards.where(condition)
+
+
+def eligible(found: DataFrame, cards: DataFrame, filters: dict | None) -> DataFrame:
+    """Rows of found (movie_id, ...) whose item passes the filters; all rows if none is active."""
+    condition = filter_condition(**(filters or {}))
+    return found if condition is None else found.join(cards.where(condition).select("movie_id"), "movie_id", "left_semi")
 
 
 def scan_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +58,11 @@ def filter_hard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_filter(C.cards(spark, sf_dir), RELEASED, (5, 40), (1, 3)).select("movie_id", "runtime", "maturity_rank", "released")
 
 
+def filter_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranges open at one end, and lists of genres, languages, offers and countries, at once."""
+    return hard_filter(C.cards(spark, sf_dir), **COMBINED).select("movie_id", "released", "runtime")
+
+
 def filter_any_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_filter(C.cards(spark, sf_dir), keywords=[1, 2, 3]).select("movie_id")
 
@@ -154,6 +176,11 @@ QUERIES = {
     "scan_cards": (scan_cards, _ + " SELECT movie_id, title, company, format, runtime, maturity_rank, votes, reception, released, len(keyword_ids) AS n_keywords, len(genre_ids) AS n_genres FROM cards"),
     "scan_events_json": (scan_events_json, "SELECT event_type, count(*) AS n, count(props) AS with_props, count(DISTINCT user_id) AS users, CAST(sum(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS total_k FROM events GROUP BY 1"),
     "filter_hard": (filter_hard, _ + f" SELECT movie_id, runtime, maturity_rank, released FROM cards WHERE released BETWEEN {RELEASED[0]} AND {RELEASED[1]} AND runtime BETWEEN 5 AND 40 AND maturity_rank BETWEEN 1 AND 3"),
+    "filter_combined": (
+        filter_combined,
+        _ + """ SELECT movie_id, released, runtime FROM cards WHERE released <= 820454400 AND runtime >= 4 AND maturity_rank <= 4 AND list_has_any(genre_ids, [1, 2, 3])
+          AND list_has_any(language_ids, [0, 3]) AND list_has_any(offer_keys, [17, 33, 34]) AND list_has_any(country_ids, [1, 5, 9, 14, 20])""",
+    ),
     "filter_any_overlap": (filter_any_overlap, _ + " SELECT movie_id FROM cards WHERE list_has_any(keyword_ids, [1, 2, 3])"),
     "filter_all_contained": (filter_all_contained, _ + " SELECT movie_id FROM cards WHERE list_has_all(genre_ids, [1, 2, 3])"),
     "filter_restrict_ids": (filter_restrict_ids, _ + " SELECT movie_id, votes FROM cards WHERE movie_id IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45)"),

@@ -30,7 +30,7 @@ def meta_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def meta_country_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Preference decay and gate by the place of the first wanted id in an ordered list."""
-    ids = F.col("keyword_ids")
+    ids = F.col("country_ids")
     return C.cards(spark, sf_dir).select("movie_id", C.r6(S.position_preference(ids, [1, 2, 3])).alias("preference"), S.position_gate(ids, [1, 2, 3]).alias("gate"))
 
 
@@ -115,7 +115,7 @@ x AS (SELECT *, CASE WHEN position <= lead THEN 'lead' WHEN position <= support
 SELECT term, movie_id, position, cast_size, zone, round(CASE WHEN e - s <= 0 THEN 0.0::DOUBLE ELSE (position - s)::DOUBLE / (e - s) END, 6) AS place,
   round(1 - (position - 1)::DOUBLE / greatest(1, cast_size - 1), 6) AS character, round(greatest(0, 1 - 0.15::DOUBLE * greatest(0, position - 2)), 6) AS central FROM x"""
 )
-_P = "list_min(list_filter([CASE WHEN x IN (1, 2, 3) THEN list_position(keyword_ids, x) END FOR x IN keyword_ids], lambda p: p IS NOT NULL))"
+_P = "list_min(list_filter([CASE WHEN x IN (1, 2, 3) THEN list_position(country_ids, x) END FOR x IN country_ids], lambda p: p IS NOT NULL))"
 QUERIES = {
     "meta_scores": (meta_scores, _ + _M + " SELECT * FROM m"),
     "meta_country_position": (meta_country_position, _ + f", p AS (SELECT movie_id, {_P} AS place FROM cards) SELECT movie_id, round(coalesce(exp((1 - place) / 1.3::DOUBLE), 0), 6) AS preference, CASE WHEN place = 1 THEN 1.0::DOUBLE WHEN place = 2 THEN 0.33 ELSE 0 END AS gate FROM p"),

@@ -45,7 +45,7 @@ def active_entries(items: DataFrame, registry: DataFrame) -> DataFrame:
     return met.select("movie_id", "company", "year", "label", worth.alias("worth"), "era_bound")
 
 
-@stored("studio_entries", "part", "lineitem")
+@stored("studio_entries", "part", "lineitem", "supplier")
 def studio_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = C.cards(spark, sf_dir).select("movie_id", "company", F.year(F.timestamp_seconds("released")).alias("year"))
     return active_entries(d, studio_registry(spark, sf_dir))

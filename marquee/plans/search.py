@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import endpoints as E
+from ..operators import names as N
 from ..operators import preferences as P
+from ..operators.retrieval import eligible, hard_filter
 from ..sources import catalogue as C
 from .flows import neutral_prior
 
@@ -30,9 +32,10 @@ def person_buckets(spark: SparkSession, sf_dir: str, people: list[int]) -> DataF
     return d.groupBy("term", "movie_id").agg(F.min(bucket).alias("bucket"))
 
 
-def people_search(spark: SparkSession, sf_dir: str, people: list[int], limit: int = LIMIT) -> DataFrame:
-    """Items by their best bucket over the people, then by how many of them they credit, then by popularity."""
+def people_search(spark: SparkSession, sf_dir: str, people: list[int], limit: int = LIMIT, filters: dict | None = None) -> DataFrame:
+    """Items that pass the hard filters by their best bucket over the people, then by how many of them they credit, then by popularity."""
     found = person_buckets(spark, sf_dir, people).groupBy("movie_id").agg(F.min("bucket").alias("bucket"), F.count(F.lit(1)).alias("people"))
+    found = eligible(found, C.cards(spark, sf_dir), filters)
     d = found.join(C.cards(spark, sf_dir).select("movie_id", C.r6(F.col("popularity")).alias("popularity")), "movie_id")
     return d.orderBy("bucket", F.desc("people"), F.desc_nulls_last("popularity"), F.desc("movie_id")).limit(limit)
 
@@ -79,8 +82,11 @@ def exact_title(cards: DataFrame, title: str, year: int | None = None) -> DataFr
     return best_score([exact, close, kin])
 
 
-def title_search(cards: DataFrame, query: str, limit: int = TITLE_LIMIT) -> DataFrame:
-    """(movie_id, tier, likeness): titles that begin a title or a word with the query, then those that hold it, then, if there are three or fewer, similar ones."""
+def title_search(cards: DataFrame, query: str, limit: int = TITLE_LIMIT, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """(movie_id, tier, likeness): titles that begin a title or a word with the query, then those that hold it, then, if there are three or fewer, similar ones.
+
+    index: the trigrams of the titles and their counts, with which only candidates are compared; without it every title is.
+    """
     wanted = T.fold_text(query)
     if not wanted:
         return cards.where("false").select("movie_id", F.lit(0).alias("tier"), F.lit(0.0).alias("likeness"))
@@ -88,10 +94,16 @@ def title_search(cards: DataFrame, query: str, limit: int = TITLE_LIMIT) -> Data
     tier = F.when(F.col("normal").startswith(wanted) | F.contains("normal", F.lit(" " + wanted)), 1).when(F.contains("normal", F.lit(wanted)), 2)
     exact = d.withColumn("tier", tier).where("tier IS NOT NULL").withColumn("likeness", F.lit(1.0))
     found = exact
-    if len(wanted) >= FUZZY_CHARS and len(exact.select("movie_id").take(FUZZY_FILL + 1)) <= FUZZY_FILL:
-        likeness = C.r6(T.word_similarity(F.lit(wanted), F.col("normal")))
-        fuzzy = d.withColumn("tier", F.when(tier.isNull(), 3)).where("tier IS NOT NULL").withColumn("likeness", likeness).where(F.col("likeness") >= FUZZY_LEAST)
-        found = exact.unionByName(fuzzy)
+    if len(wanted) >= FUZZY_CHARS:
+        if index is None:
+            alike = d.withColumn("likeness", C.r6(T.word_similarity(F.lit(wanted), F.col("normal")))).where(F.col("likeness") >= FUZZY_LEAST)
+        else:
+            asked = cards.sparkSession.createDataFrame([(0, wanted)], "place int, normal string")
+            near = N.similar_titles(asked, *index, FUZZY_LEAST).select("normal", C.r6(F.col("likeness")).alias("likeness"))
+            alike = d.join(near, "normal")
+        filled = exact.limit(FUZZY_FILL + 1).agg((F.count(F.lit(1)) > FUZZY_FILL).alias("_filled"))
+        fuzzy = alike.withColumn("tier", F.when(tier.isNull(), 3)).where("tier IS NOT NULL").crossJoin(F.broadcast(filled)).where("NOT _filled")
+        found = exact.unionByName(fuzzy.select(*exact.columns))
     return found.orderBy("tier", F.desc("likeness"), F.char_length("normal"), F.desc("prior"), F.desc("movie_id")).limit(limit).select("movie_id", "tier", "likeness")
 
 
@@ -171,8 +183,21 @@ def flow_title_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flow_title_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A misspelt query without an exact hit."""
-    return title_search(_titled(spark, sf_dir), "bollt")
+    """A misspelt query without an exact hit, by the trigram index."""
+    return title_search(_titled(spark, sf_dir), "bollt", index=(N.title_trigrams(spark, sf_dir), N.trigram_counts(spark, sf_dir)))
+
+
+FILTERS = {"released": (None, 820454400), "runtime": (4, None), "genres": [1, 2, 3], "countries": [1, 5, 9, 14, 20]}
+
+
+def flow_filtered_people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The people flow under hard filters."""
+    return people_search(spark, sf_dir, PEOPLE, filters=FILTERS)
+
+
+def flow_filtered_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The title flow under hard filters."""
+    return title_search(hard_filter(_titled(spark, sf_dir), **FILTERS), "Bolt")
 
 
 def flow_franchise_list(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -226,7 +251,18 @@ _REFS = f"""WITH{C.CARDS}, p AS (SELECT movie_id, trim(lower(title)) AS normal,
 r AS (SELECT movie_id AS place, normal, CASE WHEN movie_id = 8 THEN y END AS year FROM p WHERE movie_id IN (3, 8, 12, 20)),
 b AS (SELECT place, p.movie_id FROM p JOIN r USING (normal) WHERE year IS NULL OR year = y QUALIFY row_number() OVER (PARTITION BY place ORDER BY pct DESC, reception DESC, y DESC, p.movie_id) = 1)
 SELECT movie_id, min(place) AS place FROM b GROUP BY 1"""
+_FIT = "released <= 820454400 AND runtime >= 4 AND list_has_any(genre_ids, [1, 2, 3]) AND list_has_any(country_ids, [1, 5, 9, 14, 20])"
 QUERIES = {
+    "flow_filtered_people": (
+        flow_filtered_people,
+        f"""{_B}, g AS (SELECT movie_id, min(bucket) AS bucket, count(*) AS people FROM best GROUP BY 1)
+        SELECT movie_id, bucket, people, round(popularity, 6) AS popularity FROM g JOIN popular USING (movie_id) WHERE {_FIT} ORDER BY bucket, people DESC, 4 DESC, movie_id DESC LIMIT 100""",
+    ),
+    "flow_filtered_titles": (
+        flow_filtered_titles,
+        f"""{_N}, t AS (SELECT *, CASE WHEN starts_with(normal, 'bolt') OR contains(normal, ' bolt') THEN 1 ELSE 2 END AS tier FROM n WHERE contains(normal, 'bolt') AND {_FIT})
+        SELECT movie_id, tier, 1::DOUBLE AS likeness FROM t ORDER BY tier, length(normal), prior DESC, movie_id DESC LIMIT 25""",
+    ),
     "flow_people_search": (flow_people_search, f"{_B}, g AS (SELECT movie_id, min(bucket) AS bucket, count(*) AS people FROM best GROUP BY 1) SELECT movie_id, bucket, people, round(popularity, 6) AS popularity FROM g JOIN popular USING (movie_id) ORDER BY bucket, people DESC, 4 DESC, movie_id DESC LIMIT 100"),
     "join_person_buckets": (join_person_buckets, f"{_B} SELECT term, movie_id, bucket, 5 - bucket AS weight FROM best"),
     "flow_attribute_people": (flow_attribute_people, f"{_B}, g AS (SELECT movie_id, CAST(sum(5 - bucket) AS BIGINT) AS weight FROM best GROUP BY 1) SELECT movie_id, weight, round(popularity, 6) AS popularity FROM g JOIN popular USING (movie_id) ORDER BY weight DESC, 3 DESC, movie_id DESC LIMIT 100"),

@@ -39,7 +39,7 @@ SHORT, REACH_HIGH, REACH_LOW = 3, 45, 25
 LANES = ("shape", "franchise", "source", "quality", "format", "themes", "cast", "specific_award")
 
 
-@stored("similar_signals", "part", "lineitem")
+@stored("similar_signals", "part", "lineitem", "supplier")
 def similar_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every card's columns that the lanes read, with its award signals and its quality bucket."""
     rows = A.award_rows(spark, sf_dir)
@@ -64,7 +64,7 @@ def _shape_class(reception: Column, votes: Column, picture: Column, bad: Column)
     return L.shape_class(reception, scaled, picture, bad)
 
 
-@stored("lane_traits", "part", "lineitem")
+@stored("lane_traits", "part", "lineitem", "supplier")
 def lane_traits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct (movie_id, lane, trait): what items may have in common, lane by lane."""
     d = similar_signals(spark, sf_dir)
@@ -84,7 +84,7 @@ def lane_traits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).where("trait IS NOT NULL").distinct()
 
 
-@stored("lane_idf", "part", "lineitem")
+@stored("lane_idf", "part", "lineitem", "supplier")
 def lane_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(lane, trait, idf) of themes and sources: ln(N / df) / ln N."""
     total = C.cards(spark, sf_dir).agg(F.count(F.lit(1)).alias("total"))

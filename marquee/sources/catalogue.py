@@ -23,12 +23,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@stored("cards", "part", "lineitem")
+@stored("cards", "part", "lineitem", "supplier")
 def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per item that has postings, with the percentile of its votes, its popularity and its title's lookup form."""
+    """One row per item that has postings, with its countries in the order of billing, the percentile of its votes, its popularity and its title's lookup form."""
     cents = F.round(F.col("l_discount") * 100).cast("long")
+    nations = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
+    by_line = F.array_sort(F.collect_set(F.when(F.col("s_nationkey").isNotNull(), F.struct("l_linenumber", "s_nationkey"))))
     facts = (
         table(spark, sf_dir, "lineitem")
+        .join(nations, "l_suppkey", "left")
         .groupBy(F.col("l_partkey").alias("movie_id"))
         .agg(
             F.count(F.lit(1)).alias("votes"),
@@ -36,6 +39,7 @@ def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.unix_seconds(F.min("l_shipdate").cast("timestamp")).alias("released"),
             F.sort_array(F.collect_set("l_suppkey")).alias("keyword_ids"),
             F.sort_array(F.collect_set("l_linenumber")).alias("genre_ids"),
+            F.array_distinct(F.transform(by_line, lambda x: x["s_nationkey"])).alias("country_ids"),
             F.sort_array(F.collect_set(F.col("l_suppkey") % 6)).alias("language_ids"),
             F.sort_array(F.collect_set(F.col("l_suppkey") % 9 * 16 + F.col("l_linenumber") % 3 + 1)).alias("offer_keys"),
             F.sort_array(F.collect_set(F.when((F.col("l_returnflag") == "A") & (F.col("l_quantity") > 45), F.col("l_suppkey") % 12 + 1))).alias("win_ids"),
@@ -72,15 +76,18 @@ facts AS (
     list_sort(list(DISTINCT l_suppkey % 6)) AS language_ids, list_sort(list(DISTINCT l_suppkey % 9 * 16 + l_linenumber % 3 + 1)) AS offer_keys,
     coalesce(list_sort(list(DISTINCT l_suppkey % 12 + 1) FILTER (WHERE l_returnflag = 'A' AND l_quantity > 45)), []) AS win_ids
   FROM lineitem GROUP BY 1),
+countries AS (
+  SELECT movie_id AS part, list(nation ORDER BY line, nation) AS country_ids FROM (
+    SELECT l_partkey AS movie_id, s_nationkey AS nation, min(l_linenumber) AS line FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1, 2) GROUP BY 1),
 cards AS (
   SELECT p_partkey AS movie_id, p_name AS title, p_brand AS company, p_type AS format, p_size AS runtime,
     CASE WHEN p_size % 7 <> 0 THEN p_size % 5 + 1 END AS maturity_rank, p_retailprice AS budget,
-    votes, reception, released, keyword_ids, genre_ids, language_ids, offer_keys, win_ids,
+    votes, reception, released, keyword_ids, genre_ids, language_ids, offer_keys, win_ids, coalesce(country_ids, []) AS country_ids,
     CASE WHEN p_retailprice < 1200 THEN 'small' WHEN p_retailprice >= 1700 THEN 'large' END AS budget_bucket, p_size % 5 AS release_format,
     CASE WHEN p_partkey % 3 = 0 THEN [p_size % 10] ELSE [] END AS lineage_ids, CASE WHEN p_partkey % 4 = 0 THEN [p_size % 12] ELSE [] END AS universe_ids,
     CASE WHEN p_partkey % 2 = 0 THEN [p_size % 3] ELSE [] END AS subgroup_ids, CASE WHEN p_partkey % 5 = 0 THEN p_partkey % 15 = 0 END AS is_spinoff,
     CASE WHEN p_partkey % 2 = 1 THEN [p_size % 6] ELSE [] END AS source_ids, [p_partkey % 8, 8 + p_partkey % 5] AS tag_ids
-  FROM part JOIN facts ON p_partkey = movie_id)"""
+  FROM part JOIN facts ON p_partkey = movie_id LEFT JOIN countries ON p_partkey = countries.part)"""
 
 
 @stored("postings", "lineitem")
@@ -144,7 +151,7 @@ vectors AS (
 TRAIT_COLUMNS = {"keyword": "keyword_ids", "genre": "genre_ids", "source": "source_ids", "tag": "tag_ids", "language": "language_ids"}
 
 
-@stored("card_traits", "part", "lineitem")
+@stored("card_traits", "part", "lineitem", "supplier")
 def card_traits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(movie_id, kind, trait_id): the id arrays of the cards as rows, without repeats."""
     d = cards(spark, sf_dir)
@@ -152,7 +159,7 @@ def card_traits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-@stored("franchise_entries", "part", "lineitem")
+@stored("franchise_entries", "part", "lineitem", "supplier")
 def franchise_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(movie_id, entry, lineage): the entries of an item's lineage (true) or of its universe alone (false)."""
     d = cards(spark, sf_dir)

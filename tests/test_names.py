@@ -71,3 +71,13 @@ def test_the_index_hands_on_few_titles(spark):
     found = N.candidate_counts(queries, N.title_trigrams(spark, SF), N.trigram_counts(spark, SF), 0.45).collect()
     print([(r.place, r.candidates, r.titles) for r in found])
     assert found and all(r.candidates < r.titles for r in found)
+
+
+@pytest.mark.parametrize("query", ["bollt", "larg ring", "zzz", "bolt", "economy anodised"])
+def test_the_title_flow_is_the_same_with_and_without_the_index(spark, query):
+    from marquee.plans import search
+    from marquee.sources import catalogue as C
+
+    cards = C.cards(spark, SF)
+    index = (N.title_trigrams(spark, SF), N.trigram_counts(spark, SF))
+    assert search.title_search(cards, query, index=index).collect() == search.title_search(cards, query).collect()
