@@ -6,6 +6,7 @@ import atexit
 import re
 import shutil
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,8 @@ SLICE_BYTES = 4 << 20
 _ASCII_SPACE = b" \t\n\x0b\x0c\r"
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _own_dirs: dict[str, str] = {}
+#: Lists that gather written tables while `temporary` is open.
+_temporary: list[list[DataFrame]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,9 +45,32 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     read = spark.read.schema(df.schema).parquet(path)
     read._written = path
+    for made in _temporary:
+        made.append(read)
     return read
 
 
+@contextmanager
+def temporary():
+    """Gathers the tables of materialise that are made inside, for discard_but."""
+    _temporary.append(made := [])
+    try:
+        yield made
+    finally:
+        _temporary.remove(made)
+
+
+def discard_but(made: list[DataFrame], *kept: DataFrame) -> None:
+    """Deletes the gathered tables that the result does not read."""
+    discard(*[df for df in made if not any(df is k for k in kept)])
+
+
+def no_clash(columns, *outputs: str) -> None:
+    """An error if a column that is carried along has the name of one that is made."""
+    if clash := set(columns) & set(outputs):
+        raise ValueError(f"columns {sorted(clash)} are outputs")
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables of materialise that nothing reads any more."""
     for df in tables:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import fold_of, hash_share, map_text, sigmoid
+from ._common import fold_of, hash_share, map_text, no_clash, sigmoid
 
 WIDTH, FILTERS, CHUNK = 4, 16, 256
 STRIDE = CHUNK - WIDTH + 1  # every window of WIDTH bytes lies in one chunk
@@ -145,7 +145,8 @@ class _Network:
 
 
 def score(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, extra: list | None = None) -> DataFrame:
-    """(id, extra columns, score, predicted) per row from every byte of the text; null and empty texts count as WIDTH zero bytes."""
+    """(id, extra columns, score, predicted) per row from every byte of the text; null and empty texts count as WIDTH zero bytes. Carried columns may not have an output's name."""
+    no_clash(df.select(F.col(id_col), *(extra or [])).columns, "score", "predicted")
     shared = df.sparkSession.sparkContext.broadcast(model)
     columns = [F.col(id_col), *(extra or []), F.col(text_col)]
     head = df.select(*columns[:-1]).schema

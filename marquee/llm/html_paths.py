@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import map_text
+from ._common import map_text, no_clash
 
 # HTML's element kinds.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -328,7 +328,8 @@ def main_text(page: str | None) -> str:
 
 
 def extract(df: DataFrame, id_col: str = "page_id", html_col: str = "html", extra: tuple[str, ...] = ("url",)) -> DataFrame:
-    """(id, extra columns, text, n_chars) per row from the whole page; n_chars counts code points."""
+    """(id, extra columns, text, n_chars) per row from the whole page; n_chars counts code points. Carried columns may not be named text or n_chars."""
+    no_clash([id_col, *extra], "text", "n_chars")
     columns = [F.col(id_col), *map(F.col, extra), F.col(html_col)]
     head = df.select(*columns[:-1]).schema
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import WordHash, map_text, materialise, mix64, word_hashes
+from ._common import WordHash, discard_but, map_text, materialise, mix64, no_clash, temporary, word_hashes
 
 BANDS, ROWS = 22, 4
 SAMPLES = BANDS * ROWS
@@ -389,8 +389,22 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
     Words are lower-cased in A-Z only and split at ASCII white space. Rows whose shingle sets reach percent / 100 similarity are
     linked; component_id is the least id reachable. Rows without words (null, empty, blank) have no shingle and are their own
     component. Rows with a null id take part; a component of null ids only has a null component_id, and null ids are never kept
-    there. Extra columns are not read.
+    there. Extra columns are not read; the id column may not have the name of a column that is made. Tables on the way are deleted.
     """
+    no_clash([id_col], "n_shingles", "cls", "bands", "level", "odd", "more", "label", "member", "component_id", "kept")
+    with temporary() as made:
+        table, members, labels = _labelled(df, width, percent, id_col, text_col)
+    discard_but(made, table, members, labels)
+    classes = members.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    least = classes.groupBy("label").agg(F.min("member").alias("component_id"))
+    of_class = classes.join(least, "label").select("cls", "component_id")
+    out = table.select(id_col, "n_shingles", "cls").join(of_class, "cls", "left")
+    component = F.when(F.col("cls").isNull(), F.col(id_col)).otherwise(F.col("component_id"))
+    return out.select(id_col, "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False)))
+
+
+def _labelled(df: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sketches, members, labels of classes), written."""
     table = materialise(sketch_table(df, width, id_col, text_col), "sketches")
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     members = materialise(table.where("cls IS NOT NULL").groupBy("cls").agg(F.min(id_col).alias("member")), "members")
@@ -411,10 +425,4 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
         if not more.isEmpty():
             links = links.unionByName(more)
             labels = components(links)
-
-    classes = members.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    least = classes.groupBy("label").agg(F.min("member").alias("component_id"))
-    of_class = classes.join(least, "label").select("cls", "component_id")
-    out = table.select(id_col, "n_shingles", "cls").join(of_class, "cls", "left")
-    component = F.when(F.col("cls").isNull(), F.col(id_col)).otherwise(F.col("component_id"))
-    return out.select(id_col, "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False)))
+    return table, members, labels

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import map_text, materialise
+from ._common import map_text, materialise, no_clash
 
 BUCKETS = 10_000
 SEED = 2024
@@ -136,8 +136,10 @@ def resample(df: DataFrame, target: DataFrame, percent: int = 10, least_words: i
     """(id, n_features, weight, score, rank) of every row of df; rank tells the draw of `percent` of those with least_words words.
 
     Null and empty texts have no features and weight 0. Equal scores go by id, nulls last, then by count and weight; rows equal in all of
-    these share the ranks in no fixed order. An empty target or df gives gains from the smoothing alone. Extra columns are not read.
+    these share the ranks in no fixed order. An empty target or df gives gains from the smoothing alone. Extra columns are not read; the id column may
+    not have the name of an output.
     """
+    no_clash([id_col], "n_words", "n_features", "weight", "score", "rank", "eligible")
     blocks = materialise(csr_blocks(df, longest, buckets, id_col, text_col), "csr")
     aim = column_sums(csr_blocks(target, longest, buckets, target_id, target_text), buckets)
     weights = weigh(blocks, gains_of(column_sums(blocks, buckets), aim), id_col)

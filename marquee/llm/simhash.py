@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import _LOWER, map_text, materialise
+from ._common import _LOWER, discard_but, map_text, materialise, no_clash, temporary
 from .near_dup import components
 
 SEED = 42
@@ -191,11 +191,15 @@ def simhash_components(df: DataFrame, width: int = 3, most: int = 2, id_col: str
     """(id, fingerprint, component_id) per row: 16 hex digits and the least id reachable over links of at most `most` differing bits.
 
     Null, empty and blank texts have fingerprint zero and are linked like any other. Rows with a null id take part; a component
-    of null ids only has a null component_id. Repeated rows are rows of one class. Extra columns are not read.
+    of null ids only has a null component_id. Repeated rows are rows of one class. Extra columns are not read; the id column may not
+    have the name of a column that is made.
     """
-    rows = materialise(fingerprints(df, width, id_col, text_col), "fingerprints")
-    classes = materialise(rows.groupBy("fp").agg(F.min(id_col).alias("member")), "classes")
-    labels = components(near_links(classes, most, limit))
+    no_clash([id_col], "fp", "member", "label", "fingerprint", "component_id")
+    with temporary() as made:
+        rows = materialise(fingerprints(df, width, id_col, text_col), "fingerprints")
+        classes = materialise(rows.groupBy("fp").agg(F.min(id_col).alias("member")), "classes")
+        labels = components(near_links(classes, most, limit))
+    discard_but(made, rows, classes, labels)
     marked = classes.join(labels.withColumnRenamed("cls", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     least = marked.groupBy("label").agg(F.min("member").alias("component_id"))
     of_class = marked.join(least, "label").select("fp", "component_id")

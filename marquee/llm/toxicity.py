@@ -16,7 +16,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import WordHash, fit_logistic, fold_of, hash_share, map_text, materialise, mix64, sigmoid, word_hashes
+from ._common import WordHash, fit_logistic, fold_of, hash_share, map_text, materialise, mix64, no_clash, sigmoid, word_hashes
 
 #: Absolute discounts of word and of bigram counts. Toxic text is a tenth of the labelled words, so a bigram seen a few times in it says little: such counts go to the backoff whole.
 DISCOUNT, BIGRAM_DISCOUNT = 0.75, 4.0
@@ -225,7 +225,8 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
 
 
 def score(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """(id, score, predicted) per row from the whole text; null and wordless texts score by the intercept and zero features."""
+    """(id, score, predicted) per row from the whole text; null and wordless texts score by the intercept and zero features. The id column may not have an output's name."""
+    no_clash([id_col], "score", "predicted")
     kind = df.schema[id_col].dataType.simpleString()
     mean, dev, weights = model["mean"], model["dev"], model["weights"]
 

@@ -178,3 +178,70 @@ def test_pipeline_stages_on_empty_and_null_rows(spark):
             assert got.columns == corpus_pipeline.COLUMNS and got.count() <= d.count()
         assert corpus_pipeline.pack(spark, d, SF).count() == d.count()
     assert packing.pack_histogram({5: 1}) == [((5,), 1)]
+
+
+def test_outputs_may_not_be_carried_columns(spark):
+    from marquee.llm import html_paths, near_dup, resample, simhash
+
+    d = spark.createDataFrame([(1, "a b c", "<p>x</p>", 2)], "cls long, text string, html string, n_chars int")
+    with pytest.raises(ValueError, match="outputs"):
+        near_dup.near_duplicates(d, id_col="cls")
+    with pytest.raises(ValueError, match="outputs"):
+        html_paths.extract(d, "cls", "html", ("n_chars",))
+    scored = d.withColumnRenamed("cls", "score")
+    model = {"x": 1}
+    for operator in (lambda: toxicity.score(scored, model, "score"), lambda: byte_cnn.score(scored, model, "score"), lambda: resample.resample(scored, d, id_col="score"), lambda: simhash.simhash_components(scored.withColumnRenamed("score", "fp"), id_col="fp")):
+        with pytest.raises(ValueError, match="outputs"):
+            operator()
+
+
+def test_tables_on_the_way_are_deleted(spark):
+    import os
+
+    from marquee.llm import _common, collocations, near_dup, simhash
+
+    folder = _common.shared_dir(spark).removeprefix("file:")
+    d = spark.createDataFrame([(i, f"one two three four five six {i // 3} seven eight nine ten {i % 2}") for i in range(12)], "doc_id long, text string").withColumn("lang", F.lit("en"))
+    for operator, left in ((near_dup.near_duplicates, 3), (simhash.simhash_components, 3), (lambda x: collocations.collocations(x, 3, 2), 4)):
+        before = set(os.listdir(folder))
+        got = operator(d)
+        assert got.count() > 0 and len(set(os.listdir(folder)) - before) == left
+        assert got.count() > 0
+    with _common.temporary() as made:
+        kept, gone = _common.materialise(d, "kept"), _common.materialise(d, "gone")
+    _common.discard_but(made, kept)
+    assert os.path.exists(kept._written.removeprefix("file:")) and not os.path.exists(gone._written.removeprefix("file:")) and not _common._temporary
+
+
+def test_components_of_long_texts_equal_brute_force(spark):
+    """Texts of over 1,024 shingles, whose sketches sample, around the threshold."""
+    from marquee.llm import near_dup
+
+    rng = np.random.default_rng(12)
+    texts = []
+    for _ in range(8):
+        base = [f"w{x}" for x in rng.integers(0, 10**6, int(rng.integers(1100, 3200)))]
+        texts.append(base)
+        for share in (0.02, 0.05, 0.0525, 0.056, 0.06, 0.1):
+            other = list(base)
+            for at in rng.choice(len(base), int(share * len(base)), replace=False):
+                other[at] = f"x{rng.integers(0, 10**9)}"
+            texts.append(other)
+    sets = [{(a, b) for a, b in zip(t[:-1], t[1:], strict=True)} for t in texts]
+    parent = list(range(len(texts)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    links = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                links += 1
+                parent[max(root(i), root(j))] = min(root(i), root(j))
+    d = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(d, width=2).collect()}
+    assert got == {i: root(i) for i in range(len(texts))} and links > 8 and len(set(got.values())) > 8
