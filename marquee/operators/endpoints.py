@@ -157,7 +157,7 @@ def companies_of(tokens: DataFrame, names: DataFrame, ceiling: int = TOKEN_CEILI
 
 def studio_scores(cards: DataFrame, named: DataFrame, refs: int, every: bool = False, restrict: DataFrame | None = None) -> DataFrame:
     """ANY: 1 for items of a named company; ALL: the share of the names that an item's companies match."""
-    matched = cards.select("movie_id", "company").join(F.broadcast(named), "company").groupBy("movie_id").agg(F.countDistinct("name").alias("n"))
+    matched = cards.select("movie_id", "company").join(named, "company").groupBy("movie_id").agg(F.countDistinct("name").alias("n"))
     return restricted(matched.select("movie_id", (F.col("n") / float(refs) if every else F.lit(1.0)).alias("score")), restrict)
 
 

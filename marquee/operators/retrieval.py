@@ -63,6 +63,29 @@ def filter_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_filter(C.cards(spark, sf_dir), **COMBINED).select("movie_id", "released", "runtime")
 
 
+def hydrate(ids: DataFrame, cards: DataFrame, columns: list[str]) -> DataFrame:
+    """(place, movie_id, columns) of the ids that are known, each at its own place; a repeated id is given at each of its places. ids: (place, movie_id)."""
+    return ids.select("place", "movie_id").join(cards.select("movie_id", *columns), "movie_id").select("place", "movie_id", *columns)
+
+
+def _asked_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids in an order of their own, some twice and some unknown."""
+    part = C.table(spark, sf_dir, "part").where("p_partkey % 37 = 5")
+    own = part.select((100_000 - F.col("p_partkey")).cast("long").alias("place"), F.col("p_partkey").alias("movie_id"))
+    return own.unionByName(own.where("movie_id % 2 = 0").select((F.col("place") + 200_000).alias("place"), "movie_id")).unionByName(own.select((F.col("place") + 400_000).alias("place"), (F.col("movie_id") + 10_000_000).alias("movie_id")))
+
+
+def hydrate_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cards of ids in the order in which they were asked for."""
+    return hydrate(_asked_ids(spark, sf_dir), C.cards(spark, sf_dir), ["title", "released", "runtime", "maturity_rank"])
+
+
+def hydrate_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reception, votes, popularity and percentile of the same ids."""
+    d = hydrate(_asked_ids(spark, sf_dir), C.cards(spark, sf_dir), ["reception", "votes", "popularity", "pct"])
+    return d.select("place", "movie_id", "reception", "votes", C.r6(F.col("popularity")).alias("popularity"), C.r6(F.col("pct")).alias("pct"))
+
+
 def filter_any_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_filter(C.cards(spark, sf_dir), keywords=[1, 2, 3]).select("movie_id")
 
@@ -172,10 +195,14 @@ def set_missing_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ = "WITH" + C.CARDS
 _PHRASES = ", ".join(f"('{p}')" for p in PHRASES)
 _T = """, traits AS (SELECT 'keyword' AS kind, CAST(unnest(keyword_ids) AS BIGINT) AS trait_id FROM cards UNION ALL SELECT 'genre', CAST(unnest(genre_ids) AS BIGINT) FROM cards)"""
+_ASKED = """, own AS (SELECT 100000 - p_partkey AS place, p_partkey AS movie_id FROM part WHERE p_partkey % 37 = 5),
+asked AS (SELECT * FROM own UNION ALL SELECT place + 200000, movie_id FROM own WHERE movie_id % 2 = 0 UNION ALL SELECT place + 400000, movie_id + 10000000 FROM own)"""
 QUERIES = {
     "scan_cards": (scan_cards, _ + " SELECT movie_id, title, company, format, runtime, maturity_rank, votes, reception, released, len(keyword_ids) AS n_keywords, len(genre_ids) AS n_genres FROM cards"),
     "scan_events_json": (scan_events_json, "SELECT event_type, count(*) AS n, count(props) AS with_props, count(DISTINCT user_id) AS users, CAST(sum(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS total_k FROM events GROUP BY 1"),
     "filter_hard": (filter_hard, _ + f" SELECT movie_id, runtime, maturity_rank, released FROM cards WHERE released BETWEEN {RELEASED[0]} AND {RELEASED[1]} AND runtime BETWEEN 5 AND 40 AND maturity_rank BETWEEN 1 AND 3"),
+    "hydrate_cards": (hydrate_cards, _ + _ASKED + " SELECT place, movie_id, title, released, runtime, maturity_rank FROM asked JOIN cards USING (movie_id)"),
+    "hydrate_signals": (hydrate_signals, _ + "," + C.POPULAR + _ASKED + ", p AS (SELECT *, percent_rank() OVER (ORDER BY votes) AS pct FROM popular) SELECT place, movie_id, reception, votes, round(popularity, 6) AS popularity, round(pct, 6) AS pct FROM asked JOIN p USING (movie_id)"),
     "filter_combined": (
         filter_combined,
         _ + """ SELECT movie_id, released, runtime FROM cards WHERE released <= 820454400 AND runtime >= 4 AND maturity_rank <= 4 AND list_has_any(genre_ids, [1, 2, 3])
