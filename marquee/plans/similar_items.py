@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import scores as S
 from ..operators import awards as A
 from ..operators import derived as D
+from ..operators import media as M
 from ..operators import similar as L
 from ..operators import studios as B
 from ..operators import weaver as W
@@ -55,7 +56,7 @@ def similar_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     quality = F.when((r <= 45) & (F.col("pct") >= 0.89), "cult").when((r >= 85) & (F.col("pct") >= 0.75), "prestige")
     shape = _shape_class(F.col("reception"), F.col("votes"), F.coalesce("picture", F.lit(False)), F.coalesce("bad_razzie", F.lit(False)))
     kept = ["movie_id", "votes", "pct", "reception", "release_format", "company", "lineage_ids", "universe_ids", "subgroup_ids", "win_ids", "non_razzie", "razzie"]
-    return d.select(*kept, F.year(F.timestamp_seconds("released")).alias("year"), quality.alias("quality_bucket"), shape.alias("class"), (F.col("release_format") == SHORT).alias("short"))
+    return d.select(*kept, F.year(F.timestamp_seconds("released")).alias("year"), quality.alias("quality_bucket"), shape.alias("class"), (F.col("release_format") == SHORT).alias("short"), M.media_of(F.col("keyword_ids")).alias("media"))
 
 
 def _shape_class(reception: Column, votes: Column, picture: Column, bad: Column) -> Column:
@@ -219,7 +220,7 @@ def _buckets(**member: Column) -> Column:
 def score_one(anchors: DataFrame, v: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(candidates with lanes and score, bucket signals, rules) of requests with one anchor each."""
     signals, traits, idf = v["signals"], v["traits"], v["idf"]
-    own = anchors.join(signals, "movie_id").select("request", *[F.col(c).alias(f"a_{c}") for c in ("release_format", "quality_bucket", "class", "lineage_ids", "short")])
+    own = anchors.join(signals, "movie_id").select("request", *[F.col(c).alias(f"a_{c}") for c in ("release_format", "quality_bucket", "class", "lineage_ids", "short", "media")])
     shared = shared_traits(anchors, traits)
     wanted = shared.where("lane = 'themes'").join(idf, ["lane", "trait"]).select("request", "trait", "idf")
     auteurs = shared.where((F.col("lane") == "director") & curated(F.col("trait"))).select("request", "lane", "trait")
@@ -261,7 +262,7 @@ def score_one(anchors: DataFrame, v: dict[str, DataFrame]) -> tuple[DataFrame, D
     summed = sum((w * F.col(lane) for lane, w in raw.items()), F.lit(0.0)) / total
     factor = F.when(F.col("shape") >= L.STUDIO_GATE, 1 + L.STUDIO_STRENGTH * F.col("studio")).otherwise(1.0)
     factor *= F.when(F.col("shape") >= L.DIRECTOR_GATE, 1 + L.DIRECTOR_STRENGTH * F.col("directed")).otherwise(1.0)
-    factor *= F.when(F.col("agrees"), L.COUNTRY_MATCH).when(F.col("_country"), L.COUNTRY_MISS).otherwise(1.0)
+    factor *= F.when(F.col("agrees"), L.COUNTRY_MATCH).when(F.col("_country"), L.COUNTRY_MISS).otherwise(1.0) * M.factor(F.col("a_media"), F.col("media"))
     factor *= F.when((F.col("format") == 1) | F.col("short"), 1.0).otherwise(L.FORMAT_MISS) * F.when(F.col("short") & ~F.col("a_short"), L.SHORT_MISS).otherwise(1.0) * F.coalesce("lift", F.lit(1.0))
     floor = F.when((F.col("directed") == 1) & (F.col("shape") >= L.DIRECTOR_FLOOR_GATE), L.DIRECTOR_FLOOR).otherwise(0.0)
     rare = pairs.join(traits.where("lane = 'themes'"), "movie_id").join(F.broadcast(wanted.where(F.col("idf") >= RARE_IDF)), ["request", "trait"]).select("request", "movie_id", F.lit(True).alias("rare")).distinct()

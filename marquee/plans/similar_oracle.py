@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..operators import awards as A
 from ..operators import derived as D
+from ..operators import media as M
 from ..operators import similar as L
 from ..operators import studios as B
 from ..operators.endpoints import RAZZIE
@@ -110,14 +111,14 @@ lanes AS (
       WHEN 'prestige' THEN {PRESTIGE.replace("reception", "s.reception").replace("pct", "s.pct").replace("non_razzie", "s.non_razzie")} ELSE {MIDDLE.replace("reception", "s.reception").replace("pct", "s.pct")} END AS quality,
     (s.release_format = a.release_format)::INT::DOUBLE AS format, coalesce(CASE WHEN t.s > 0 THEN least(1, t.s / mass * (1 + 0.5::DOUBLE * greatest(0, rarer - 0.3))) END, 0) AS themes, coalesce(studio, 0) AS studio,
     d.movie_id IS NOT NULL AS director, CASE WHEN g.movie_id IS NOT NULL THEN 1.05 WHEN EXISTS (SELECT 1 FROM shared c WHERE c.request = pr.request AND c.lane = 'country') THEN 0.75 ELSE 1 END::DOUBLE AS country,
-    s.short, a.short AS a_short, kin, coalesce(t.rare, false) AS rare, s.class, a.class AS a_class, a.qb, a.lineage_ids AS a_lineage, a.source_ids AS a_source
+    {M.sql_factor("a.keyword_ids", "s.keyword_ids")} AS medium, s.short, a.short AS a_short, kin, coalesce(t.rare, false) AS rare, s.class, a.class AS a_class, a.qb, a.lineage_ids AS a_lineage, a.source_ids AS a_source
   FROM pairs pr JOIN sig s USING (movie_id) JOIN anchors x ON x.request = pr.request JOIN sig a ON a.movie_id = x.movie_id LEFT JOIN worths wo ON wo.request = pr.request AND wo.movie_id = s.movie_id
     LEFT JOIN shapes sh ON sh.request = pr.request AND sh.movie_id = s.movie_id LEFT JOIN sources so ON so.request = pr.request AND so.movie_id = s.movie_id LEFT JOIN themed t ON t.request = pr.request AND t.movie_id = s.movie_id
     LEFT JOIN mass ON mass.request = pr.request LEFT JOIN studios st ON st.request = pr.request AND st.movie_id = s.movie_id LEFT JOIN directed d ON d.request = pr.request AND d.movie_id = s.movie_id
     LEFT JOIN agreed g ON g.request = pr.request AND g.movie_id = s.movie_id),
 final AS (
   SELECT lanes.*, greatest(({summed.replace("a.lineage_ids", "a_lineage").replace("a.source_ids", "a_source").replace("a.qb", "qb")}) / {total.replace("a.lineage_ids", "a_lineage").replace("a.source_ids", "a_source").replace("a.qb", "qb")}
-    * CASE WHEN shape >= 0.6 THEN 1 + 0.1::DOUBLE * studio ELSE 1 END * CASE WHEN shape >= 0.3 AND director THEN 1.3::DOUBLE ELSE 1 END * country * CASE WHEN format = 1 OR short THEN 1 ELSE 0.35::DOUBLE END
+    * CASE WHEN shape >= 0.6 THEN 1 + 0.1::DOUBLE * studio ELSE 1 END * CASE WHEN shape >= 0.3 AND director THEN 1.3::DOUBLE ELSE 1 END * country * medium * CASE WHEN format = 1 OR short THEN 1 ELSE 0.35::DOUBLE END
     * CASE WHEN short AND NOT a_short THEN 0.3::DOUBLE ELSE 1 END * CASE WHEN cross_s >= 0.5 THEN 1 + strength * cross_s ELSE 1 END, CASE WHEN director AND shape >= 0.2 THEN 0.35::DOUBLE ELSE 0 END) AS score
   FROM lanes LEFT JOIN lifts ON lifts.class = a_class AND lifts.other = lanes.class)
 SELECT request, movie_id, {", ".join(f"round({c}, 6) AS {c}" for c in L.SINGLE_LANES)}, round(score, 6) AS score, kin, director,

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from .operators import awards, derived, endpoints, funnel, ingest, names, preferences, retrieval, scoring, semantic, similar, spaces, studios, traits, twostage, vector
+from .operators import awards, derived, endpoints, funnel, ingest, media, names, preferences, retrieval, scoring, semantic, similar, spaces, studios, traits, twostage, vector
 from .plans import flows, requests, search, similar_items
 from .streaming import refresh, trending
 
-MODULES = (retrieval, scoring, vector, flows, trending, preferences, endpoints, traits, similar, semantic, funnel, derived, ingest, search, requests, names, awards, studios, similar_items, twostage, refresh, spaces)
+MODULES = (retrieval, scoring, vector, flows, trending, preferences, endpoints, traits, similar, semantic, funnel, derived, ingest, search, requests, names, awards, studios, similar_items, twostage, refresh, spaces, media)
 
 
 def queries() -> dict:
