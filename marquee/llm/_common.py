@@ -115,6 +115,8 @@ def map_text(df: DataFrame, columns: list[Column], fn, schema: str, make=None, f
                 out = fn(part, state)
                 if out is not None:
                     yield pa.RecordBatch.from_arrays(out, names)
+            # A worker lives on for later tasks: what it holds no more goes back.
+            pa.default_memory_pool().release_unused()
         if finish is not None:
             out = finish(state)
             if out is not None:

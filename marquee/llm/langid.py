@@ -92,7 +92,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
         at = [np.flatnonzero(state[x]) for x in names]
         return [pa.array([x for x, i in zip(names, at, strict=True) for _ in i], pa.string()), pa.array(np.concatenate(at).astype(np.int32)), pa.array(np.concatenate([state[x][i] for x, i in zip(names, at, strict=True)]).astype(np.int64))]
 
-    parts = map_text(drawn, [F.col(lang_col).alias("lang"), F.col(text_col).alias("text")], fn, "lang string, gram int, n long", make, finish)
+    parts = map_text(drawn, [F.col(lang_col).alias("lang"), F.col(text_col).alias("text")], fn, "lang string, gram int, n long", make, finish, slice_bytes=1 << 20)
     got = parts.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(sizes)
     counts = np.zeros((1 << BITS, len(languages)))

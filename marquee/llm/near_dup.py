@@ -141,7 +141,7 @@ def sketch_table(df: DataFrame, width: int, id_col: str, text_col: str) -> DataF
         digests = [set_digest(s) if len(s) else None for s in sets]
         return [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(level, pa.int32()), pa.array(odd, pa.list_(pa.int64())), pa.array(more, pa.list_(pa.int64()))]
 
-    return map_text(df, [F.col(id_col), F.col(text_col)], fn, f"{id_col} {kind}, n_shingles long, cls binary, bands array<long>, level int, odd array<long>, more array<long>", WordHash)
+    return map_text(df, [F.col(id_col), F.col(text_col)], fn, f"{id_col} {kind}, n_shingles long, cls binary, bands array<long>, level int, odd array<long>, more array<long>", WordHash, slice_bytes=1 << 20)
 
 
 def _differing(a: str, b: str):
