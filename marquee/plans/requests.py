@@ -313,11 +313,16 @@ def rank_requests(scored: DataFrame, maps: DataFrame, live: DataFrame, traits: D
     rows = scored.join(F.broadcast(live.select("call_id", *on, "positive", "category", "place", "call", "gate")), "call_id")
     positive = rows.where("positive").join(F.broadcast(specs.where("positive").select(*on, "category", "place", "fold", "asked")), [*on, "category", "place"])
     folded = positive.groupBy(*on, "category", "place", "movie_id", "fold", "asked").agg(R.fold_calls(F.col("fold"), F.col("asked")).alias("score"))
-    modes = traits.where("positive").join(F.broadcast(specs.groupBy(*on).agg(F.count(F.lit(1)).alias("surviving"))), on).select(*on, "mode", "surviving")
+    # What a trait gives an item that none of its calls finds: the floor, if its fold or that of a category that counts has one.
+    consensus, solo = F.max(F.col("fold") == "CONSENSUS"), F.min_by(F.col("fold") == "CONSENSUS", "place")
+    kinds = specs.where("positive").groupBy(*on).agg(F.count(F.lit(1)).alias("surviving"), F.min("place").alias("first"), consensus.alias("_any"), solo.alias("_solo"))
+    floored = (F.col("mode") == "FACETS") | ((F.col("mode") == "FRAMINGS") & F.col("_any")) | ((F.col("mode") == "SOLO") & F.col("_solo"))
+    modes = traits.where("positive").join(F.broadcast(kinds), on).select(*on, "mode", "surviving", "first", F.when(floored, R.FLOOR).otherwise(0.0).alias("base"))
     s, n = F.col("score"), F.count(F.lit(1))
     logs = F.sum(F.log(F.greatest(s, F.lit(R.FLOOR)))) + (F.col("surviving") - n) * F.log(F.lit(R.FLOOR))
-    fold = F.when(F.col("mode") == "SOLO", F.coalesce(F.max(F.when(F.col("place") == 0, s)), F.lit(0.0))).when(F.col("mode") == "FRAMINGS", F.max(s)).otherwise(F.exp(logs / F.col("surviving")))
-    by_trait = folded.join(F.broadcast(modes), on).groupBy(*on, "movie_id", "mode", "surviving").agg(fold.alias("score"))
+    base = F.col("base")
+    fold = F.when(F.col("mode") == "SOLO", F.coalesce(F.max(F.when(F.col("place") == F.col("first"), s)), base)).when(F.col("mode") == "FRAMINGS", F.greatest(F.max(s), base)).otherwise(F.exp(logs / F.col("surviving")))
+    by_trait = folded.join(F.broadcast(modes), on).groupBy(*on, "movie_id", "mode", "surviving", "first", "base").agg((fold - base).alias("score"))
 
     # Only traits of generators alone are weighted by their rarity; of promoted calls only full scores count.
     pure = live.where("positive").groupBy(*on).agg(F.min("generator").alias("pure")).where("pure").select(*on)
@@ -336,7 +341,9 @@ def rank_requests(scored: DataFrame, maps: DataFrame, live: DataFrame, traits: D
 
     part = lambda d, name: d.join(F.broadcast(weights), on).groupBy("request", "movie_id").agg(F.sum(F.col("score") * F.col("weight")).alias(name))
     sums = pool.join(part(by_trait, "positive"), ["request", "movie_id"], "left").join(part(negative, "negative"), ["request", "movie_id"], "left")
-    sums = sums.select("request", "movie_id", F.coalesce("positive", F.lit(0.0)).alias("positive"), (0.0 - F.coalesce("negative", F.lit(0.0))).alias("negative"))
+    given = modes.join(F.broadcast(weights), on).groupBy("request").agg(F.sum(F.col("base") * F.col("weight")).alias("_given"))
+    sums = sums.join(F.broadcast(given), "request", "left")
+    sums = sums.select("request", "movie_id", (F.coalesce("positive", F.lit(0.0)) + F.coalesce("_given", F.lit(0.0))).alias("positive"), (0.0 - F.coalesce("negative", F.lit(0.0))).alias("negative"))
     cap = lambda c, caps: reduce(lambda out, k: out.when(F.col(c) == k, caps[k]), caps, F.when(F.lit(False), 0.0))
     d = sums.join(cards.select("movie_id", F.col("popularity").alias("_p"), "reception"), "movie_id").join(F.broadcast(requests.select("request", "popularity", "quality")), "request")
     by_popularity, by_quality = cap("popularity", R.POPULARITY_CAPS) * S.popularity_mode(F.col("_p")), cap("quality", R.QUALITY_CAPS) * S.reception_mode(F.col("reception"))
@@ -491,10 +498,13 @@ folded AS (
   SELECT s.request, s.trait, s.category, s.place, movie_id, CASE s.fold WHEN 'SINGLE' THEN coalesce(max(score) FILTER (WHERE call = 0), 0) WHEN 'ADDITIVE' THEN CASE WHEN count(*) = any_value(n) THEN product(score) ELSE 0 END
     WHEN 'ALTERNATIVES' THEN max(score) ELSE exp((sum(ln(greatest(score, 0.1))) + (any_value(n) - count(*)) * ln(0.1)) / any_value(n)) END AS score
   FROM scored s JOIN (SELECT request, trait, place, count(*) AS n FROM live WHERE positive GROUP BY 1, 2, 3) USING (request, trait, place) WHERE positive GROUP BY 1, 2, 3, 4, 5, s.fold),
+kinds AS (
+  SELECT request, trait, mode, commitment, n, fst, CASE WHEN mode = 'FACETS' OR (mode = 'FRAMINGS' AND any_c) OR (mode = 'SOLO' AND solo_c) THEN 0.1::DOUBLE ELSE 0 END AS base
+  FROM traits t JOIN (SELECT request, trait, count(DISTINCT place) AS n, min(place) AS fst, bool_or(fold = 'CONSENSUS') AS any_c, min_by(fold = 'CONSENSUS', place) AS solo_c FROM live WHERE positive GROUP BY 1, 2) USING (request, trait) WHERE t.positive),
 by_trait AS (
-  SELECT request, trait, movie_id, CASE any_value(mode) WHEN 'SOLO' THEN coalesce(max(score) FILTER (WHERE place = 0), 0) WHEN 'FRAMINGS' THEN max(score)
-    ELSE exp((sum(ln(greatest(score, 0.1))) + (any_value(n) - count(*)) * ln(0.1)) / any_value(n)) END AS score
-  FROM folded JOIN traits USING (request, trait) JOIN (SELECT request, trait, count(DISTINCT place) AS n FROM live GROUP BY 1, 2) USING (request, trait) GROUP BY 1, 2, 3),
+  SELECT request, trait, movie_id, CASE any_value(mode) WHEN 'SOLO' THEN coalesce(max(score) FILTER (WHERE place = fst), any_value(base)) WHEN 'FRAMINGS' THEN greatest(max(score), any_value(base))
+    ELSE exp((sum(ln(greatest(score, 0.1))) + (any_value(n) - count(*)) * ln(0.1)) / any_value(n)) END - any_value(base) AS score
+  FROM folded JOIN kinds USING (request, trait) GROUP BY 1, 2, 3),
 pure AS (SELECT request, trait FROM live WHERE positive GROUP BY 1, 2 HAVING bool_and(generating)),
 rare AS (
   SELECT request, trait, (SELECT count(DISTINCT movie_id) FROM found f JOIN live l USING (call_id) WHERE l.request = pure.request AND l.trait = pure.trait AND (NOT promoted OR score >= 1 - 1e-6))::DOUBLE / (SELECT count(*) FROM cards) AS x FROM pure),
@@ -505,10 +515,11 @@ bad AS (
     SELECT request, trait, movie_id, count(*) FILTER (WHERE gate) AS met, coalesce(product(score) FILTER (WHERE gate), 1) AS gated, 1 - coalesce(product(1 - score) FILTER (WHERE NOT gate), 1) AS z FROM scored WHERE NOT positive GROUP BY 1, 2, 3) s
     JOIN (SELECT request, trait, count(*) FILTER (WHERE gate) AS gates, count(*) FILTER (WHERE NOT gate) AS fuzzies FROM live WHERE NOT positive GROUP BY 1, 2) USING (request, trait), LATERAL (SELECT CASE WHEN met = gates THEN gated ELSE 0 END AS g)
   GROUP BY 1, 2, 3, g, z),
+given AS (SELECT request, sum(base * weight) AS g FROM kinds JOIN weights USING (request, trait) GROUP BY 1),
 p AS (SELECT request, movie_id, sum(score * weight) AS p FROM by_trait JOIN weights USING (request, trait) GROUP BY 1, 2),
 n AS (SELECT request, movie_id, sum(score * weight) AS n FROM bad JOIN weights USING (request, trait) GROUP BY 1, 2),
-ends AS (SELECT pool.request, movie_id, coalesce(p, 0) AS positive, 0 - coalesce(n, 0) AS negative, popular.popularity, reception, r.popularity AS by_p, r.quality AS by_q
-  FROM pool LEFT JOIN p USING (request, movie_id) LEFT JOIN n USING (request, movie_id) JOIN popular USING (movie_id) JOIN requests r ON r.request = pool.request),
+ends AS (SELECT pool.request, movie_id, coalesce(p, 0) + coalesce(g, 0) AS positive, 0 - coalesce(n, 0) AS negative, popular.popularity, reception, r.popularity AS by_p, r.quality AS by_q
+  FROM pool LEFT JOIN p USING (request, movie_id) LEFT JOIN n USING (request, movie_id) LEFT JOIN given USING (request) JOIN popular USING (movie_id) JOIN requests r ON r.request = pool.request),
 done AS (SELECT request, movie_id, round(positive, 6) AS positive, round(negative, 6) AS negative, round(positive + negative + CASE WHEN positive > 0 THEN positive ELSE 1 END * CASE WHEN by_p <> 'off'
     THEN CASE by_p WHEN 'low' THEN 0.05::DOUBLE WHEN 'medium' THEN 0.12 ELSE 0.20 END / (1 + exp(-12 * (popularity - 0.70)))
     ELSE CASE by_q WHEN 'off' THEN 0::DOUBLE WHEN 'low' THEN 0.025 WHEN 'medium' THEN 0.06 ELSE 0.10 END / (1 + exp(-0.22 * (reception - 70))) END, 6) AS score FROM ends)
