@@ -1,5 +1,8 @@
 """Two-stage retrieval against the exact query."""
 
+import math
+import random
+
 import pytest
 
 from marquee.operators import twostage as V
@@ -38,3 +41,19 @@ def test_empty_and_zero_vectors(spark):
     assert found == {3}
     with pytest.raises(ValueError):
         V._heads(rows, list(range(100)))
+
+
+def test_copies_and_near_ties_are_those_of_the_exact_query(spark):
+    """Groups of equal vectors, ranked by id among themselves, and vectors that equal codes cannot tell apart."""
+    rng = random.Random(5)
+    base = [[rng.uniform(-1, 1) for _ in range(8)] for _ in range(30)]
+    close = [[x + rng.uniform(-1e-4, 1e-4) for x in base[3]] for _ in range(200)]
+    made = [v for v in base for _ in range(40)] + close
+    order = list(range(len(made)))
+    rng.shuffle(order)
+    rows = [(i, 0, made[j], 1, math.sqrt(sum(x * x for x in made[j]))) for i, j in enumerate(order)]
+    vectors = spark.createDataFrame(rows, "movie_id long, space int, vector array<double>, format int, norm double").repartition(5)
+    key = lambda r: (r["anchor"], r["space"], r["movie_id"], r["rank"])
+    got = V.top_two_stage(V.encoded(vectors), vectors, [order.index(3 * 40), 7], 25, 1).collect()
+    want = top_per_space(similarities(vectors, [order.index(3 * 40), 7]), 25).collect()
+    assert sorted(map(key, got)) == sorted(map(key, want)) and len(got) == 50
