@@ -37,13 +37,19 @@ def tags_of(leaf: Column) -> Column:
     return F.array(leaf.cast("int"), middle.cast("int"), group.cast("int"))
 
 
-@stored("award_rows", "lineitem")
+@stored("award_rows", "lineitem", "supplier")
 def award_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct (movie_id, ceremony, entry_id, leaf, tags, won, year): the prize, the category with what it implies, and the outcome."""
-    ceremony = (F.col("l_suppkey") % 12 + 1).cast("int")
-    leaf = F.when(ceremony == E.RAZZIE, RAZZIE_LEAF + F.col("l_linenumber") % RAZZIE_LEAVES).otherwise((F.col("l_suppkey") + F.col("l_linenumber")) % LEAVES + 1).cast("int")
-    rows = C.table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("movie_id"), ceremony.alias("ceremony"), F.col("l_suppkey").alias("entry_id"), leaf.alias("leaf"), ((F.col("l_returnflag") == "A") & (F.col("l_quantity") > 45)).alias("won"), F.year("l_shipdate").alias("year"))
-    return rows.distinct().withColumn("tags", tags_of(F.col("leaf")))
+    return C.item_lines(spark, sf_dir).select("movie_id", F.explode(C.of_lines(_award_row)).alias("x")).select("movie_id", "x.ceremony", "x.entry_id", "x.leaf", "x.won", "x.year", tags_of(F.col("x.leaf")).alias("tags"))
+
+
+def _award_row(x: Column) -> Column:
+    return F.struct((x["term"] % 12 + 1).cast("int").alias("ceremony"), x["term"].alias("entry_id"), _leaf(x).alias("leaf"), x["won_high"].alias("won"), F.year(x["day"]).alias("year"))
+
+
+def _leaf(x: Column) -> Column:
+    """The category of a line."""
+    return F.when(x["term"] % 12 + 1 == E.RAZZIE, RAZZIE_LEAF + x["line"] % RAZZIE_LEAVES).otherwise((x["term"] + x["line"]) % LEAVES + 1).cast("int")
 
 
 @stored("award_entries", "supplier")
@@ -53,10 +59,11 @@ def award_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.withColumn("tokens", T.name_tokens(T.number_words(T.normalize(F.col("name")))))
 
 
-@stored("award_tags", "lineitem")
+@stored("award_tags", "lineitem", "supplier")
 def award_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct (movie_id, tag) over all levels."""
-    return award_rows(spark, sf_dir).select("movie_id", F.explode("tags").alias("tag")).distinct()
+    tags = F.array_distinct(F.flatten(F.transform(C.of_lines(_leaf), tags_of)))
+    return C.item_lines(spark, sf_dir).select("movie_id", F.explode(tags).alias("tag"))
 
 
 def tag_idf(tags: DataFrame, items: DataFrame) -> DataFrame:
