@@ -110,7 +110,7 @@ def planned(calls: DataFrame, registry: DataFrame) -> DataFrame:
     return rows.withColumn("gate", F.col("gate") & F.col("generator")).withColumn("tier", F.when(F.col("positive"), F.col("tier")).otherwise(R.NEVER)).withColumn("generator", generator)
 
 
-# Endpoints: each scores the calls of its route over the whole catalogue.
+# Endpoints: each scores the calls of its route over the whole catalogue. The calls, as many as the requests have, are broadcast; the views are not dealt by terms or kinds.
 
 
 def _of(calls: DataFrame, route: str) -> DataFrame:
@@ -119,7 +119,7 @@ def _of(calls: DataFrame, route: str) -> DataFrame:
 
 def entity_calls(calls: DataFrame, credits: DataFrame) -> DataFrame:
     asked = _of(calls, "entity").select("call_id", F.col("kind").alias("asked_role"), F.col("mode").alias("asked_mode"), F.explode("ids").alias("term"))
-    rows = E.billing(credits.join(asked, "term").where("asked_role = 'unknown' OR asked_role = role"))
+    rows = E.billing(credits.join(F.broadcast(asked), "term").where("asked_role = 'unknown' OR asked_role = role"))
     curve = reduce(lambda out, m: out.when(F.col("asked_mode") == m, F.col(f"as_{m}")), E.CURVES, F.when(F.col("role") != "actor", 1.0))
     return rows.groupBy("call_id", "movie_id").agg(F.max(curve).alias("score"))
 
@@ -128,14 +128,14 @@ def keyword_calls(calls: DataFrame, traits: DataFrame) -> DataFrame:
     kinds = {"keyword": "ids", "source": "sources", "tag": "tags"}
     own = _of(calls, "keyword")
     wanted = reduce(DataFrame.unionByName, [own.select("call_id", "every", F.lit(k).alias("kind"), F.explode(F.array_distinct(c)).alias("trait_id"), sum((F.size(F.array_distinct(x)) for x in kinds.values()), F.lit(0)).alias("asked")) for k, c in kinds.items()])
-    hits = traits.join(wanted, ["kind", "trait_id"]).groupBy("call_id", "every", "asked", "movie_id").agg(F.count(F.lit(1)).alias("n"))
+    hits = traits.join(F.broadcast(wanted), ["kind", "trait_id"]).groupBy("call_id", "every", "asked", "movie_id").agg(F.count(F.lit(1)).alias("n"))
     return hits.select("call_id", "movie_id", F.when(F.col("every"), F.col("n") / F.col("asked")).otherwise(1.0).alias("score"))
 
 
 def award_calls(calls: DataFrame, awards: DataFrame) -> DataFrame:
     all_but_one = F.array(*[F.lit(c).cast("long") for c in range(1, CEREMONIES + 1) if c != E.RAZZIE])
     asked = _of(calls, "awards").select("call_id", "every", "mark", F.col("kind").alias("outcome"), F.explode(F.when(F.size("ids") > 0, F.array_distinct("ids")).otherwise(all_but_one)).alias("ceremony"))
-    rows = awards.withColumn("ceremony", F.col("ceremony").cast("long")).join(asked, "ceremony").where("outcome = 'any' OR won = (outcome = 'won')")
+    rows = awards.withColumn("ceremony", F.col("ceremony").cast("long")).join(F.broadcast(asked), "ceremony").where("outcome = 'any' OR won = (outcome = 'won')")
     counted = rows.groupBy("call_id", "every", "mark", "movie_id").agg(F.count(F.lit(1)).alias("n"))
     return counted.select("call_id", "movie_id", F.when(F.col("n") >= F.col("mark"), 1.0).when(F.col("every"), 0.0).otherwise(F.col("n") / F.col("mark")).alias("score")).where("score > 0")
 
@@ -143,14 +143,14 @@ def award_calls(calls: DataFrame, awards: DataFrame) -> DataFrame:
 def franchise_calls(calls: DataFrame, entries: DataFrame) -> DataFrame:
     """entries: (movie_id, entry, lineage)."""
     asked = _of(calls, "franchise_structure").select("call_id", "every", F.explode("ids").alias("entry"))
-    hits = entries.join(asked, "entry").groupBy("call_id", "every", "movie_id").agg(F.max("lineage").alias("lineage"))
+    hits = entries.join(F.broadcast(asked), "entry").groupBy("call_id", "every", "movie_id").agg(F.max("lineage").alias("lineage"))
     some = hits.groupBy("call_id").agg(F.max("lineage").alias("some"))
-    return hits.join(some, "call_id").select("call_id", "movie_id", F.when(F.col("lineage") | ~F.col("every") | ~F.col("some"), 1.0).otherwise(E.UNIVERSE_ONLY).alias("score"))
+    return hits.join(F.broadcast(some), "call_id").select("call_id", "movie_id", F.when(F.col("lineage") | ~F.col("every") | ~F.col("some"), 1.0).otherwise(E.UNIVERSE_ONLY).alias("score"))
 
 
 def media_calls(calls: DataFrame, cards: DataFrame) -> DataFrame:
     asked = _of(calls, "media_type").select("call_id", F.explode(F.col("ids").cast("array<int>")).alias("release_format"))
-    return cards.select("movie_id", "release_format").join(asked, "release_format").select("call_id", "movie_id", F.lit(1.0).alias("score")).distinct()
+    return cards.select("movie_id", "release_format").join(F.broadcast(asked), "release_format").select("call_id", "movie_id", F.lit(1.0).alias("score")).distinct()
 
 
 def trending_calls(calls: DataFrame, trends: DataFrame, cards: DataFrame) -> DataFrame:
@@ -177,7 +177,7 @@ def window_calls(calls: DataFrame, cards: DataFrame) -> DataFrame:
     cells = reduce(DataFrame.unionByName, [cards.where(v.isNotNull()).select("movie_id", F.lit(k).alias("kind"), v.cast("double").alias("value"), _cell(k, v).alias("cell")) for k, v in values.items()])
     asked = _of(calls, "metadata").where("low IS NOT NULL").select("call_id", "kind", "low", "high", grace_of(F.col("kind"), F.col("low"), F.col("high")).alias("grace"))
     ends = [reduce(lambda out, k: out.when(F.col("kind") == k, _cell(k, at)), values, F.when(F.lit(False), 0)) for at in (F.col("low") - F.col("grace"), F.col("high") + F.col("grace"))]
-    rows = cells.join(asked.withColumn("cell", F.explode(F.sequence(*ends))), ["kind", "cell"])
+    rows = cells.join(F.broadcast(asked.withColumn("cell", F.explode(F.sequence(*ends)))), ["kind", "cell"])
     gap = F.greatest(F.col("low") - F.col("value"), F.col("value") - F.col("high"), F.lit(0.0))
     smooth = F.greatest(F.lit(0.0), 1 - gap / F.col("grace"))
     score = F.when(F.col("kind") == "maturity", F.when(gap == 0, 1.0).when(gap <= 1, 0.5).otherwise(0.0)).otherwise(smooth)
@@ -191,12 +191,12 @@ def _likeness(rows: DataFrame) -> DataFrame:
 def _heads(calls: DataFrame, vectors: DataFrame) -> DataFrame:
     """(call_id, space, head, head_norm) of the vector calls: as many rows as there are such calls."""
     asked = _of(calls, "semantic").select("call_id", F.col("mark").alias("space"), F.element_at("ids", 1).alias("movie_id"))
-    return vectors.join(asked, ["space", "movie_id"]).select("call_id", "space", F.col("vector").alias("head"), F.col("norm").alias("head_norm"))
+    return vectors.join(F.broadcast(asked), ["space", "movie_id"]).select("call_id", "space", F.col("vector").alias("head"), F.col("norm").alias("head_norm"))
 
 
 def vector_calls(calls: DataFrame, vectors: DataFrame, cards: DataFrame, k: int = VECTOR_LIMIT) -> DataFrame:
     """The k items that are most alike, for a vector call that generates."""
-    rows = _likeness(vectors.join(_heads(calls, vectors), "space")).join(cards.select("movie_id"), "movie_id").where("score > 0")
+    rows = _likeness(vectors.join(F.broadcast(_heads(calls, vectors)), "space")).join(cards.select("movie_id"), "movie_id").where("score > 0")
     best = Window.partitionBy("call_id").orderBy(F.desc("score"), "movie_id")
     return rows.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).select("call_id", "movie_id", "score")
 
@@ -227,7 +227,7 @@ def prior_calls(calls: DataFrame, items: DataFrame, key: str | None) -> DataFram
     made = {"popular": S.popularity_mode(p), "niche": S.popularity_mode(p, True), "acclaimed": S.reception_mode(r), "poor": S.reception_mode(r, True)}
     score = reduce(lambda out, k: out.when(F.col("kind") == k, made[k]), PRIORS, F.when(F.lit(False), 0.0))
     if key:
-        return items.join(asked.select(key, "call_id", "kind"), key).select("call_id", "movie_id", score.alias("score"))
+        return items.join(F.broadcast(asked.select(key, "call_id", "kind")), key).select("call_id", "movie_id", score.alias("score"))
     rows = items.withColumn("route", F.lit("metadata")).join(F.broadcast(asked.select("call_id", "kind", "route")), "route").select("call_id", "movie_id", score.alias("score"))
     best = Window.partitionBy("call_id").orderBy(F.desc("score"), F.desc("movie_id"))
     return rows.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= E.UNBOUNDED_LIMIT).drop("_r")
@@ -238,9 +238,9 @@ def reranked(calls: DataFrame, pool: DataFrame, views: dict[str, DataFrame]) ->
     cards, vectors = views["cards"].select("movie_id", "popularity", "reception"), views["vectors"]
     priors = prior_calls(calls, pool.join(cards, "movie_id"), "request")
     heads = _heads(calls, vectors).join(calls.select("call_id", "request"), "call_id")
-    vector = _likeness(pool.join(heads, "request").join(vectors.select("movie_id", "space", "vector", "norm"), ["movie_id", "space"])).select("call_id", "movie_id", "score")
+    vector = _likeness(pool.join(F.broadcast(heads), "request").join(vectors.select("movie_id", "space", "vector", "norm"), ["movie_id", "space"])).select("call_id", "movie_id", "score")
     rest = calls.where(~F.col("route").isin("semantic") & ~F.coalesce(F.col("kind").isin(*PRIORS), F.lit(False)))
-    others = generated(rest, views).join(rest.select("call_id", "request"), "call_id").join(pool, ["request", "movie_id"]).select("call_id", "movie_id", "score")
+    others = generated(rest, views).join(F.broadcast(rest.select("call_id", "request")), "call_id").join(pool, ["request", "movie_id"]).select("call_id", "movie_id", "score")
     return priors.unionByName(vector).unionByName(others)
 
 
@@ -282,7 +282,7 @@ def run_requests(calls: DataFrame, traits: DataFrame, requests: DataFrame, regis
     # Promotable calls are run only where they may be needed.
     spare = plan.join(F.broadcast(heads), "request").where(f"positive AND NOT generator AND tier < {R.NEVER} AND (active OR NOT generators)").drop("generators")
     runs = plan.where("generator").withColumn("tier", F.lit(0)).unionByName(spare)
-    hits = passing(generated(runs, views).join(runs.select("call_id", "request", "tier"), "call_id"), requests, cards)
+    hits = passing(generated(runs, views).join(F.broadcast(runs.select("call_id", "request", "tier")), "call_id"), requests, cards)
     found = written(hits, "found")
 
     shorts = cards.where(F.col("release_format") == R.SHORT_FORMAT).select("movie_id")
@@ -391,7 +391,7 @@ def flow_trait_promotions(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = planned(calls, R.category_rows(spark)).join(F.broadcast(asked.select("request", "active")), "request")
     runs = plan.where(f"positive AND (generator OR tier < {R.NEVER})").withColumn("tier", F.when(F.col("generator"), 0).otherwise(F.col("tier")))
     shorts = views["cards"].where(F.col("release_format") == R.SHORT_FORMAT).select("movie_id")
-    hits = passing(generated(runs, views).join(runs.select("call_id", "request", "tier"), "call_id"), requests, views["cards"])
+    hits = passing(generated(runs, views).join(F.broadcast(runs.select("call_id", "request", "tier")), "call_id"), requests, views["cards"])
     found = written(hits.join(shorts, "movie_id", "left_anti").select("request", "tier", "movie_id"), "found")
     taken = tiers_taken(plan, found, asked)
     new = found.groupBy("request", "movie_id").agg(F.min("tier").alias("tier")).groupBy("request", "tier").agg(F.count(F.lit(1)).alias("added"))
