@@ -54,3 +54,22 @@ def test_no_view_shuffles_the_lines_again(spark, base):
     # Lines cross the network as rows, not as arrays collected by task.
     plan = C.item_lines.build(spark, base)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("hashpartitioning(movie_id") == 1 and "REPARTITION_BY_COL" in plan
+
+
+def test_parts_meet_the_lines_where_these_are_dealt(spark, base):
+    """The cards hold no table of all parts in a task: what is broadcast to them is one row a number of votes."""
+    C.cards(spark, base)
+    plan = C.cards.build(spark, base)._jdf.queryExecution().executedPlan().toString()
+    assert "part.parquet" not in plan and plan.count("HashedRelationBroadcastMode") <= 1, plan
+    assert "ShuffledHashJoin" in C.item_lines.build(spark, base)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_repeated_parts_give_a_card_each(spark, base, tmp_path):
+    for name in ("supplier", "lineitem"):
+        (tmp_path / f"{name}.parquet").symlink_to(f"{base}/{name}.parquet")
+    part = spark.read.parquet(f"{FROM}/part.parquet")
+    part.unionByName(part.where("p_partkey = 5").withColumn("p_name", F.lit("again"))).write.parquet(f"{tmp_path}/part.parquet")
+    titles = C.cards(spark, str(tmp_path)).where("movie_id = 5").select("title").collect()
+    assert len(titles) == 2 and ("again",) in titles
+    assert C.item_lines(spark, str(tmp_path)).where("movie_id = 5").count() == 1
+    same(C.awards(spark, str(tmp_path)), C.awards(spark, base))
