@@ -40,11 +40,12 @@ def tags_of(leaf: Column) -> Column:
 @stored("award_rows", "lineitem", "supplier")
 def award_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct (movie_id, ceremony, entry_id, leaf, tags, won, year): the prize, the category with what it implies, and the outcome."""
-    return C.item_lines(spark, sf_dir).select("movie_id", F.explode(C.of_lines(_award_row)).alias("x")).select("movie_id", "x.ceremony", "x.entry_id", "x.leaf", "x.won", "x.year", tags_of(F.col("x.leaf")).alias("tags"))
+    ceremony = (F.col("x.entry_id") % 12 + 1).cast("int").alias("ceremony")
+    return C.rows_of_lines(C.item_lines(spark, sf_dir), F.transform("lines", _award_row)).select("movie_id", ceremony, "x.entry_id", "x.leaf", "x.won", "x.year", tags_of(F.col("x.leaf")).alias("tags"))
 
 
 def _award_row(x: Column) -> Column:
-    return F.struct((x["term"] % 12 + 1).cast("int").alias("ceremony"), x["term"].alias("entry_id"), _leaf(x).alias("leaf"), x["won_high"].alias("won"), F.year(x["day"]).alias("year"))
+    return F.struct(x["term"].alias("entry_id"), _leaf(x).alias("leaf"), x["won_high"].alias("won"), F.year(x["day"]).alias("year"))
 
 
 def _leaf(x: Column) -> Column:

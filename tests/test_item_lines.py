@@ -73,3 +73,12 @@ def test_repeated_parts_give_a_card_each(spark, base, tmp_path):
     assert len(titles) == 2 and ("again",) in titles
     assert C.item_lines(spark, str(tmp_path)).where("movie_id = 5").count() == 1
     same(C.awards(spark, str(tmp_path)), C.awards(spark, base))
+
+
+def test_many_lines_of_one_item(spark, tmp_path):
+    """Distinct rows are found by sorting an item's lines: comparing each with each would be a thousand million comparisons here."""
+    n = 40_000
+    lines = spark.range(n).select(F.lit(1).cast("long").alias("movie_id"), F.struct(F.col("id").alias("term"), (F.col("id") % 4 + 1).cast("int").alias("line")).alias("x"))
+    items = lines.groupBy("movie_id").agg(F.collect_list("x").alias("lines"))
+    made = C.rows_of_lines(items, F.transform("lines", lambda x: F.struct((x["term"] % (n // 2)).alias("term"), x["line"].alias("line"))))
+    assert made.count() == n // 2 == made.distinct().count()
