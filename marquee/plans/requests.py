@@ -30,6 +30,8 @@ SEED_LIMIT, VECTOR_LIMIT, CEREMONIES = 2000, 2000, 12
 #: Width of a runtime cell in minutes, and the cell of all longer items.
 RUNTIME_CELL, LAST_CELL = 30, 40
 TOP = 100
+#: The least number of parts that the scores are dealt into: the tables of all their folds are in a task's memory at once, so that parts are not put together by size.
+LEAST_PARTS = 96
 
 CALL = (
     "call_id int, request int, trait int, positive boolean, category string, place int, call int, route string, kind string, ids array<long>, sources array<long>, "
@@ -245,12 +247,13 @@ def reranked(calls: DataFrame, pool: DataFrame, views: dict[str, DataFrame]) ->
 
 
 def passing(rows: DataFrame, requests: DataFrame, cards: DataFrame) -> DataFrame:
-    """rows (request, movie_id, ...) whose item passes the request's hard filter; a null value fails an active bound."""
-    d = rows.join(cards.select("movie_id", "released", "runtime", F.col("genre_ids").cast("array<long>").alias("genre_ids")), "movie_id").join(F.broadcast(requests.select("request", "released_from", "released_to", "runtime_to", "genres")), "request")
+    """rows (request, movie_id, ...) whose item passes the request's hard filter, and whether the item is a short; a null value fails an active bound."""
+    short_form = F.coalesce(F.col("release_format") == R.SHORT_FORMAT, F.lit(False)).alias("short")
+    d = rows.join(cards.select("movie_id", "released", "runtime", short_form, F.col("genre_ids").cast("array<long>").alias("genre_ids")), "movie_id").join(F.broadcast(requests.select("request", "released_from", "released_to", "runtime_to", "genres")), "request")
     dated = F.col("released_from").isNull() | F.coalesce(F.col("released").between(F.col("released_from"), F.col("released_to")), F.lit(False))
-    short = F.col("runtime_to").isNull() | F.coalesce(F.col("runtime") <= F.col("runtime_to"), F.lit(False))
+    brief = F.col("runtime_to").isNull() | F.coalesce(F.col("runtime") <= F.col("runtime_to"), F.lit(False))
     kind = (F.size("genres") == 0) | F.coalesce(F.arrays_overlap("genre_ids", "genres"), F.lit(False))
-    return d.where(dated & short & kind).select(*rows.columns)
+    return d.where(dated & brief & kind).select(*rows.columns, "short")
 
 
 def filtered(requests: DataFrame) -> DataFrame:
@@ -285,12 +288,12 @@ def run_requests(calls: DataFrame, traits: DataFrame, requests: DataFrame, regis
     hits = passing(generated(runs, views).join(F.broadcast(runs.select("call_id", "request", "tier")), "call_id"), requests, cards)
     found = written(hits, "found")
 
-    shorts = cards.where(F.col("release_format") == R.SHORT_FORMAT).select("movie_id")
-    full_length = found.join(shorts, "movie_id", "left_anti")
+    full_length = found.where("NOT short").drop("short")
     taken = written(tiers_taken(plan, full_length.select("request", "tier", "movie_id"), asked), "taken")
-    kept = full_length.join(F.broadcast(taken), ["request", "tier"]).select("request", "movie_id").distinct()
+    inside = full_length.join(F.broadcast(taken), ["request", "tier"])
+    kept = inside.select("request", "movie_id").distinct()
     empty = asked.join(F.broadcast(heads), "request").where("active OR NOT generators").join(kept.select("request").distinct(), "request", "left_anti")
-    neutral = neutral_prior(cards.join(shorts, "movie_id", "left_anti")).select("movie_id", "prior", F.lit(True).alias("_all"))
+    neutral = neutral_prior(cards.where(~F.coalesce(F.col("release_format") == R.SHORT_FORMAT, F.lit(False)))).select("movie_id", "prior", F.lit(True).alias("_all"))
     seeded = passing(neutral.join(F.broadcast(empty.select("request", F.lit(True).alias("_all"))), "_all").select("request", "movie_id", "prior"), requests, cards)
     first = Window.partitionBy("request").orderBy(F.desc("prior"), F.desc("movie_id"))
     seed = seeded.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= SEED_LIMIT).select("request", "movie_id")
@@ -301,28 +304,41 @@ def run_requests(calls: DataFrame, traits: DataFrame, requests: DataFrame, regis
     live = written(live, "live")
     maps = found.join(F.broadcast(live.where("generator").select("call_id")), "call_id").select("call_id", "movie_id", "score")
     rank_only = live.where("NOT generator").select(*plan.columns)
-    inside = maps.join(F.broadcast(live.select("call_id", "request")), "call_id").join(pool, ["request", "movie_id"]).select("call_id", "movie_id", "score")
-    scored = written(inside.unionByName(reranked(rank_only, pool, views)), "scored")
+    # What the taken tiers found makes the pool, so all of it is inside.
+    scored = written(inside.select("call_id", "movie_id", "score").unionByName(reranked(rank_only, pool, views)), "scored")
     return rank_requests(scored, maps, live, traits, requests, pool, cards, top)
 
 
 def rank_requests(scored: DataFrame, maps: DataFrame, live: DataFrame, traits: DataFrame, requests: DataFrame, pool: DataFrame, cards: DataFrame, top: int) -> DataFrame:
-    """Folds of calls, categories and traits, weights, negative traits and priors of all requests at once."""
+    """Folds of calls, categories and traits, weights, negative traits and priors of all requests at once.
+
+    Scores and the pool (rows without a trait) are dealt by item once; every fold keeps the item among its keys, so that none deals them again.
+    """
     on = ["request", "trait"]
     specs = live.groupBy(*on, "positive", "category", "place", "fold").agg(F.count(F.lit(1)).alias("asked"))
     rows = scored.join(F.broadcast(live.select("call_id", *on, "positive", "category", "place", "call", "gate")), "call_id")
-    positive = rows.where("positive").join(F.broadcast(specs.where("positive").select(*on, "category", "place", "fold", "asked")), [*on, "category", "place"])
-    folded = positive.groupBy(*on, "category", "place", "movie_id", "fold", "asked").agg(R.fold_calls(F.col("fold"), F.col("asked")).alias("score"))
+    rows = rows.unionByName(pool.select("request", "movie_id"), allowMissingColumns=True)
+    rows = rows.repartition(max(LEAST_PARTS, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "movie_id")
+    place = [*on, "positive", "category", "place"]
+    rows = rows.join(F.broadcast(specs.where("positive").select(*place, "fold", "asked")), place, "left")
+    s = F.col("score")
+    product = lambda x: F.coalesce(F.product(x), F.lit(1.0))
+    against = [F.count(F.when(F.col("gate"), 1)).alias("met"), product(F.when(F.col("gate"), s)).alias("gated"), product(F.when(~F.col("gate"), 1 - s)).alias("missed")]
+    folded = rows.groupBy(*place, "movie_id", "fold", "asked").agg(R.fold_calls(F.col("fold"), F.col("asked")).alias("score"), *against)
     # What a trait gives an item that none of its calls finds: the floor, if its fold or that of a category that counts has one.
     consensus, solo = F.max(F.col("fold") == "CONSENSUS"), F.min_by(F.col("fold") == "CONSENSUS", "place")
     kinds = specs.where("positive").groupBy(*on).agg(F.count(F.lit(1)).alias("surviving"), F.min("place").alias("first"), consensus.alias("_any"), solo.alias("_solo"))
     floored = (F.col("mode") == "FACETS") | ((F.col("mode") == "FRAMINGS") & F.col("_any")) | ((F.col("mode") == "SOLO") & F.col("_solo"))
     modes = traits.where("positive").join(F.broadcast(kinds), on).select(*on, "mode", "surviving", "first", F.when(floored, R.FLOOR).otherwise(0.0).alias("base"))
-    s, n = F.col("score"), F.count(F.lit(1))
+    n = F.count(F.lit(1))
     logs = F.sum(F.log(F.greatest(s, F.lit(R.FLOOR)))) + (F.col("surviving") - n) * F.log(F.lit(R.FLOOR))
     base = F.col("base")
     fold = F.when(F.col("mode") == "SOLO", F.coalesce(F.max(F.when(F.col("place") == F.col("first"), s)), base)).when(F.col("mode") == "FRAMINGS", F.greatest(F.max(s), base)).otherwise(F.exp(logs / F.col("surviving")))
-    by_trait = folded.join(F.broadcast(modes), on).groupBy(*on, "movie_id", "mode", "surviving", "first", "base").agg((fold - base).alias("score"))
+    asked = live.where("NOT positive").groupBy(*on).agg(F.count(F.when(F.col("gate"), 1)).alias("gates"), F.count(F.when(~F.col("gate"), 1)).alias("fuzzies"))
+    traited = folded.join(F.broadcast(modes), on, "left").join(F.broadcast(asked), on, "left")
+    by_trait = traited.groupBy(*on, "positive", "movie_id", "mode", "surviving", "first", "base", "gates", "fuzzies").agg((fold - base).alias("score"), F.sum("met").alias("met"), product(F.col("gated")).alias("gated"), product(F.col("missed")).alias("missed"))
+    gate, fuzzy = F.when(F.col("met") == F.col("gates"), F.col("gated")).otherwise(0.0), 1 - F.col("missed")
+    negative = F.when(F.col("fuzzies") == 0, gate).when(F.col("gates") == 0, fuzzy).otherwise(gate * fuzzy)
 
     # Only traits of generators alone are weighted by their rarity; of promoted calls only full scores count.
     pure = live.where("positive").groupBy(*on).agg(F.min("generator").alias("pure")).where("pure").select(*on)
@@ -332,15 +348,9 @@ def rank_requests(scored: DataFrame, maps: DataFrame, live: DataFrame, traits: D
     rare = matches.select(*on, S.rarity(F.coalesce("matches", F.lit(0)) / F.col("total")).alias("rarity"))
     weights = traits.join(rare, on, "left").select(*on, (F.col("commitment") * F.coalesce("rarity", F.lit(1.0))).alias("weight"))
 
-    against = rows.where("NOT positive").groupBy(*on, "movie_id").agg(
-        F.count(F.when(F.col("gate"), 1)).alias("met"), F.coalesce(F.product(F.when(F.col("gate"), s)), F.lit(1.0)).alias("gated"), (1 - F.coalesce(F.product(F.when(~F.col("gate"), 1 - s)), F.lit(1.0))).alias("fuzzy")
-    )
-    asked = live.where("NOT positive").groupBy(*on).agg(F.count(F.when(F.col("gate"), 1)).alias("gates"), F.count(F.when(~F.col("gate"), 1)).alias("fuzzies"))
-    gate = F.when(F.col("met") == F.col("gates"), F.col("gated")).otherwise(0.0)
-    negative = against.join(F.broadcast(asked), on).select(*on, "movie_id", F.when(F.col("fuzzies") == 0, gate).when(F.col("gates") == 0, F.col("fuzzy")).otherwise(gate * F.col("fuzzy")).alias("score"))
-
-    part = lambda d, name: d.join(F.broadcast(weights), on).groupBy("request", "movie_id").agg(F.sum(F.col("score") * F.col("weight")).alias(name))
-    sums = pool.join(part(by_trait, "positive"), ["request", "movie_id"], "left").join(part(negative, "negative"), ["request", "movie_id"], "left")
+    weighed = lambda own, x: F.sum(F.when(own, x * F.col("weight")))
+    sums = by_trait.join(F.broadcast(weights), on, "left").groupBy("request", "movie_id").agg(weighed(F.col("positive"), s).alias("positive"), weighed(~F.col("positive"), negative).alias("negative"), F.count(F.when(F.col("trait").isNull(), 1)).alias("pooled"))
+    sums = sums.where("pooled > 0").drop("pooled")
     given = modes.join(F.broadcast(weights), on).groupBy("request").agg(F.sum(F.col("base") * F.col("weight")).alias("_given"))
     sums = sums.join(F.broadcast(given), "request", "left")
     sums = sums.select("request", "movie_id", (F.coalesce("positive", F.lit(0.0)) + F.coalesce("_given", F.lit(0.0))).alias("positive"), (0.0 - F.coalesce("negative", F.lit(0.0))).alias("negative"))
@@ -390,9 +400,8 @@ def flow_trait_promotions(spark: SparkSession, sf_dir: str) -> DataFrame:
     views, asked = views_of(spark, sf_dir), filtered(requests)
     plan = planned(calls, R.category_rows(spark)).join(F.broadcast(asked.select("request", "active")), "request")
     runs = plan.where(f"positive AND (generator OR tier < {R.NEVER})").withColumn("tier", F.when(F.col("generator"), 0).otherwise(F.col("tier")))
-    shorts = views["cards"].where(F.col("release_format") == R.SHORT_FORMAT).select("movie_id")
     hits = passing(generated(runs, views).join(F.broadcast(runs.select("call_id", "request", "tier")), "call_id"), requests, views["cards"])
-    found = written(hits.join(shorts, "movie_id", "left_anti").select("request", "tier", "movie_id"), "found")
+    found = written(hits.where("NOT short").select("request", "tier", "movie_id"), "found")
     taken = tiers_taken(plan, found, asked)
     new = found.groupBy("request", "movie_id").agg(F.min("tier").alias("tier")).groupBy("request", "tier").agg(F.count(F.lit(1)).alias("added"))
     return taken.join(new, ["request", "tier"], "left").select("request", "tier", F.coalesce("added", F.lit(0)).alias("added"))
