@@ -8,6 +8,7 @@ pieces by each piece's rank among the pieces of its length.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections import defaultdict
 
@@ -31,24 +32,23 @@ def token_pieces(df: DataFrame, tokenizer: str, end_id: int = 0, capacity: int =
     texts give the end id alone. Pieces are full but for a text's last one.
     """
     kind = df.schema[id_col].dataType.simpleString()
-    narrow = tokens.vocabulary_size(tokenizer) <= 1 << 16
+    stored, wide = ("<u2", 2) if tokens.vocabulary_size(tokenizer) <= 1 << 16 else ("<u4", 4)
 
     def fn(batch: pa.RecordBatch, _):
-        raws = tokens.huggingface_encoder(tokenizer).encode([t or "" for t in batch.column(1).to_pylist()])
-        end = np.asarray([end_id], "<u4").tobytes()
+        raw, ends = tokens.huggingface_encoder(tokenizer).encode_column(batch.column(1))
+        packed, end = np.frombuffer(raw, "<u4").astype(stored, copy=False).tobytes(), np.asarray([end_id], stored).tobytes()
         row, start, length, total, ids = [], [], [], [], []
-        for i, raw in enumerate(raws):
-            raw += end
-            packed, wide = (np.frombuffer(raw, "<u4").astype("<u2").tobytes(), 2) if narrow else (raw, 4)
-            for at in range(0, len(raw) // 4, capacity):
+        for i, (lo, hi) in enumerate(itertools.pairwise(ends.tolist())):
+            own = packed[wide * lo : wide * hi] + end
+            for at in range(0, hi - lo + 1, capacity):
                 row.append(i)
                 start.append(at)
-                ids.append(packed[wide * at : wide * (at + capacity)])
+                ids.append(own[wide * at : wide * (at + capacity)])
                 length.append(len(ids[-1]) // wide)
-                total.append(len(raw) // 4)
+                total.append(hi - lo + 1)
         return [batch.column(0).take(pa.array(row)), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(total, pa.int64()), pa.array(ids, pa.binary())]
 
-    return map_text(df, [F.col(id_col), F.col(text_col)], fn, f"{id_col} {kind}, start long, length long, doc_tokens long, ids binary", slice_bytes=1 << 20)
+    return map_text(df, [F.col(id_col), F.col(text_col)], fn, f"{id_col} {kind}, start long, length long, doc_tokens long, ids binary")
 
 
 def pack_histogram(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
