@@ -48,7 +48,7 @@ def token_pieces(df: DataFrame, tokenizer: str, end_id: int = 0, capacity: int =
                 total.append(hi - lo + 1)
         return [batch.column(0).take(pa.array(row)), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(total, pa.int64()), pa.array(ids, pa.binary())]
 
-    return map_text(df, [F.col(id_col), F.col(text_col)], fn, f"{id_col} {kind}, start long, length long, doc_tokens long, ids binary")
+    return map_text(df, [F.col(id_col), F.col(text_col)], fn, f"{id_col} {kind}, start long, length long, doc_tokens long, ids binary", slice_bytes=1 << 19)
 
 
 def pack_histogram(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:

@@ -21,6 +21,8 @@ import pyarrow.compute as pc
 
 #: Units of up to so many characters are remembered, about so many of them.
 UNIT_CHARS, UNITS = 64, 600_000
+#: Units that a column's encoder remembers: workers hold them on while later stages run.
+COLUMN_UNITS = 300_000
 #: Longer units are cut again where a letter meets a digit or the reverse.
 LONG = 4096
 #: Units that are encoded as one text.
@@ -146,7 +148,7 @@ class ColumnEncoder:
 
     def _ids_of(self, units: list[bytes]) -> list[bytes]:
         known = self.known
-        if len(known) > UNITS:  # what these texts hold stays: the frequent units are among it
+        if len(known) > COLUMN_UNITS:  # what these texts hold stays: the frequent units are among it
             known = self.known = {u: known[u] for u in units if u in known}
         new = [u for u in units if u not in known]
         if not new:

@@ -42,12 +42,12 @@ def test_ids_are_the_library_s_for_odd_texts(monkeypatch, long):
         assert np.frombuffer(raw, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
 
 
-@pytest.mark.parametrize("units", [600_000, 50])
+@pytest.mark.parametrize("units", [300_000, 50])
 def test_columns_have_the_library_s_ids_at_every_kind_of_cut(monkeypatch, units):
     import pyarrow as pa
     from tokenizers import Tokenizer
 
-    monkeypatch.setattr(tokens, "UNITS", units)
+    monkeypatch.setattr(tokens, "COLUMN_UNITS", units)
     path = public_tokenizers.path("byte_bpe_50k.json")
     tokens.huggingface_encoder.cache_clear()
     plain, ours = Tokenizer.from_file(path), tokens.huggingface_encoder(path)
