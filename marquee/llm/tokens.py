@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 #: Units of up to so many characters are remembered, about so many of them.
 UNIT_CHARS, UNITS = 64, 600_000
 #: Units that a column's encoder remembers: workers hold them on while later stages run.
-COLUMN_UNITS = 300_000
+COLUMN_UNITS = 150_000
 #: Longer units are cut again where a letter meets a digit or the reverse.
 LONG = 4096
 #: Units that are encoded as one text.
