@@ -196,15 +196,17 @@ def _heads(calls: DataFrame, vectors: DataFrame) -> DataFrame:
     return vectors.join(F.broadcast(asked), ["space", "movie_id"]).select("call_id", "space", F.col("vector").alias("head"), F.col("norm").alias("head_norm"))
 
 
-def vector_calls(calls: DataFrame, vectors: DataFrame, cards: DataFrame, k: int = VECTOR_LIMIT) -> DataFrame:
-    """The k items that are most alike, for a vector call that generates."""
+def vector_calls(calls: DataFrame, vectors: DataFrame, cards: DataFrame, k: int | None = VECTOR_LIMIT) -> DataFrame:
+    """The k items that are most alike, for a vector call that generates; without k all that are alike at all."""
     rows = _likeness(vectors.join(F.broadcast(_heads(calls, vectors)), "space")).join(cards.select("movie_id"), "movie_id").where("score > 0")
+    if k is None:
+        return rows.select("call_id", "movie_id", "score")
     best = Window.partitionBy("call_id").orderBy(F.desc("score"), "movie_id")
     return rows.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).select("call_id", "movie_id", "score")
 
 
-def generated(calls: DataFrame, views: dict[str, DataFrame]) -> DataFrame:
-    """(call_id, movie_id, score) of calls that generate, whatever their route."""
+def generated(calls: DataFrame, views: dict[str, DataFrame], bounded: bool = True) -> DataFrame:
+    """(call_id, movie_id, score) of calls that generate, whatever their route. Calls that score every item (vectors, priors) give their best ones, or all if not bounded."""
     parts = [
         entity_calls(calls, views["credits"]),
         keyword_calls(calls, views["traits"]),
@@ -213,8 +215,8 @@ def generated(calls: DataFrame, views: dict[str, DataFrame]) -> DataFrame:
         media_calls(calls, views["cards"]),
         trending_calls(calls, views["trend"], views["cards"]),
         window_calls(calls, views["cards"]),
-        vector_calls(calls, views["vectors"], views["cards"]),
-        prior_calls(calls, views["cards"].select("movie_id", "popularity", "reception"), None),
+        vector_calls(calls, views["vectors"], views["cards"], VECTOR_LIMIT if bounded else None),
+        prior_calls(calls, views["cards"].select("movie_id", "popularity", "reception"), None, bounded),
     ]
     return reduce(DataFrame.unionByName, [p.select("call_id", "movie_id", F.col("score").cast("double").alias("score")) for p in parts])
 
@@ -222,8 +224,8 @@ def generated(calls: DataFrame, views: dict[str, DataFrame]) -> DataFrame:
 PRIORS = ("popular", "niche", "acclaimed", "poor")
 
 
-def prior_calls(calls: DataFrame, items: DataFrame, key: str | None) -> DataFrame:
-    """Popularity and reception calls over items: those of the same request (key), or all, then the best `UNBOUNDED_LIMIT` of each call."""
+def prior_calls(calls: DataFrame, items: DataFrame, key: str | None, bounded: bool = True) -> DataFrame:
+    """Popularity and reception calls over items: those of the same request (key), or all, of which bounded calls give the best `UNBOUNDED_LIMIT`."""
     asked = _of(calls, "metadata").where(F.col("kind").isin(*PRIORS))
     p, r = F.col("popularity"), F.col("reception")
     made = {"popular": S.popularity_mode(p), "niche": S.popularity_mode(p, True), "acclaimed": S.reception_mode(r), "poor": S.reception_mode(r, True)}
@@ -231,6 +233,8 @@ def prior_calls(calls: DataFrame, items: DataFrame, key: str | None) -> DataFram
     if key:
         return items.join(F.broadcast(asked.select(key, "call_id", "kind")), key).select("call_id", "movie_id", score.alias("score"))
     rows = items.withColumn("route", F.lit("metadata")).join(F.broadcast(asked.select("call_id", "kind", "route")), "route").select("call_id", "movie_id", score.alias("score"))
+    if not bounded:
+        return rows
     best = Window.partitionBy("call_id").orderBy(F.desc("score"), F.desc("movie_id"))
     return rows.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= E.UNBOUNDED_LIMIT).drop("_r")
 
@@ -408,12 +412,12 @@ def flow_trait_promotions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trait_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per fold, route and tier: categories, generators, gates, and the items that the ten requests' calls of that kind find."""
+    """Per fold, route and tier: categories, generators, gates, and all items that the ten requests' calls of that kind find."""
     calls, _, _ = spec_tables(spark, REQUESTS)
     registry, keys = R.category_rows(spark), ["fold", "route", "tier"]
     counts = registry.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("generator"), 1)).alias("generators"), F.count(F.when(F.col("gate"), 1)).alias("gates"))
     kinds = calls.join(F.broadcast(registry.select("category", *keys)), ["category", "route"]).select("call_id", *keys)
-    items = generated(calls, views_of(spark, sf_dir)).join(F.broadcast(kinds), "call_id").groupBy(*keys).agg(F.countDistinct("movie_id").alias("items"))
+    items = generated(calls, views_of(spark, sf_dir), bounded=False).join(F.broadcast(kinds), "call_id").groupBy(*keys).agg(F.countDistinct("movie_id").alias("items"))
     return counts.join(items, keys, "left").withColumn("items", F.coalesce("items", F.lit(0)))
 
 
