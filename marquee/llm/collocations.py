@@ -1,7 +1,7 @@
 """Phrases of frequent adjacent words, by hierarchical pair naming.
 
 1. One pass over the texts cuts them into blocks: a block holds the words of one language that a task has read, as a list of
-   distinct words and one number for each position, 0 where a piece ends.
+   distinct words and one number for each position, 0 where a piece ends. All lists of a block are packed, as Arrow batches hold many blocks.
 2. A name is the number of a frequent k-gram, given once for the whole corpus. Distinct words (k = 1), or distinct pairs of adjacent
    (k-1)-gram names (k > 1), are counted in each block and dealt to buckets by their hash, as packed arrays. A bucket adds up what its
    blocks have counted, names what is seen often enough, and sends the names back to the blocks that hold it, which replace
@@ -36,17 +36,17 @@ BUCKET_ENTRIES, LEAST_BUCKETS = 400_000, 32
 CUT_BYTES = 4 << 20
 #: First of two rankings of each language is split so often.
 SALTS = 64
-#: Compression of packed numbers and words.
-LEVEL = 6
+#: Compression of packed numbers and words, and of the lists of a block's pairs, which are read once.
+LEVEL, PAIR_LEVEL = 6, 1
 END = b"."
 _PIECES = bytes(c + 32 if 65 <= c <= 90 else 10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c for c in range(256))
 
 
-def _packed(numbers: np.ndarray) -> bytes:
+def _packed(numbers: np.ndarray, level: int = LEVEL) -> bytes:
     """Whole numbers from 0, compressed: in as few bytes each as the greatest needs, first bytes together, then second ones, and so on."""
     size = next(n for n in (1, 2, 4, 8) if not len(numbers) or int(numbers.max()) < 1 << (8 * n - (n == 8)))
     planes = numbers.astype(f"<u{size}").view(np.uint8).reshape(-1, size).T
-    return bytes([size]) + zstandard.compress(planes.tobytes(), LEVEL)
+    return bytes([size]) + zstandard.compress(planes.tobytes(), level)
 
 
 def _unpacked(raw: bytes) -> np.ndarray:
@@ -95,7 +95,7 @@ class Block:
 
 
 def word_blocks(df: DataFrame, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
-    """(block, lang, words, counts, at): words are packed text, at a packed number for each position (n for the n-th word, 0 for an end)."""
+    """(block, lang, entries, n, words, counts, at): distinct words and all words, packed text and counts, at a packed number for each position (n for the n-th word, 0 for an end)."""
 
     def make():
         return {"blocks": defaultdict(Block), "next": (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32}
@@ -105,7 +105,9 @@ def word_blocks(df: DataFrame, lang_col: str = "lang", text_col: str = "text") -
         ids = range(state["next"], state["next"] + len(rows))
         state["next"] += len(rows)
         state["blocks"].clear()
-        return [pa.array(ids, pa.int64()), pa.array([r[0] for r in rows], pa.string()), pa.array([_packed_words(r[1]) for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.list_(pa.int64())), pa.array([r[3] for r in rows], pa.binary())]
+        numbers = [pa.array(x, pa.int64()) for x in (ids, [len(r[1]) for r in rows], [int(r[2].sum()) for r in rows])]
+        packed = [pa.array(x, pa.binary()) for x in ([_packed_words(r[1]) for r in rows], [_packed(r[2]) for r in rows], [r[3] for r in rows])]
+        return [numbers[0], pa.array([r[0] for r in rows], pa.string()), *numbers[1:], *packed]
 
     def fn(batch: pa.RecordBatch, state):
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -114,7 +116,7 @@ def word_blocks(df: DataFrame, lang_col: str = "lang", text_col: str = "text") -
         return flush(state) if sum(b.size for b in state["blocks"].values()) >= BLOCK_BYTES else None
 
     lang = F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang")
-    return map_text(df, [lang, F.col(text_col)], fn, "block long, lang string, words binary, counts array<long>, at binary", make, flush)
+    return map_text(df, [lang, F.col(text_col)], fn, "block long, lang string, entries long, n long, words binary, counts binary, at binary", make, flush)
 
 
 def _rising(numbers: np.ndarray) -> bytes:
@@ -135,9 +137,9 @@ def dealt(blocks: DataFrame, pairs: bool, buckets: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             for k in range(batch.num_rows):
-                counts = np.asarray(batch.column(2)[k].values)
+                counts = _unpacked(batch.column(2)[k].as_py())
                 if pairs:
-                    keys = [np.asarray(batch.column(c)[k].values) for c in (3, 4)]
+                    keys = [_unpacked(batch.column(c)[k].as_py()) for c in (3, 4)]
                     h = mix64(keys[0].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ keys[1].astype(np.uint64))
                 else:
                     words = _unpacked_words(batch.column(3)[k].as_py()) if len(counts) else []
@@ -153,6 +155,7 @@ def dealt(blocks: DataFrame, pairs: bool, buckets: int) -> DataFrame:
                 head = [pa.array(bucket[[at[0] for at in parts]], pa.int32()), pa.array([batch.column(0)[k].as_py()] * n, pa.int64()), pa.array([batch.column(1)[k].as_py()] * n, pa.string())]
                 tail = [pa.array([_rising(at + 1) for at in parts], pa.binary()), pa.array([_packed(counts[at]) for at in parts], pa.binary())]
                 yield pa.RecordBatch.from_arrays([*head, *tail, *own], ["bucket", "block", "lang", "i", "c", *_key_columns(pairs)])
+            pa.default_memory_pool().release_unused()
 
     return blocks.select("block", "lang", "counts", *_key_columns(pairs)).mapInArrow(run, f"bucket int, block long, lang string, i binary, c binary, {DEALT[pairs]}")
 
@@ -174,7 +177,7 @@ def _numbered(rows: pa.Table, pairs: bool) -> tuple[np.ndarray, list]:
 
 def named(blocks: DataFrame, pairs: bool, least: int, back: bool, name: str) -> DataFrame:
     """Written rows of two kinds: (block, i, id), a block's entries that have a name; (lang, keys, f, ids), the names of a bucket, with a null block."""
-    total = blocks.agg(F.coalesce(F.sum(F.size("counts")), F.lit(0))).first()[0]
+    total = blocks.agg(F.coalesce(F.sum("entries"), F.lit(0))).first()[0]
     buckets = max(LEAST_BUCKETS, -(-total // BUCKET_ENTRIES))
     columns = _key_columns(pairs)
 
@@ -198,7 +201,8 @@ def named(blocks: DataFrame, pairs: bool, least: int, back: bool, name: str) ->
             first += len(often)
             if not len(often):
                 continue
-            put(lang=lang, f=f[often].tolist(), ids=ids[often].tolist(), **{c: k.take(pa.array(often)).to_pylist() for c, k in zip(columns, keys, strict=True)})
+            taken = [k.take(pa.array(often)) for k in keys]
+            put(lang=lang, f=f[often], ids=ids[often], **{c: k.to_numpy() if pairs else k.to_pylist() for c, k in zip(columns, taken, strict=True)})
             at = 0
             for block, i, c in zip(own.column("block").to_pylist(), own.column("i").to_pylist(), counts, strict=True):
                 given = ids[number[at : at + len(c)]]
@@ -239,16 +243,17 @@ def pairs_of(at: np.ndarray, local: np.ndarray, ids: np.ndarray) -> tuple[np.nda
 
 def pair_blocks(blocks: DataFrame, names: DataFrame) -> DataFrame:
     """(block, lang, lefts, rights, counts, at): each block with its distinct pairs of adjacent names and a number for each position."""
-    schema = "block long, lang string, lefts array<long>, rights array<long>, counts array<long>, at binary"
+    schema = "block long, lang string, entries long, lefts binary, rights binary, counts binary, at binary"
+    kinds = dict(zip(("block", "lang", "entries", "lefts", "rights", "counts", "at"), (pa.int64(), pa.string(), pa.int64(), *[pa.binary()] * 4), strict=True))
 
     def replace(key: tuple[pa.Scalar, ...], block: pa.Table, given: pa.Table) -> pa.Table:
-        lists = [pa.list_(pa.int64())] * 3
         if not block.num_rows or not given.num_rows:
-            return pa.table({c: pa.array([], k) for c, k in zip(("block", "lang", "lefts", "rights", "counts", "at"), (pa.int64(), pa.string(), *lists, pa.binary()), strict=True)})
+            return pa.table({c: pa.array([], k) for c, k in kinds.items()})
         local = np.concatenate([np.cumsum(_unpacked(x)) for x in given.column("i").to_pylist()])
         ids = np.concatenate([_unpacked(x) for x in given.column("id").to_pylist()])
         *columns, then = pairs_of(_unpacked(block.column("at")[0].as_py()), local, ids)
-        return pa.table({"block": [key[0].as_py()], "lang": block.column("lang"), **{c: pa.array([x], k) for c, x, k in zip(("lefts", "rights", "counts"), columns, lists, strict=True)}, "at": pa.array([_packed(then)], pa.binary())})
+        row = [key[0].as_py(), block.column("lang")[0].as_py(), len(columns[0]), *[_packed(x, PAIR_LEVEL) for x in columns], _packed(then)]
+        return pa.table({c: pa.array([x], k) for (c, k), x in zip(kinds.items(), row, strict=True)})
 
     back = names.where("block IS NOT NULL").select("block", "i", "id")
     return blocks.select("block", "lang", "at").groupBy("block").cogroup(back.groupBy("block")).applyInArrow(replace, schema)
@@ -279,7 +284,7 @@ def collocations(df: DataFrame, longest: int = 4, least: int = 30, inside_percen
     columns are not read. An empty table gives no rows. Equal scores go by a, then by the phrase's bytes, so ranks are definite.
     """
     blocks = materialise(word_blocks(df, lang_col, text_col), "blocks")
-    totals = materialise(blocks.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda s, c: s + c)).alias("n")), "totals")
+    totals = materialise(blocks.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
     table = named(blocks, False, least, longest > 1, "words")
     words, levels = names_of(table, False), []
     for k in range(2, longest + 1):

@@ -248,3 +248,15 @@ def test_many_equal_scores_are_ranked_once(spark):
     rows = [(5, "same words here", "en")] * 40 + [(i, "same words here", "en") for i in range(40)]
     ranks = [r["rank"] for r in resample.resample(frame(spark, rows), spark.createDataFrame([(1, "same")], "item_id long, text string"), 50, 1).collect()]
     assert sorted(x for x in ranks if x is not None) == list(range(1, 41))
+
+
+def test_collocations_hand_on_packed_blocks(spark):
+    """Arrow batches hold many blocks, so a list of a block's words or pairs as an array of longs would take memory outside the heap that grows with the partition."""
+    rows = [("x y z x y, x y " * 20, "a"), ("x y", "b")] * 3
+    blocks = collocations.word_blocks(frame(spark, [(k, *r) for k, r in enumerate(rows)]))
+    pairs = collocations.pair_blocks(blocks, collocations.named(blocks, False, 1, True, "words"))
+    for table in (blocks, pairs):
+        assert not [f.name for f in table.schema if f.dataType.typeName() == "array"]
+    for row in pairs.collect():
+        lefts, rights, counts = (collocations._unpacked(row[c]) for c in ("lefts", "rights", "counts"))
+        assert len(lefts) == len(rights) == len(counts) == row["entries"] > 0
