@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import os
 import re
 import shutil
+import tempfile
 import uuid
 from contextlib import contextmanager
 
@@ -12,14 +14,18 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Largest amount of text, in bytes, that a Python function sees at once (one longer text is its own slice).
 SLICE_BYTES = 4 << 20
+#: Rows of a table that the driver holds at a time on their way to a file.
+SENT_ROWS = 2_000_000
 _ASCII_SPACE = b" \t\n\x0b\x0c\r"
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _own_dirs: dict[str, str] = {}
+_mapped: dict[tuple[str, str, str], tuple[np.ndarray, np.ndarray]] = {}
 #: Lists that gather written tables while `temporary` is open.
 _temporary: list[list[DataFrame]] = []
 
@@ -78,6 +84,40 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def send_table(df: DataFrame, rows: int, kind: str) -> tuple[str, str, str]:
+    """Files of a table's keys in order and of their values of a numpy kind, which every executor gets for mapped_table.
+
+    df: (key, value); a key is a long spread evenly over all longs, as a hash is. The driver holds about SENT_ROWS rows at a time.
+    """
+    if "files" not in _own_dirs:
+        _own_dirs["files"] = os.path.realpath(tempfile.mkdtemp(prefix="tables-"))
+        atexit.register(shutil.rmtree, _own_dirs["files"], ignore_errors=True)
+    name = uuid.uuid4().hex
+    paths = [f"{_own_dirs['files']}/{name}.{x}" for x in ("keys", "values")]
+    cuts = max(1, -(-rows // SENT_ROWS))
+    edges = [(k << 64) // cuts - (1 << 63) for k in range(cuts + 1)]
+    with open(paths[0], "wb") as keys, open(paths[1], "wb") as values:
+        for low, end in zip(edges[:-1], edges[1:], strict=True):
+            part = df.where(F.col("key").between(low, end - 1)).toArrow()
+            key = part.column("key").to_numpy()
+            order = np.argsort(key, kind="stable")
+            key[order].tofile(keys)
+            part.column("value").to_numpy()[order].astype(kind).tofile(values)
+    for path in paths:
+        df.sparkSession.sparkContext.addFile(path)
+    return (*map(os.path.basename, paths), kind)
+
+
+def mapped_table(sent: tuple[str, str, str]) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, values) of send_table, on the driver or a worker: maps of the files, which the workers of a machine share and which need no memory of theirs."""
+    if sent not in _mapped:
+        if len(_mapped) >= 16:
+            _mapped.clear()
+        kinds = ((sent[0], "int64"), (sent[1], sent[2]))
+        _mapped[sent] = tuple(np.asarray(np.memmap(at, kind, "r")) if os.path.getsize(at := SparkFiles.get(name)) else np.zeros(0, kind) for name, kind in kinds)
+    return _mapped[sent]
+
+
 def fold_of(id_col: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo folds; a null id counts as empty text."""
     return F.crc32(F.encode(F.coalesce(id_col.cast("string"), F.lit("")), "UTF-8")) % folds

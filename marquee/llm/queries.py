@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, byte_cnn, collocations, html_paths, langid, near_dup, ogg, packing, resample, sharding, simhash, toxicity, weak_rules
-from ._common import hash_share, materialise, table
+from ._common import hash_share, map_text, mapped_table, materialise, send_table, table
 
 SHARDS = 8
-#: Most labels that are sent to every executor to find their texts.
-MOST_LABELS_SENT = 500_000
+#: Most labels that are broadcast to find their texts, and most that are sent to every executor as files (12 bytes each) and mapped there.
+MOST_LABELS_SENT, MOST_LABELS_MAPPED = 500_000, 50_000_000
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,13 +67,37 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataF
     return docs.select("doc_id", "text").join(F.broadcast(drawn), F.col("doc_id") == F.col("_marked")).select("doc_id", "text", label)
 
 
-def all_labelled(docs: DataFrame, labels: DataFrame, label: str, most_sent: int = MOST_LABELS_SENT) -> DataFrame:
-    """(doc_id, text, label) of every labelled document. Up to most_sent labels are broadcast, so no text is shuffled; more are joined by a shuffle."""
+def all_labelled(docs: DataFrame, labels: DataFrame, label: str, most_sent: int | None = None, most_mapped: int | None = None) -> DataFrame:
+    """(doc_id, text, label) of every labelled document. Up to most_sent labels are broadcast and up to most_mapped looked up in files, so no text is shuffled; more are joined by a shuffle."""
+    most_sent, most_mapped = (MOST_LABELS_SENT if most_sent is None else most_sent), (MOST_LABELS_MAPPED if most_mapped is None else most_mapped)
     marks = labels.where(F.col(label).isNotNull()).select(F.col("doc_id").alias("_marked"), label)
-    marks = F.broadcast(marks) if marks.count() <= most_sent else marks
+    n = marks.count()
+    if most_sent < n <= most_mapped and dict(docs.dtypes)["doc_id"] == dict(marks.dtypes)["_marked"] == "bigint":
+        return looked_up(docs, marks, label, n)
+    marks = F.broadcast(marks) if n <= most_sent else marks
     return docs.select("doc_id", "text").join(marks, F.col("doc_id") == F.col("_marked")).select("doc_id", "text", label)
 
 
+def looked_up(docs: DataFrame, marks: DataFrame, label: str, n: int) -> DataFrame:
+    """The join of docs with n marks (_marked, label) by their long ids, in one pass over docs; xxhash64 of one long gives no two ids the same key."""
+    known = marks.where("_marked IS NOT NULL").select(F.xxhash64("_marked").alias("key"), F.col(label).cast("int").alias("value"))
+    sent = send_table(known, n, "int32")
+
+    def find(batch: pa.RecordBatch, state):
+        keys, values = mapped_table(sent)
+        asked = batch.column(1).to_numpy()
+        first = np.searchsorted(keys, asked, "left")
+        times = np.searchsorted(keys, asked, "right") - first
+        rows = np.repeat(np.arange(len(asked)), times)
+        if not len(rows):
+            return None
+        nth = np.arange(len(rows)) - np.repeat(np.cumsum(times) - times, times)
+        return [*(batch.column(c).take(pa.array(rows)) for c in (0, 2)), pa.array(values[np.repeat(first, times) + nth])]
+
+    own = docs.where("doc_id IS NOT NULL")
+    return map_text(own, [F.col("doc_id"), F.xxhash64("doc_id").alias("key"), F.col("text")], find, f"doc_id long, text string, {label} int")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = toxicity.held_out()

@@ -16,15 +16,15 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import WordHash, fit_logistic, fold_of, hash_share, map_text, materialise, mix64, no_clash, sigmoid, word_hashes
+from ._common import WordHash, discard, fit_logistic, fold_of, hash_share, map_text, mapped_table, materialise, mix64, no_clash, send_table, sigmoid, word_hashes
 
 #: Absolute discounts of word and of bigram counts. Toxic text is a tenth of the labelled words, so a bigram seen a few times in it says little: such counts go to the backoff whole.
 DISCOUNT, BIGRAM_DISCOUNT = 0.75, 4.0
 #: Backoff counts of every word type, shared by the classes in proportion to their sizes; rare words then look alike in both.
 SHARED = 12.0
 WINDOW = 4
-#: Most rows of the models' tables that are sent to every executor (16 bytes each) instead of joined; the scores are the same.
-LOCAL_ROWS = 2_000_000
+#: Most rows of the models' tables that are sent to every executor as files (12 bytes each) and mapped there, instead of joined; the scores are the same.
+LOCAL_ROWS = 50_000_000
 #: Texts whose keys are asked for together where the tables are joined.
 CHUNK = 256
 #: Bound of the labelled sample that the calibration weights are fitted on (expected number of documents).
@@ -83,7 +83,7 @@ def bigram_counts(labelled: DataFrame, text_col: str = "text", label_col: str =
 
 
 def fit_counts(bigrams: DataFrame, local_rows: int = LOCAL_ROWS) -> dict:
-    """The two models as written tables keyed by full hash, with `local` sorted arrays of them if they have at most local_rows rows together.
+    """The two models as written tables keyed by full hash, with `local` sorted arrays of them, maps of the `files` that every executor has, if they have at most local_rows rows together.
 
     A word's ratio of log-likelihoods is `head` of the context plus `ratio` of the word, and `extra` of the pair where the pair's count
     exceeds the discount. Words that no labelled text has have `unseen`.
@@ -119,12 +119,19 @@ def fit_counts(bigrams: DataFrame, local_rows: int = LOCAL_ROWS) -> dict:
     extras = full.select(pair(F.col("h"), F.col("w")).alias("key"), (F.log(over["t"]) - F.log(over["o"])).alias("extra"))
     tables = {name: materialise(df.select("key", F.col(name).cast("float").alias("value")), name) for name, df in (("head", heads), ("ratio", ratios), ("extra", extras))}
     rates = [((n - float(kept[c] or 0)) * 0.5 / (types + 0.5 * kinds) + part) / (n + part * kinds) for n, c in zip(sizes, ("ct", "co"), strict=True) for part in [SHARED * max(n, 1) / max(sum(sizes), 1)]]
+    discard(seen, per_word, contexts)
     model = {"tables": tables, "unseen": float(np.log(rates[0]) - np.log(rates[1])), "local": None}
-    if sum(df.count() for df in tables.values()) <= local_rows:
-        model["local"] = {name: _sorted(df.toArrow()) for name, df in tables.items()}
+    rows = {name: df.count() for name, df in tables.items()}
+    if sum(rows.values()) <= local_rows:
+        model["files"] = {name: send_table(df, rows[name], "float32") for name, df in tables.items()}
+        model["local"] = _local(model["files"])
     return model
 
 
+def _local(files: dict) -> dict:
+    return {name: mapped_table(sent) for name, sent in files.items()}
+
+
 def _sorted(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     key, value = table.column("key").to_numpy(), table.column("value").to_numpy()
     order = np.argsort(key)
@@ -166,13 +173,12 @@ def features(texts: list[str | None], model: dict, known: WordHash) -> np.ndarra
 def measured(df: DataFrame, columns: list, model: dict, fn, schema: str) -> DataFrame:
     """fn(features of a batch, its columns) over the selected columns, the last of which is the text.
 
-    With local tables they are broadcast. Otherwise the distinct keys of every CHUNK rows are joined with the written tables,
+    Local tables are mapped by the workers. Otherwise the distinct keys of every CHUNK rows are joined with the written tables,
     and what is found meets the chunk's texts again.
     """
-    own = {k: v for k, v in model.items() if k != "tables"}
+    own = {k: v for k, v in model.items() if k not in ("tables", "local")}
     if model["local"] is not None:
-        shared = df.sparkSession.sparkContext.broadcast(own)
-        return map_text(df, columns, lambda batch, known: fn(features(batch.column(batch.num_columns - 1).to_pylist(), shared.value, known), batch.columns), schema, WordHash)
+        return map_text(df, columns, lambda batch, known: fn(features(batch.column(batch.num_columns - 1).to_pylist(), own | {"local": _local(own["files"])}, known), batch.columns), schema, WordHash)
     names = [f"_c{i}" for i in range(len(columns))]
     numbered = df.select(*[c.alias(n) for c, n in zip(columns, names, strict=True)]).withColumn("_chunk", F.floor(F.monotonically_increasing_id() / CHUNK))
     rows = materialise(numbered, "toxicity_rows")

@@ -283,3 +283,31 @@ def test_pipeline_stages(spark):
     kept = corpus_pipeline.near_duplicates(spark, docs, "")
     groups = {r.doc_id: r.component_id for r in near_dup.near_duplicates(docs).collect()}
     assert {r.doc_id for r in kept.collect()} == set(groups.values())
+
+
+def test_many_labels_are_looked_up_without_a_shuffle_of_texts(spark, monkeypatch):
+    """A label a second time gives a second row, as a join does; the driver holds few rows of the table at a time."""
+    from marquee.llm import _common
+
+    monkeypatch.setattr(_common, "SENT_ROWS", 100)
+    docs = spark.createDataFrame([(i * 7 - 900, None if i % 50 == 0 else f"text {i}") for i in range(1000)] + [(None, "no id")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i - 900, i % 3 if i % 5 else None) for i in range(4000)] + [(-900, 1), (6, 1), (6, 0), (None, 1)], "doc_id long, toxic int")
+    want = sorted(map(str, docs.join(labels.where("toxic IS NOT NULL"), "doc_id").collect()))
+    got = queries.all_labelled(docs, labels, "toxic", most_sent=100)
+    assert sorted(map(str, got.collect())) == want == sorted(map(str, queries.all_labelled(docs, labels, "toxic", most_sent=0, most_mapped=0).collect()))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    assert queries.all_labelled(docs, labels.where("doc_id > 10000"), "toxic", most_sent=-1).count() == 0
+
+
+def test_toxicity_models_are_mapped(spark, monkeypatch):
+    """Workers share the tables and the driver holds a part of one at a time, so that they may be large before texts are shuffled to their scores."""
+    from marquee.llm import _common
+
+    monkeypatch.setattr(_common, "SENT_ROWS", 500)
+    words = [f"v{i}" for i in range(1 << 14)]
+    rows = [(" ".join(words[i : i + 256]), int(i % 1024 == 0)) for i in range(0, len(words), 256)]
+    model = toxicity.fit_counts(toxicity.bigram_counts(spark.createDataFrame(rows, "text string, toxic int")))
+    keys, values = model["local"]["ratio"]
+    assert len(keys) == len(values) == len(words) and (keys[1:] > keys[:-1]).all()
+    assert not keys.flags.owndata and dict(zip(keys.tolist(), values.tolist())) == {r["key"]: r["value"] for r in model["tables"]["ratio"].collect()}
